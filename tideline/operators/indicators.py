@@ -2,121 +2,106 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import clip, flag, safe_div, yes
 from . import panel as P
+from .panel import add, lag, over, put, rolling
 
 # rows of history a bounded indicator can reach: SMA200 plus the 100-row ATR median and the lags
 HALO = 230
 
+_UP, _DN = f"(high - {lag('high')})", f"({lag('low')} - low)"
+_D = f"(close - {lag('close')})"
+_SD = rolling("stddev_samp(close)", 20)
+_DX = "100 * abs(plus_di - minus_di) / nullif(plus_di + minus_di, 0)"
 
-def lag(col, n: int = 1) -> Column:
-    """Value n rows earlier; negative n looks ahead."""
-    return F.lag(col, n).over(P.win()) if n >= 0 else F.lead(col, -n).over(P.win())
-
-
-def chunked(bars: DataFrame, back: int = HALO, fwd: int = 0) -> DataFrame:
-    """Index a bar table and cut it into haloed chunks, ready for the functions below."""
-    return P.with_halo(bars if "rn" in bars.columns else P.index_panel(bars), back, fwd)
-
-
-def sma(col: str, n: int) -> Column:
-    return P.rolling(F.avg(col), n)
-
-
-def true_range() -> Column:
+# name -> (level, inputs, expression); the columns of one level share a single Window pass
+FEATURES: dict[str, tuple[int, tuple[str, ...], str]] = {
     # greatest skips the null previous close of the first bar
-    prev = F.col("_pc")
-    return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev))
-
-
-def add_sma(h: DataFrame, periods=(20, 50, 100, 200), col: str = "close") -> DataFrame:
-    return h.withColumns({f"sma_{n}": sma(col, n) for n in periods})
-
-
-def add_bollinger(h: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
-    h = h.withColumns({"bb_mid": sma("close", n), "_sd": P.rolling(F.stddev_samp("close"), n)})
-    up, lo = F.col("bb_mid") + k * F.col("_sd"), F.col("bb_mid") - k * F.col("_sd")
-    return h.withColumns(
-        {
-            "bb_upper": up,
-            "bb_lower": lo,
-            "bb_width": safe_div(up - lo, F.col("bb_mid")),
-            "bb_pct_b": safe_div(F.col("close") - lo, up - lo),
-        }
-    ).drop("_sd")
-
-
-def add_atr(h: DataFrame, n: int = 14) -> DataFrame:
-    return (
-        h.withColumn("_pc", lag("close"))
-        .withColumn("tr", true_range())
-        .withColumn(f"atr_{n}", P.rolling(F.avg("tr"), n))
-        .drop("_pc")
-    )
-
-
-def add_adx(h: DataFrame, n: int = 14) -> DataFrame:
-    """Directional index with plain rolling means; needs ``tr`` from add_atr."""
-    up, dn = F.col("high") - lag("high"), lag("low") - F.col("low")
-    h = h.withColumns({"_up": up, "_dn": dn})
-    h = h.withColumns(
-        {
-            "_pdm": F.when((F.col("_up") > F.col("_dn")) & (F.col("_up") > 0), F.col("_up")).otherwise(0.0),
-            "_mdm": F.when((F.col("_dn") > F.col("_up")) & (F.col("_dn") > 0), F.col("_dn")).otherwise(0.0),
-        }
-    )
-    h = h.withColumns({"_p": P.rolling(F.avg("_pdm"), n), "_m": P.rolling(F.avg("_mdm"), n), "_t": P.rolling(F.avg("tr"), n)})
-    h = h.withColumns({"plus_di": 100 * safe_div(F.col("_p"), F.col("_t")), "minus_di": 100 * safe_div(F.col("_m"), F.col("_t"))})
-    h = h.withColumn(
-        "_dx", 100 * safe_div(F.abs(F.col("plus_di") - F.col("minus_di")), F.col("plus_di") + F.col("minus_di"))
-    )
-    full = F.count("_dx").over(P.rows(n - 1)) == n
-    return h.withColumn("adx", F.when(full, F.avg("_dx").over(P.rows(n - 1)))).drop(
-        "_up", "_dn", "_pdm", "_mdm", "_p", "_m", "_t", "_dx"
-    )
-
-
-def add_returns(h: DataFrame, vol: int = 20) -> DataFrame:
-    h = h.withColumn("returns", safe_div(F.col("close"), lag("close")) - 1)
-    return h.withColumns(
-        {
-            "log_returns": F.log(safe_div(F.col("close"), lag("close"))),
-            f"volatility_{vol}": P.rolling(F.stddev_samp("returns"), vol, start=1) * math.sqrt(252),
-        }
-    )
-
-
-def add_volume(h: DataFrame, n: int = 20) -> DataFrame:
-    diff = F.col("close") - lag("close")
-    h = h.withColumns({f"volume_sma_{n}": sma("volume", n), "volume_delta": F.coalesce(F.signum(diff) * F.col("volume"), F.lit(0.0))})
-    clv = safe_div((F.col("close") - F.col("low")) - (F.col("high") - F.col("close")), F.col("high") - F.col("low"))
-    return h.withColumns(
-        {
-            "relative_volume": safe_div(F.col("volume"), F.col(f"volume_sma_{n}")),
-            "_clv_vol": F.coalesce(clv, F.lit(0.0)) * F.coalesce("volume", F.lit(0.0)),
-        }
-    )
-
-
-def _moves(h: DataFrame) -> DataFrame:
-    d = F.col("close") - lag("close")
-    return h.withColumns(
-        {"_gain": F.when(d > 0, d).otherwise(0.0), "_loss": F.when(d < 0, -d).otherwise(0.0)}
-    )
+    "tr": (0, (), f"greatest(high - low, abs(high - {lag('close')}), abs(low - {lag('close')}))"),
+    "_pdm": (0, (), f"CASE WHEN {_UP} > {_DN} AND {_UP} > 0 THEN {_UP} ELSE 0.0D END"),
+    "_mdm": (0, (), f"CASE WHEN {_DN} > {_UP} AND {_DN} > 0 THEN {_DN} ELSE 0.0D END"),
+    "_gain": (0, (), f"CASE WHEN {_D} > 0 THEN {_D} ELSE 0.0D END"),
+    "_loss": (0, (), f"CASE WHEN {_D} < 0 THEN -{_D} ELSE 0.0D END"),
+    "returns": (0, (), f"close / nullif({lag('close')}, 0) - 1"),
+    "log_returns": (0, (), f"ln(close / nullif({lag('close')}, 0))"),
+    "volume_delta": (0, (), f"coalesce(signum({_D}) * volume, 0.0D)"),
+    "_clv_vol": (0, (), "coalesce(((close - low) - (high - close)) / nullif(high - low, 0), 0.0D) * coalesce(volume, 0.0D)"),
+    "_cum": (0, (), f"sum(close) {over(None)}"),
+    "bb_mid": (1, (), rolling("avg(close)", 20)),
+    "bb_upper": (1, (), f"{rolling('avg(close)', 20)} + 2 * {_SD}"),
+    "bb_lower": (1, (), f"{rolling('avg(close)', 20)} - 2 * {_SD}"),
+    "bb_width": (2, ("bb_mid", "bb_upper", "bb_lower"), "(bb_upper - bb_lower) / nullif(bb_mid, 0)"),
+    "bb_pct_b": (2, ("bb_upper", "bb_lower"), "(close - bb_lower) / nullif(bb_upper - bb_lower, 0)"),
+    "atr_14": (1, ("tr",), rolling("avg(tr)", 14)),
+    "plus_di": (1, ("tr", "_pdm"), f"100 * {rolling('avg(_pdm)', 14)} / nullif({rolling('avg(tr)', 14)}, 0)"),
+    "minus_di": (1, ("tr", "_mdm"), f"100 * {rolling('avg(_mdm)', 14)} / nullif({rolling('avg(tr)', 14)}, 0)"),
+    "adx": (2, ("plus_di", "minus_di"), f"CASE WHEN count({_DX}) {over(13)} = 14 THEN avg({_DX}) {over(13)} END"),
+    "volatility_20": (1, ("returns",), f"{rolling('stddev_samp(returns)', 20, 1)} * sqrt(252)"),
+    "volume_sma_20": (1, (), rolling("avg(volume)", 20)),
+    "relative_volume": (2, ("volume_sma_20",), "volume / nullif(volume_sma_20, 0)"),
+    "slope_20": (1, (), rolling("regr_slope(close, rn)", 20)),
+    "slope_pct_20": (2, ("slope_20",), "100 * slope_20 / nullif(close, 0)"),
+    "price_vs_200sma": (2, ("sma_200",), "close / nullif(sma_200, 0) - 1"),
+    "atr_ratio": (2, ("atr_14",), f"atr_14 / nullif({rolling('percentile(atr_14, 0.5)', 100, 13)}, 0)"),
+    # a five-bar extreme two rows back is confirmed on this row; neighbouring flagged bars share
+    # the extreme value, so keeping the first of a plateau means "flagged and the bar before was not"
+    "sh": (
+        0, (), f"coalesce(rn >= 4 AND {lag('high', 2)} = max(high) {over(4)} AND NOT coalesce(rn >= 5 AND {lag('high', 3)} = max(high) {over(5, -1)}, false), false)",
+    ),
+    "sl": (
+        0, (), f"coalesce(rn >= 4 AND {lag('low', 2)} = min(low) {over(4)} AND NOT coalesce(rn >= 5 AND {lag('low', 3)} = min(low) {over(5, -1)}, false), false)",
+    ),
+    "sh_price": (0, (), lag("high", 2)),
+    "sl_price": (0, (), lag("low", 2)),
+    "swing_ts": (0, (), lag("ts", 2)),
+}
+for _n in (20, 50, 100, 200):
+    # chunk-local prefix sums: O(1) per row instead of re-adding the frame
+    FEATURES[f"sma_{_n}"] = (1, ("_cum",), f"CASE WHEN rn >= {_n - 1} THEN (_cum - coalesce({lag('_cum', _n)}, 0.0D)) / {_n} END")
+
+SWINGS = ["sh", "sl", "sh_price", "sl_price"]
+BUNDLE = [
+    "sma_20", "sma_50", "sma_100", "sma_200", "bb_upper", "bb_mid", "bb_lower", "bb_width", "bb_pct_b", "atr_14", "adx",
+    "plus_di", "minus_di", "returns", "log_returns", "volatility_20", "volume_sma_20", "relative_volume", "volume_delta",
+]
+SCAN_INPUTS = ["_gain", "_loss", "_clv_vol"]
+REGIME_INPUTS = ["slope_20", "slope_pct_20", "price_vs_200sma", "atr_ratio", "adx"]
+
+
+def with_features(h: DataFrame, names: list[str]) -> DataFrame:
+    """Add the named bounded indicators (and their inputs) to a haloed panel, level by level."""
+    want: set[str] = set()
+
+    def need(n):
+        if n not in want:
+            want.add(n)
+            for m in FEATURES[n][1]:
+                need(m)
+
+    for n in names:
+        need(n)
+    for level in range(3):
+        cols = {n: d[2] for n, d in FEATURES.items() if n in want and d[0] == level}
+        if cols:
+            h = add(h, cols)
+    return h.drop("_cum", "_pdm", "_mdm")
+
+
+def bounded(bars: DataFrame, names: list[str], back: int = HALO) -> DataFrame:
+    """Bounded-window indicators of a bar table."""
+    return P.own_rows(with_features(P.chunked(bars, back), names)).drop("_c")
 
 
 def add_recursive(
-    own: DataFrame,
+    seg: DataFrame,
     spans=(20, 50, 100, 200),
     rsi_n: int | None = 14,
     macd: tuple[int, int, int] | None = (12, 26, 9),
     flow: bool = False,
     keep: int = 0,
+    **extra,
 ) -> DataFrame:
     """EMA, Wilder RSI, MACD and running volume totals from ONE decayed-total scan.
 
@@ -124,129 +109,97 @@ def add_recursive(
     ema_t = a S_d(t) + d^(t+1) x0. The signal line is an EMA of a difference of two EMAs; as both
     filters are linear it is a combination of the same totals, so it needs no second pass.
     """
-    need: dict[str, tuple[str, float]] = {}
-    alphas = {n: 2 / (n + 1) for n in set(spans) | set(macd or ())}
-    for n, a in alphas.items():
-        need[f"_s{n}"] = ("close", 1 - a)
+    al = {n: 2 / (n + 1) for n in (*spans, *(macd or ()))}
+    # the first close travels with the scan as a running total of "close at rn 0"
+    need = {"_x0": ("CASE WHEN rn = 0 THEN close END", 1.0)}
+    need |= {f"_s{n}": ("close", 1 - a) for n, a in al.items()}
     if rsi_n:
-        need["_sg"], need["_sl"] = ("_gain", 1 - 1 / rsi_n), ("_loss", 1 - 1 / rsi_n)
+        need |= {"_sg": ("_gain", 1 - 1 / rsi_n), "_sl": ("_loss", 1 - 1 / rsi_n)}
     if flow:
-        need["obv"], need["ad_line"] = ("volume_delta", 1.0), ("_clv_vol", 1.0)
-    # the first close travels with the scan as a running total of "close at rn 0"
-    own = own.withColumn("_first", F.when(F.col("rn") == 0, F.col("close")).otherwise(0.0))
-    need["_x0"] = ("_first", 1.0)
-    df = P.scan(own, need, keep=keep)
-    t, x0 = F.col("rn"), F.col("_x0")
+        need |= {"obv": ("volume_delta", 1.0), "ad_line": ("_clv_vol", 1.0)}
+    df = P.scan(seg, need, keep=keep, **extra)
 
     def ema_of(n):
-        a = alphas[n]
-        return a * F.col(f"_s{n}") + F.pow(F.lit(1 - a), t + 1) * x0
+        return f"({al[n]!r}D * _s{n} + pow({1 - al[n]!r}D, rn + 1) * _x0)"
 
-    out: dict[str, Column] = {f"ema_{n}": ema_of(n) for n in spans}
+    out = {f"ema_{n}": ema_of(n) for n in spans}
     if macd:
         fast, slow, sig = macd
-        b = alphas[sig]
-        db = 1 - b
-        sb = F.col(f"_s{sig}")
+        b = al[sig]
+        db = f"{1 - b!r}D"
 
         def smoothed(n):
             """EMA(sig) of EMA(n), both seeded with the first close."""
-            a = alphas[n]
-            da = 1 - a
-            ya = a * F.col(f"_s{n}") + F.pow(F.lit(da), t + 1) * x0
-            yb = a * sb + da * F.pow(F.lit(db), t) * x0
-            return F.pow(F.lit(db), t + 1) * x0 + b * (da * ya - db * yb) / (da - db)
-
-        line = ema_of(fast) - ema_of(slow)
-        signal = smoothed(fast) - smoothed(slow)
-        out |= {"macd": line, "macd_signal": signal, "macd_hist": line - signal}
+            a = al[n]
+            yb = f"({a!r}D * _s{sig} + {1 - a!r}D * pow({db}, rn) * _x0)"
+            return f"(pow({db}, rn + 1) * _x0 + {b!r}D * ({1 - a!r}D * {ema_of(n)} - {db} * {yb}) / {b - a!r}D)"
+
+        line, signal = f"({ema_of(fast)} - {ema_of(slow)})", f"({smoothed(fast)} - {smoothed(slow)})"
+        out |= {"macd": line, "macd_signal": signal, "macd_hist": f"CASE WHEN rn = 0 THEN 0.0D ELSE {line} - {signal} END"}
     if rsi_n:
-        g, l = F.col("_sg"), F.col("_sl")
         # the 1/n factor cancels in the ratio; the first bar counts as a zero move
-        rsi = F.when(l > 0, 100 - 100 / (1 + g / l)).when(g > 0, 100.0)
-        out[f"rsi_{rsi_n}"] = F.when(t >= rsi_n - 1, rsi)
-    return df.withColumns(out).drop("_first", *[c for c in need if c.startswith("_")])
-
-
-def bounded(h: DataFrame) -> DataFrame:
-    """All indicators with a bounded window, plus the inputs of the recursive ones."""
-    return _moves(add_volume(add_returns(add_adx(add_atr(add_bollinger(add_sma(h)))))))
+        out[f"rsi_{rsi_n}"] = (
+            f"CASE WHEN rn < {rsi_n - 1} THEN NULL WHEN _sl > 0 THEN 100 - 100 / (1 + _sg / _sl) WHEN _sg > 0 THEN 100.0D END"
+        )
+    return add(df, out).drop(*[c for c in need if c.startswith("_")])
 
 
 def indicators(bars: DataFrame) -> DataFrame:
     """The full indicator bundle, one shuffle of the bars by (symbol, chunk)."""
-    out = add_recursive(P.own_rows(bounded(chunked(bars))), flow=True)
-    return out.drop("_gain", "_loss", "_clv_vol", "_c", "tr")
-
-
-def rehalo(panel: DataFrame, back: int, fwd: int = 0) -> DataFrame:
-    return P.with_halo(panel.drop("_c"), back, fwd)
+    h = P.own_rows(with_features(P.chunked(bars, HALO), BUNDLE + SCAN_INPUTS))
+    return add_recursive(h, flow=True).drop(*SCAN_INPUTS, "_c", "tr")
 
 
 def ema(bars: DataFrame, spans=(20, 50, 100, 200)) -> DataFrame:
-    return add_recursive(P.own_rows(chunked(bars, 0)), spans=spans, rsi_n=None, macd=None).drop("_c")
+    return add_recursive(P.own_rows(P.chunked(bars)), spans=spans, rsi_n=None, macd=None).drop("_c")
 
 
 def rsi(bars: DataFrame, n: int = 14) -> DataFrame:
-    return add_recursive(P.own_rows(_moves(chunked(bars, 1))), spans=(), rsi_n=n, macd=None).drop("_c", "_gain", "_loss")
+    h = P.own_rows(with_features(P.chunked(bars, 1), ["_gain", "_loss"]))
+    return add_recursive(h, spans=(), rsi_n=n, macd=None).drop("_c", "_gain", "_loss")
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    return add_recursive(P.own_rows(chunked(bars, 0)), spans=(), rsi_n=None, macd=(fast, slow, signal)).drop("_c")
+    return add_recursive(P.own_rows(P.chunked(bars)), spans=(), rsi_n=None, macd=(fast, slow, signal)).drop("_c")
 
 
 def ad_line(bars: DataFrame) -> DataFrame:
-    h = P.own_rows(add_volume(chunked(bars, 25)))
+    h = P.own_rows(with_features(P.chunked(bars, 1), ["volume_delta", "_clv_vol"]))
     return P.scan(h, {"obv": ("volume_delta", 1.0), "ad_line": ("_clv_vol", 1.0)}).drop("_c", "_clv_vol")
 
 
-def slope(col: str, n: int) -> Column:
-    """OLS slope against the bar ordinal over the last n rows."""
-    return P.rolling(F.regr_slope(F.col(col), F.col("rn")), n)
-
-
 def tail_slope(panel: DataFrame, cols: list[str], n: int = 20, min_n: int = 5) -> DataFrame:
-    """Per symbol slope of the last n non-null values over their mean absolute value (0 when short)."""
-    parts = None
-    for c in cols:
-        t = P.last_n(panel.where(F.col(c).isNotNull()).select("symbol", "rn", c, "ts"), n)
-        g = t.groupBy("symbol").agg(
-            F.count(c).alias("_n"), F.regr_slope(F.col(c), -F.col("k")).alias("_b"), F.avg(F.abs(F.col(c))).alias("_m")
+    """Per symbol slope of the last n values over their mean absolute value (0 when short)."""
+    t = P.last_n(panel.select("symbol", "ts", *cols), n)
+    aggs = [
+        F.expr(
+            f"CASE WHEN count({c}) >= {min_n} THEN regr_slope({c}, -k) / coalesce(nullif(avg(abs({c})), 0), 1) ELSE 0.0D END AS {c}_slope"
         )
-        scale = F.when(F.col("_m") > 0, F.col("_m")).otherwise(1.0)
-        g = g.select("symbol", F.when(F.col("_n") >= min_n, F.col("_b") / scale).otherwise(0.0).alias(f"{c}_slope"))
-        parts = g if parts is None else parts.join(g, "symbol", "full")
-    return parts
+        for c in cols
+    ]
+    return t.groupBy("symbol").agg(*aggs)
 
 
 def volume_flow(ind: DataFrame, lookback: int = 20) -> DataFrame:
     """OBV and A/D slopes, net flow over ``lookback`` bars in [-100, 100] and its label."""
-    c = F.col
-    clv = safe_div((c("close") - c("low")) - (c("high") - c("close")), c("high") - c("low"))
-    tail = P.last_n(ind, lookback).withColumn("_ad", F.coalesce(clv, F.lit(0.0)) * c("volume"))
+    tail = add(P.last_n(ind, lookback), {"_ad": FEATURES["_clv_vol"][2]})
     agg = tail.groupBy("symbol").agg(
-        F.sum("volume_delta").alias("volume_delta_20"),
-        F.sum("_ad").alias("_ad"),
-        F.sum("volume").alias("_vol"),
-        F.max_by("relative_volume", "ts").alias("relative_volume"),
+        F.expr("sum(volume_delta) AS volume_delta_20"),
+        F.expr("sum(_ad) AS _ad"),
+        F.expr("sum(volume) AS _vol"),
+        F.expr("max_by(relative_volume, ts) AS relative_volume"),
     )
-    vol = F.when(c("_vol") != 0, c("_vol")).otherwise(1.0)
     out = agg.join(tail_slope(ind, ["obv", "ad_line"], lookback), "symbol")
-    out = out.withColumn("buyer_seller_score", clip((c("volume_delta_20") + c("_ad")) / vol * 50, -100.0, 100.0))
-    s = c("buyer_seller_score")
-    label = (
-        F.when(s >= 30, "Strong Accumulation")
-        .when(s >= 10, "Accumulation")
-        .when(s <= -30, "Strong Distribution")
-        .when(s <= -10, "Distribution")
-        .otherwise("Neutral")
-    )
-
-    def trend(x):
-        return F.when(c(x) > 0.005, "Up").when(c(x) < -0.005, "Down").otherwise("Flat")
-
-    return out.withColumns(
-        {"buyer_seller_label": label, "obv_trend": trend("obv_slope"), "ad_trend": trend("ad_line_slope")}
+    out = add(out, {"buyer_seller_score": "greatest(least((volume_delta_20 + _ad) / coalesce(nullif(_vol, 0), 1) * 50, 100), -100)"})
+    return add(
+        out,
+        {
+            "buyer_seller_label": """CASE WHEN buyer_seller_score >= 30 THEN 'Strong Accumulation'
+                WHEN buyer_seller_score >= 10 THEN 'Accumulation' WHEN buyer_seller_score <= -30 THEN 'Strong Distribution'
+                WHEN buyer_seller_score <= -10 THEN 'Distribution' ELSE 'Neutral' END""",
+            "obv_trend": "CASE WHEN obv_slope > 0.005 THEN 'Up' WHEN obv_slope < -0.005 THEN 'Down' ELSE 'Flat' END",
+            "ad_trend": "CASE WHEN ad_line_slope > 0.005 THEN 'Up' WHEN ad_line_slope < -0.005 THEN 'Down' ELSE 'Flat' END",
+        },
     ).drop("_ad", "_vol")
 
 
@@ -254,53 +207,53 @@ def ma_ribbon(ind: DataFrame, horizon: int = 20) -> DataFrame:
     """Latest SMA50/200 gap in ATR, empirical cross probability, ribbon width, slope, alignment.
 
     The history is compared with each symbol's own latest gap through a join on symbol, so the
-    count is a plain aggregate that combines on the map side.
+    count is a plain aggregate that combines on the map side. Alignment tests the unsorted order.
     """
-    d = ind.where(F.col("sma_50").isNotNull() & F.col("sma_200").isNotNull() & F.col("atr_14").isNotNull())
-    h = rehalo(d, 1, horizon)
-    raw = F.col("sma_50") - F.col("sma_200")
-    first = F.col("rn") == 199
-    h = h.withColumns({"gap": F.coalesce(safe_div(raw, F.col("atr_14")), F.lit(0.0)), "_sg": F.signum(raw)})
-    h = h.withColumn("_x", F.when(first, 0).otherwise((F.col("_sg") != lag("_sg")).cast("int")))
-    ahead = P.win().rowsBetween(1, horizon)
-    h = h.withColumns({"_cross": F.max("_x").over(ahead), "_left": F.count("_x").over(ahead)})
-    h = P.own_rows(h)
-    ribbon = [F.col(f"sma_{n}") for n in (20, 50, 100, 200)]
-    s20, s50, s100, s200 = ribbon
-    now = P.latest(h).select(
-        "symbol",
-        F.col("gap").alias("gap_atr"),
-        (100 * (F.greatest(*ribbon) - F.least(*ribbon)) / F.col("close")).alias("ribbon_width_pct"),
-        F.when((s20 >= s50) & (s50 >= s100) & (s100 >= s200), 1.0)
-        .when((s20 <= s50) & (s50 <= s100) & (s100 <= s200), -1.0)
-        .otherwise(0.0)
-        .alias("ribbon_alignment"),
+    ready = ind.where("sma_50 IS NOT NULL AND sma_200 IS NOT NULL AND atr_14 IS NOT NULL").select(
+        "symbol", "ts", "rn", "close", "sma_20", "sma_50", "sma_100", "sma_200", "atr_14"
     )
-    tight = (F.abs("gap") <= F.abs("gap_atr")) | ((F.col("gap_atr") == 0) & (F.abs("gap") <= 0.5))
+    h = P.with_halo(ready, 1, horizon)
+    h = add(h, {"gap": "coalesce((sma_50 - sma_200) / nullif(atr_14, 0), 0.0D)", "_sg": "signum(sma_50 - sma_200)"})
+    h = add(h, {"_x": f"coalesce(int(_sg <> {lag('_sg')}), 0)"})
+    h = P.own_rows(add(h, {"_cross": f"max(_x) {over(-1, horizon)}", "_left": f"count(_x) {over(-1, horizon)}"}))
+    now = add(
+        P.latest(h),
+        {
+            "ribbon_width_pct": "100 * (greatest(sma_20, sma_50, sma_100, sma_200) - least(sma_20, sma_50, sma_100, sma_200)) / close",
+            "ribbon_alignment": """CASE WHEN sma_20 >= sma_50 AND sma_50 >= sma_100 AND sma_100 >= sma_200 THEN 1.0D
+                WHEN sma_20 <= sma_50 AND sma_50 <= sma_100 AND sma_100 <= sma_200 THEN -1.0D ELSE 0.0D END""",
+        },
+    ).selectExpr("symbol", "gap AS gap_atr", "ribbon_width_pct", "ribbon_alignment")
     prob = (
         h.join(now.select("symbol", "gap_atr"), "symbol")
-        .where(tight & (F.col("_left") == horizon))
+        .where(f"_left = {horizon} AND (abs(gap) <= abs(gap_atr) OR (gap_atr = 0 AND abs(gap) <= 0.5))")
         .groupBy("symbol")
-        .agg(F.avg("_cross").alias("cross_prob"))
+        .agg(F.expr("avg(_cross) AS _p"))
     )
-    mean = h.withColumn("ribbon", (s20 + s50 + s100 + s200) / 4)
+    mean = add(h, {"ribbon": "(sma_20 + sma_50 + sma_100 + sma_200) / 4"})
     out = now.join(prob, "symbol", "left").join(tail_slope(mean, ["ribbon"]), "symbol", "left")
-    p = F.coalesce("cross_prob", F.lit(0.0))
-    return out.withColumns(
+    out = add(out, {"cross_prob": "coalesce(_p, 0.0D)"}).drop("_p")
+    return add(
+        out,
         {
-            "cross_prob": p,
-            "cross_direction": F.when(F.col("gap_atr") > 0, "golden").otherwise("death"),
-            "signal": F.when((F.col("gap_atr") > 0) & (p < 0.5), "Bullish")
-            .when((F.col("gap_atr") < 0) & (p < 0.5), "Bearish")
-            .otherwise("Neutral"),
-        }
+            "cross_direction": "CASE WHEN gap_atr > 0 THEN 'golden' ELSE 'death' END",
+            "signal": """CASE WHEN gap_atr > 0 AND cross_prob < 0.5 THEN 'Bullish'
+                WHEN gap_atr < 0 AND cross_prob < 0.5 THEN 'Bearish' ELSE 'Neutral' END""",
+        },
     )
 
 
-def bias_expr() -> Column:
-    """-4..+4: close vs SMA200, RSI vs 50, MACD histogram sign, DI direction when ADX > 25."""
-    c = F.col
-    strong = c("adx") > 25
-    bull = [c("close") > c("sma_200"), c("rsi_14") > 50, c("macd_hist") > 0, strong & (c("plus_di") > c("minus_di"))]
-    bear = [c("close") < c("sma_200"), c("rsi_14") < 50, c("macd_hist") < 0, strong & (c("minus_di") > c("plus_di"))]
-    return sum((flag(x) for x in bull), F.lit(0)) - sum((flag(x) for x in bear), F.lit(0))
+def yes(*conds: str) -> str:
+    """Number of predicates that hold; unknown counts as false."""
+    return "(" + " + ".join(f"CASE WHEN {c} THEN 1 ELSE 0 END" for c in conds) + ")"
+
+
+# -4..+4: close vs SMA200, RSI vs 50, MACD histogram sign, DI direction when ADX > 25
+BIAS = (
+    yes("close > sma_200", "rsi_14 > 50", "macd_hist > 0", "adx > 25 AND plus_di > minus_di")
+    + " - "
+    + yes("close < sma_200", "rsi_14 < 50", "macd_hist < 0", "adx > 25 AND minus_di > plus_di")
+)
+BIAS_LABEL = """CASE WHEN bias_score >= 3 THEN 'Strong Bullish' WHEN bias_score >= 2 THEN 'Bullish'
+    WHEN bias_score >= 1 THEN 'Mild Bullish' WHEN bias_score <= -3 THEN 'Strong Bearish'
+    WHEN bias_score <= -2 THEN 'Bearish' WHEN bias_score <= -1 THEN 'Mild Bearish' ELSE 'Neutral' END"""

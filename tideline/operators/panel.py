@@ -9,157 +9,165 @@ ordinals and windows run per (symbol, chunk):
   completed by a carry computed over one summary row per chunk.
 
 Every step is a deterministic function of the rows, so a lost executor only costs a recompute.
+Expressions are SQL text: one call builds a whole column.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK = 2048
-KEY = "symbol"
+WIN = "PARTITION BY symbol, _c ORDER BY rn"
 
 
-def index_panel(bars: DataFrame, ts: str = "ts", key: str = KEY, bucket: str = "year") -> DataFrame:
+def add(df: DataFrame, cols: dict[str, str]) -> DataFrame:
+    """Append SQL-text columns in one projection."""
+    return df.selectExpr("*", *[f"{e} AS {n}" for n, e in cols.items()])
+
+
+def put(df: DataFrame, cols: dict[str, str]) -> DataFrame:
+    """Replace or append SQL-text columns in one projection."""
+    keep = [c for c in df.columns if c not in cols]
+    return df.selectExpr(*keep, *[f"{e} AS {n}" for n, e in cols.items()])
+
+
+def index_panel(bars: DataFrame, ts: str = "ts", bucket: str = "year") -> DataFrame:
     """Add ``rn`` per symbol.
 
     Rows are numbered inside calendar buckets (bounded, because a symbol has one bar per time
     step) and shifted by the bar counts of the earlier buckets.
     """
-    b = bars.withColumn("_b", F.date_trunc(bucket, F.col(ts)))
-    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    b = bars.selectExpr("*", f"date_trunc('{bucket}', {ts}) AS _b")
     offsets = (
-        b.groupBy(key, "_b")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(key, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    )
-    inside = Window.partitionBy(key, "_b").orderBy(ts)
-    return (
-        b.withColumn("_i", F.row_number().over(inside) - 1)
-        .join(offsets, [key, "_b"])
-        .withColumn("rn", F.col("_off") + F.col("_i"))
-        .drop("_b", "_i", "_off")
+        b.groupBy("symbol", "_b").count().selectExpr(
+            "symbol", "_b",
+            "coalesce(sum(count) OVER (PARTITION BY symbol ORDER BY _b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _off",
+        )
     )
-
-
-def chunk_of(rn: Column | str = "rn", chunk: int | None = None) -> Column:
-    return F.floor(F.col(rn) / (chunk or CHUNK)) if isinstance(rn, str) else F.floor(rn / (chunk or CHUNK))
+    local = b.selectExpr("*", f"row_number() OVER (PARTITION BY symbol, _b ORDER BY {ts}) - 1 AS _i")
+    return local.join(offsets, ["symbol", "_b"]).selectExpr(*bars.columns, "_off + _i AS rn")
 
 
 def with_halo(panel: DataFrame, back: int = 0, fwd: int = 0, chunk: int | None = None) -> DataFrame:
     """Assign rows to chunk ``_c`` and copy the ``back``/``fwd`` rows each chunk needs."""
     c = chunk or CHUNK
-    lo = F.greatest(F.floor((F.col("rn") - fwd) / c), F.lit(0))
-    hi = F.floor((F.col("rn") + back) / c)
-    return panel.withColumn("_c", F.explode(F.sequence(lo, hi))).withColumn(
-        "_own", F.col("_c") == F.floor(F.col("rn") / c)
-    )
+    spread = f"explode(sequence(greatest(floor((rn - {fwd}) / {c}), 0), floor((rn + {back}) / {c}))) AS _c"
+    return panel.selectExpr("*", spread).selectExpr("*", f"_c = floor(rn / {c}) AS _own")
+
+
+def chunked(bars: DataFrame, back: int = 0, fwd: int = 0) -> DataFrame:
+    """Index a bar table if needed and cut it into haloed chunks."""
+    return with_halo(bars if "rn" in bars.columns else index_panel(bars), back, fwd)
 
 
 def own_rows(haloed: DataFrame) -> DataFrame:
     return haloed.where("_own").drop("_own")
 
 
-def win(key: str = KEY):
-    """Window over one chunk in bar order."""
-    return Window.partitionBy(key, "_c").orderBy("rn")
+def over(back: int | None, to: int = 0) -> str:
+    """Frame of rows -back .. to inside the chunk; None reaches to the chunk start."""
+    lo = "UNBOUNDED PRECEDING" if back is None else f"{back} PRECEDING" if back >= 0 else f"{-back} FOLLOWING"
+    hi = f"{-to} PRECEDING" if to < 0 else f"{to} FOLLOWING" if to > 0 else "CURRENT ROW"
+    return f"OVER ({WIN} ROWS BETWEEN {lo} AND {hi})"
+
+
+def lag(col: str, n: int = 1) -> str:
+    """Value n rows earlier; negative n looks ahead."""
+    fn = "lag" if n >= 0 else "lead"
+    return f"{fn}({col}, {abs(n)}) OVER ({WIN})"
 
 
-def rows(back: int, to: int = 0, key: str = KEY):
-    """Frame of rows -back .. to inside the haloed chunk."""
-    return win(key).rowsBetween(-back, to)
+def rolling(agg: str, n: int, start: int = 0) -> str:
+    """Aggregate over the last n rows, null until n rows are there (first input at row ``start``)."""
+    return f"CASE WHEN rn >= {n - 1 + start} THEN {agg} {over(n - 1)} END"
 
 
-def rolling(agg: Column, n: int, key: str = KEY, start: int = 0) -> Column:
-    """Aggregate over the last n rows, null until n rows are there.
+def segment(df: DataFrame, keep: int = 0, chunk: int | None = None) -> DataFrame:
+    """Keep the rows of each chunk plus ``keep`` halo rows before it, with their position ``_pos``.
 
-    ``start`` is the ordinal of the first non-null input.
+    The first ``chunk`` positions of all segments tile the panel, so a summary of those rows per
+    segment can be carried forward, and the ``keep`` halo rows get exact carried values too.
     """
-    return F.when(F.col("rn") >= n - 1 + start, agg.over(rows(n - 1, 0, key)))
+    c = chunk or CHUNK
+    return df.selectExpr("*", f"rn - (_c * {c} - {keep}) AS _pos").where(f"_pos >= 0 AND _pos < {c + keep}")
+
+
+_PRIOR = "OVER (PARTITION BY symbol ORDER BY _c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+def last_seen(col: str) -> str:
+    """Carried last non-null segment-end value, for ``extra_carry``."""
+    return f"last({col}, true) {_PRIOR}"
 
 
 def scan(
-    df: DataFrame, specs: dict[str, tuple[str, float]], key: str = KEY, chunk: int | None = None, keep: int = 0
+    df: DataFrame,
+    specs: dict[str, tuple[str, float]],
+    keep: int = 0,
+    extra_ends: list[str] = (),
+    extra_carry: dict[str, str] | None = None,
+    chunk: int | None = None,
 ) -> DataFrame:
-    """Decayed running totals S_t = x_t + d * S_{t-1} for every {name: (column, d)}.
+    """Decayed running totals S_t = x_t + d * S_{t-1} for every {name: (expression, d)}.
 
     ``df`` is chunked. d = 1 is a plain running total. With chunk length L the carry is
-    sum_k d^(L(k-1)) * end(c-k); terms below 1e-18 cannot change a double.
-    ``keep`` halo rows before each chunk also get exact values (for lags of the result): the
-    segments that are summed then tile the rows ``keep`` earlier than the chunks.
+    sum_k d^(L(k-1)) * end(c-k); terms below 1e-18 cannot change a double. ``extra_ends`` are
+    further columns whose segment-end values the SQL in ``extra_carry`` turns into carried
+    columns, so one summary and one join serve everything.
     """
     c = chunk or CHUNK
-    pos = F.col("rn") - (F.col("_c") * c - keep)
-    df = df.where((pos >= 0) & (pos < c + keep))
-    w = win(key).rowsBetween(Window.unboundedPreceding, 0)
-    for name, (col, d) in specs.items():
-        x = F.coalesce(F.col(col).cast("double"), F.lit(0.0))
-        if d == 1.0:
-            df = df.withColumn(name, F.sum(x).over(w))
-            continue
-        if c * -math.log(d) > 690:
+    if "_pos" not in df.columns:
+        df = segment(df, keep, c)
+    local, carry, done = {}, dict(extra_carry or {}), {}
+    for name, (x, d) in specs.items():
+        x = f"coalesce(cast({x} AS double), 0.0D)"
+        step = c * -math.log(d)
+        if step > 690:
             raise ValueError(f"decay {d} underflows inside a chunk of {c} rows")
-        df = df.withColumn(name, F.pow(F.lit(d), pos) * F.sum(x * F.pow(F.lit(d), -pos)).over(w))
-    ends = df.where(pos < c).groupBy(key, "_c").agg(*[F.max_by(n, "rn").alias(n) for n in specs])
-    prior = Window.partitionBy(key).orderBy("_c")
-    carry = []
-    for name, (_, d) in specs.items():
         if d == 1.0:
-            e = F.sum(name).over(prior.rowsBetween(Window.unboundedPreceding, -1))
+            local[name] = f"sum({x}) {over(None)}"
+            carry[f"_k_{name}"] = f"coalesce(sum({name}) {_PRIOR}, 0.0D)"
+            done[name] = f"{name} + _k_{name}"
         else:
-            step = c * -math.log(d)
-            k = max(1, math.ceil(42 / step))
-            e = sum(
-                (F.coalesce(F.lag(name, i).over(prior), F.lit(0.0)) * math.exp(-step * (i - 1)) for i in range(1, k + 1)),
-                F.lit(0.0),
-            )
-        carry.append(F.coalesce(e, F.lit(0.0)).alias(f"_k_{name}"))
-    out = df.join(ends.select(key, "_c", *carry), [key, "_c"])
-    for name, (_, d) in specs.items():
-        k = F.col(f"_k_{name}")
-        add = k if d == 1.0 else k * F.pow(F.lit(d), pos + 1)
-        out = out.withColumn(name, F.col(name) + add).drop(f"_k_{name}")
-    return out
-
-
-def running(df: DataFrame, specs: dict[str, Column], how=F.max, key: str = KEY) -> DataFrame:
-    """Running max or min per symbol over chunked rows."""
-    w = win(key).rowsBetween(Window.unboundedPreceding, 0)
-    for name, col in specs.items():
-        df = df.withColumn(name, how(col).over(w))
-    ends = df.groupBy(key, "_c").agg(*[how(n).alias(n) for n in specs])
-    prior = Window.partitionBy(key).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    carry = ends.select(key, "_c", *[how(n).over(prior).alias(f"_k_{n}") for n in specs])
-    out = df.join(carry, [key, "_c"])
-    pick = F.greatest if how is F.max else F.least
-    for n in specs:
-        out = out.withColumn(n, pick(F.col(n), F.col(f"_k_{n}"))).drop(f"_k_{n}")
-    return out
-
-
-def ffill(df: DataFrame, specs: dict[str, Column], key: str = KEY) -> DataFrame:
-    """Last non-null value of each expression up to and including the row."""
-    w = win(key).rowsBetween(Window.unboundedPreceding, 0)
-    for name, col in specs.items():
-        df = df.withColumn(name, F.last(col, ignorenulls=True).over(w))
-    ends = df.groupBy(key, "_c").agg(*[F.max_by(n, "rn").alias(n) for n in specs])
-    prior = Window.partitionBy(key).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    carry = ends.select(key, "_c", *[F.last(n, ignorenulls=True).over(prior).alias(f"_k_{n}") for n in specs])
-    out = df.join(carry, [key, "_c"])
-    for n in specs:
-        out = out.withColumn(n, F.coalesce(n, f"_k_{n}")).drop(f"_k_{n}")
-    return out
-
-
-def latest(panel: DataFrame, key: str = KEY, ts: str = "ts") -> DataFrame:
+            p = f"{d!r}D"
+            local[name] = f"pow({p}, _pos) * sum({x} * pow({p}, -_pos)) {over(None)}"
+            terms = [
+                f"coalesce(lag({name}, {i}) OVER (PARTITION BY symbol ORDER BY _c), 0.0D) * {math.exp(-step * (i - 1))!r}D"
+                for i in range(1, max(1, math.ceil(42 / step)) + 1)
+            ]
+            carry[f"_k_{name}"] = " + ".join(terms)
+            done[name] = f"{name} + _k_{name} * pow({p}, _pos + 1)"
+    df = add(df, local)
+    names = ", ".join([*specs, *extra_ends])
+    last_row = F.expr(f"max_by(struct({names}), rn) AS _e")
+    ends = df.where(f"_pos < {c}").groupBy("symbol", "_c").agg(last_row).selectExpr("symbol", "_c", "_e.*")
+    out = df.join(ends.selectExpr("symbol", "_c", *[f"{e} AS {n}" for n, e in carry.items()]), ["symbol", "_c"])
+    return put(out, done).drop("_pos", *[f"_k_{n}" for n in specs])
+
+
+def running_max(own: DataFrame, specs: dict[str, str]) -> DataFrame:
+    """Running maximum per symbol over chunked rows."""
+    seg = add(segment(own), {n: f"max({e}) {over(None)}" for n, e in specs.items()})
+    out = scan(seg, {}, extra_ends=list(specs), extra_carry={f"_m_{n}": f"max({n}) {_PRIOR}" for n in specs})
+    return put(out, {n: f"greatest({n}, _m_{n})" for n in specs}).drop(*[f"_m_{n}" for n in specs])
+
+
+def ffill(own: DataFrame, specs: dict[str, str]) -> DataFrame:
+    """Last non-null value of each expression up to and including the row, over chunked rows."""
+    seg = add(segment(own), {n: f"last({e}, true) {over(None)}" for n, e in specs.items()})
+    out = scan(seg, {}, extra_ends=list(specs), extra_carry={f"_m_{n}": last_seen(n) for n in specs})
+    return put(out, {n: f"coalesce({n}, _m_{n})" for n in specs}).drop(*[f"_m_{n}" for n in specs])
+
+
+def latest(panel: DataFrame, ts: str = "ts", key: str = "symbol") -> DataFrame:
     """Latest row per symbol by a map-side-combined aggregate (no sort of the history)."""
-    row = F.struct(*panel.columns)
-    return panel.groupBy(key).agg(F.max_by(row, ts).alias("_r")).select("_r.*")
+    cols = ", ".join(panel.columns)
+    return panel.groupBy(key).agg(F.expr(f"max_by(struct({cols}), {ts}) AS _r")).select("_r.*")
 
 
-def last_n(panel: DataFrame, n: int, key: str = KEY, ts: str = "ts") -> DataFrame:
-    """Last n rows per symbol with ``k`` = 1 for the newest; planned as a group limit before the shuffle."""
-    w = Window.partitionBy(key).orderBy(F.desc(ts))
-    return panel.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n)
+def last_n(panel: DataFrame, n: int, ts: str = "ts", key: str = "symbol") -> DataFrame:
+    """Last n rows per symbol, ``k`` = 1 for the newest; planned as a group limit before the shuffle."""
+    return panel.selectExpr("*", f"row_number() OVER (PARTITION BY {key} ORDER BY {ts} DESC) AS k").where(f"k <= {n}")

@@ -2,52 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import flag, safe_div, yes
 from . import indicators as I
 from . import panel as P
+from .panel import add
 
 REGIMES = ["Bull Trend", "Bear Trend", "Range / Chop", "High Volatility"]
-
-
-def add_regime_inputs(h: DataFrame) -> DataFrame:
-    """slope_20, slope_pct_20, price_vs_200sma and atr_ratio on a haloed panel with sma_200 and atr_14."""
-    h = h.withColumns({"slope_20": I.slope("close", 20), "_med": P.rolling(F.percentile("atr_14", F.lit(0.5)), 100, start=13)})
-    return h.withColumns(
-        {
-            "slope_pct_20": 100 * safe_div(F.col("slope_20"), F.col("close")),
-            "price_vs_200sma": safe_div(F.col("close"), F.col("sma_200")) - 1,
-            "atr_ratio": safe_div(F.col("atr_14"), F.col("_med")),
-        }
-    ).drop("_med")
-
-
-def regime_expr(adx_min: float = 25.0, vol_mult: float = 1.8) -> Column:
-    """First matching rule wins; unknown inputs do not match."""
-    c = F.col
-    trending = c("adx") >= adx_min
-    return (
-        F.when(yes(trending & (c("close") > c("sma_200")) & (c("slope_20") > 0)), "Bull Trend")
-        .when(yes(trending & (c("close") < c("sma_200")) & (c("slope_20") < 0)), "Bear Trend")
-        .when(yes(c("atr_ratio") > vol_mult), "High Volatility")
-        .otherwise("Range / Chop")
-    )
-
-
-def confidence_expr() -> Column:
-    return F.when(F.col("adx") > 40, 0.85).when(F.col("adx") > 25, 0.70).otherwise(0.55)
-
-
-def add_regime(h: DataFrame) -> DataFrame:
-    return add_regime_inputs(h).withColumns({"regime": regime_expr(), "regime_confidence": confidence_expr()})
+# first matching rule wins; an unknown input does not match
+REGIME = """CASE WHEN adx >= 25 AND close > sma_200 AND slope_20 > 0 THEN 'Bull Trend'
+    WHEN adx >= 25 AND close < sma_200 AND slope_20 < 0 THEN 'Bear Trend'
+    WHEN atr_ratio > 1.8 THEN 'High Volatility' ELSE 'Range / Chop' END"""
+CONFIDENCE = "CASE WHEN adx > 40 THEN 0.85D WHEN adx > 25 THEN 0.70D ELSE 0.55D END"
 
 
 def regimes(bars: DataFrame) -> DataFrame:
     """Regime per bar; needs only bounded windows, so one shuffle."""
-    h = add_regime(I.add_adx(I.add_atr(I.add_sma(I.chunked(bars), (200,)))))
-    return P.own_rows(h).drop("_c", "tr")
+    return add(I.bounded(bars, I.REGIME_INPUTS), {"regime": REGIME, "regime_confidence": CONFIDENCE}).drop("tr")
 
 
 def standardized(reg: DataFrame) -> DataFrame:
@@ -55,45 +27,34 @@ def standardized(reg: DataFrame) -> DataFrame:
 
     Moments come from a map-side-combined aggregate joined back on symbol.
     """
-    cols = {"slope_20": F.col("slope_20"), "adx": F.col("adx"), "vs200": F.col("price_vs_200sma") * 100, "atr_ratio": F.col("atr_ratio")}
-    f = reg.select("symbol", "ts", "rn", "regime", *[e.alias(n) for n, e in cols.items()])
-    m = f.groupBy("symbol").agg(
-        *[F.avg(n).alias(f"_m_{n}") for n in cols], *[F.stddev_samp(n).alias(f"_s_{n}") for n in cols]
-    )
-    z = f.join(m, "symbol")
-    for n in cols:
-        sd = F.when(F.col(f"_s_{n}") != 0, F.col(f"_s_{n}")).otherwise(1.0)
-        z = z.withColumn(n, (F.col(n) - F.col(f"_m_{n}")) / sd)
-    return z.select("symbol", "ts", "rn", "regime", *cols)
+    cols = ["slope_20", "adx", "vs200", "atr_ratio"]
+    f = reg.selectExpr("symbol", "ts", "rn", "regime", "slope_20", "adx", "price_vs_200sma * 100 AS vs200", "atr_ratio")
+    m = f.groupBy("symbol").agg(*[F.expr(f"{fn}({n}) AS _{fn}_{n}") for n in cols for fn in ("avg", "stddev_samp")])
+    z = [f"({n} - _avg_{n}) / coalesce(nullif(_stddev_samp_{n}, 0), 1) AS {n}" for n in cols]
+    return f.join(m, "symbol").selectExpr("symbol", "ts", "rn", "regime", *z)
 
 
 def resample(bars: DataFrame, unit: str) -> DataFrame:
     """Coarser bars by calendar unit ('week', 'month'), labelled by the period start."""
-    return bars.groupBy("symbol", F.to_date(F.date_trunc(unit, "ts")).alias("ts_")).agg(
-        F.min_by("open", "ts").alias("open"),
-        F.max("high").alias("high"),
-        F.min("low").alias("low"),
-        F.max_by("close", "ts").alias("close"),
-        F.sum("volume").alias("volume"),
-    ).withColumnRenamed("ts_", "ts")
+    b = bars.selectExpr("symbol", f"to_date(date_trunc('{unit}', ts)) AS ts", "ts AS _t", "open", "high", "low", "close", "volume")
+    return b.groupBy("symbol", "ts").agg(
+        *[F.expr(e) for e in ("min_by(open, _t) AS open", "max(high) AS high", "min(low) AS low", "max_by(close, _t) AS close", "sum(volume) AS volume")]
+    )
 
 
 def multi_timeframe(bars: DataFrame) -> DataFrame:
     """Latest regime on daily, weekly and monthly bars and the consensus across them.
 
-    All three calendars run as one panel keyed by (symbol, timeframe) packed in one key. A tie is
-    decided by the fixed priority of ``REGIMES``.
+    All three calendars run as one panel whose key also names the timeframe. A tie is decided by
+    the fixed priority of ``REGIMES``.
     """
-    parts = [("D", bars), ("W", resample(bars, "week")), ("M", resample(bars, "month"))]
-    cols = ["symbol", "ts", "open", "high", "low", "close", "volume"]
     all_tf = None
-    for tf, b in parts:
-        p = b.select(*cols).withColumn("symbol", F.concat_ws("|", "symbol", F.lit(tf)))
+    for tf, b in (("D", bars), ("W", resample(bars, "week")), ("M", resample(bars, "month"))):
+        p = b.selectExpr(f"concat(symbol, '|{tf}') AS symbol", "ts", "open", "high", "low", "close", "volume")
         all_tf = p if all_tf is None else all_tf.unionByName(p)
-    last = P.latest(regimes(all_tf)).withColumns(
-        {"timeframe": F.substring_index("symbol", "|", -1), "symbol": F.substring_index("symbol", "|", 1)}
+    last = P.put(
+        P.latest(regimes(all_tf)), {"timeframe": "substring_index(symbol, '|', -1)", "symbol": "substring_index(symbol, '|', 1)"}
     )
-    order = F.array_position(F.array(*[F.lit(r) for r in REGIMES]), F.col("regime"))
-    votes = last.groupBy("symbol", "regime").agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_o"))
-    consensus = votes.groupBy("symbol").agg(F.max_by("regime", F.struct("_n", -F.col("_o"))).alias("consensus"))
-    return last.join(consensus, "symbol")
+    order = "array_position(array({}), regime)".format(", ".join(f"'{r}'" for r in REGIMES))
+    votes = last.groupBy("symbol", "regime").agg(F.expr("count(*) AS n"), F.expr(f"min({order}) AS o"))
+    return last.join(votes.groupBy("symbol").agg(F.expr("max_by(regime, struct(n, -o)) AS consensus")), "symbol")

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions.scalar import flag, safe_div, yes
 from . import indicators as I
 from . import panel as P
 from . import regime as R
 from . import structure as S
+from .indicators import yes
+from .panel import add, lag
 
 # fixed values: thresholds of the setup rules
-DIP = {"confirm": 6, "watch": 4, "depth": (0.005, 0.15), "rsi": (30.0, 55.0), "adx": 20.0}
-RALLY = {"confirm": 6, "watch": 4, "depth": (0.005, 0.15), "rsi": 60.0, "adx": 20.0}
+DIP_DEPTH = RALLY_DEPTH = (0.005, 0.15)
+COOLED_RSI = (30, 55)
+STRETCHED_RSI = 60
+TREND_ADX = 20
+CONFIRM, WATCH = 6, 4
 
 
 def feature_panel(bars: DataFrame, price_at: str = "extreme") -> DataFrame:
@@ -22,107 +25,94 @@ def feature_panel(bars: DataFrame, price_at: str = "extreme") -> DataFrame:
     One haloed shuffle serves all of it; the recursive values are exact on three halo rows so
     their lags need no further exchange.
     """
-    h = S.add_confirmed_swings(R.add_regime_inputs(I.bounded(I.chunked(bars))))
-    d = I.add_recursive(h, flow=True, keep=3)
-    d = d.withColumns({"_mh1": I.lag("macd_hist", 1), "_rsi3": I.lag("rsi_14", 3)})
-    d = S.add_swing_memory(P.own_rows(d), price_at)
-    return d.withColumns(
+    names = I.BUNDLE + I.REGIME_INPUTS + I.SCAN_INPUTS + I.SWINGS
+    h = I.with_features(P.chunked(bars, I.HALO), names)
+    h = S.add_swing_locals(P.segment(h, keep=3), price_at)
+    d = I.add_recursive(h, flow=True, keep=3, extra_ends=S.MEMORY, extra_carry=S.SWING_CARRY)
+    d = add(
+        d,
         {
-            "regime": R.regime_expr(),
-            "regime_confidence": R.confidence_expr(),
-            "bias_score": I.bias_expr(),
-            "hist_rising": yes(F.col("macd_hist") > F.col("_mh1")),
-            "hist_falling": yes(F.col("macd_hist") < F.col("_mh1")),
-            "rsi_rising": yes(F.col("rsi_14") > F.col("_rsi3")),
-            "rsi_falling": yes(F.col("rsi_14") < F.col("_rsi3")),
-        }
-    ).drop("_mh1", "_rsi3", "_gain", "_loss", "_clv_vol", "_c", "tr")
+            "hist_rising": f"coalesce(macd_hist > {lag('macd_hist')}, false)",
+            "hist_falling": f"coalesce(macd_hist < {lag('macd_hist')}, false)",
+            "rsi_rising": f"coalesce(rsi_14 > {lag('rsi_14', 3)}, false)",
+            "rsi_falling": f"coalesce(rsi_14 < {lag('rsi_14', 3)}, false)",
+            "rsi_prev": lag("rsi_14"),
+        },
+    )
+    d = S.finish_swing_memory(P.own_rows(d))
+    d = add(d, {"regime": R.REGIME, "regime_confidence": R.CONFIDENCE, "bias_score": I.BIAS})
+    return d.drop("_gain", "_loss", "_clv_vol", "_c")
 
 
-def _tol():
-    return F.greatest(0.35 * F.col("atr_14"), 0.001 * F.col("close"))
+TOL = "greatest(0.35 * atr_14, 0.001 * close)"
 
 
-def dip_signals(panel: DataFrame, confirm: int = DIP["confirm"], watch: int = DIP["watch"]) -> DataFrame:
+def dip_signals(panel: DataFrame, confirm: int = CONFIRM, watch: int = WATCH) -> DataFrame:
     """Eight long-side components, score, stage, entry zone, invalidation and resistance per bar."""
-    c = F.col
-    close, atr, sh, sl = c("close"), c("atr_14"), c("last_swing_high"), c("last_swing_low")
-    depth = F.when(sh > 0, (sh - close) / sh)
-    lo, hi = DIP["depth"]
-    rng = c("up_leg_hi") - c("up_leg_lo")
+    lo, hi = DIP_DEPTH
+    rng = "(up_leg_hi - up_leg_lo)"
     parts = {
-        "above_sma200": close > c("sma_200"),
-        "ma_stack": (c("sma_20") > c("sma_50")) & (c("sma_50") > c("sma_200")),
-        "trend": c("adx") >= DIP["adx"],
-        "pullback": (depth >= lo) & (depth <= hi),
-        "cooled": c("rsi_14").between(*DIP["rsi"]),
-        "at_support": atr.isNotNull() & (sl <= close) & (close <= sl + F.greatest(atr, _tol())),
-        "fib_zone": (close >= c("up_leg_hi") - 0.786 * rng) & (close <= c("up_leg_hi") - 0.382 * rng) & (rng > 0),
-        "trigger": flag(c("hist_rising")) + flag(c("rsi_rising")) + flag(close > c("open")) >= 2,
+        "above_sma200": "close > sma_200",
+        "ma_stack": "sma_20 > sma_50 AND sma_50 > sma_200",
+        "trend": f"adx >= {TREND_ADX}",
+        "pullback": f"depth BETWEEN {lo} AND {hi}",
+        "cooled": f"rsi_14 BETWEEN {COOLED_RSI[0]} AND {COOLED_RSI[1]}",
+        "at_support": f"atr_14 IS NOT NULL AND last_swing_low <= close AND close <= last_swing_low + greatest(atr_14, {TOL})",
+        "fib_zone": f"{rng} > 0 AND close BETWEEN up_leg_hi - 0.786 * {rng} AND up_leg_hi - 0.382 * {rng}",
+        "trigger": yes("hist_rising", "rsi_rising", "close > open") + " >= 2",
     }
-    d = panel.withColumns({k: yes(v) for k, v in parts.items()})
+    d = add(panel, {"depth": "CASE WHEN last_swing_high > 0 THEN (last_swing_high - close) / last_swing_high END"})
+    d = add(d, {k: f"coalesce({v}, false)" for k, v in parts.items()})
     # greatest/least skip nulls, so the warm-up guard is explicit
-    ok = sl.isNotNull() & atr.isNotNull()
-    entry_lo = F.when(ok, sl - 0.5 * _tol())
-    d = d.withColumns(
+    ok = "last_swing_low IS NOT NULL AND atr_14 IS NOT NULL"
+    d = add(
+        d,
         {
-            "score": sum((c(k).cast("int") for k in parts), F.lit(0)),
-            "bullish_structure": c("above_sma200") & (c("bias_score") >= 0),
-            "dip_depth_pct": depth * 100,
-            "invalidation": F.when(ok, sl - atr),
-            "entry_lo": entry_lo,
-            "entry_hi": F.when(ok, F.greatest(entry_lo, F.least(close, sl + 0.5 * _tol()))),
-            "resistance": F.when(sh > close, sh),
-        }
-    )
-    stage = (
-        F.when(~c("bullish_structure"), "No Uptrend")
-        .when(yes(close < c("invalidation")), "Support Broken")
-        .when(yes(c("dip_depth_pct") > hi * 100), "Deep Pullback")
-        .when((c("score") >= confirm) & c("pullback"), "Confirmed")
-        .when(c("score") >= watch, "In Pullback")
-        .otherwise("Not a Dip")
+            "score": yes(*parts),
+            "bullish_structure": "above_sma200 AND bias_score >= 0",
+            "dip_depth_pct": "depth * 100",
+            "invalidation": f"CASE WHEN {ok} THEN last_swing_low - atr_14 END",
+            "entry_lo": f"CASE WHEN {ok} THEN last_swing_low - 0.5 * {TOL} END",
+            "entry_hi": f"CASE WHEN {ok} THEN greatest(last_swing_low - 0.5 * {TOL}, least(close, last_swing_low + 0.5 * {TOL})) END",
+            "resistance": "CASE WHEN last_swing_high > close THEN last_swing_high END",
+        },
     )
-    return d.withColumn("stage", stage).withColumn("confirmed", c("stage") == "Confirmed")
+    stage = f"""CASE WHEN NOT bullish_structure THEN 'No Uptrend' WHEN close < invalidation THEN 'Support Broken'
+        WHEN depth > {hi} THEN 'Deep Pullback' WHEN score >= {confirm} AND pullback THEN 'Confirmed'
+        WHEN score >= {watch} THEN 'In Pullback' ELSE 'Not a Dip' END"""
+    return add(add(d, {"stage": stage}), {"confirmed": "stage = 'Confirmed'"})
 
 
-def rally_signals(panel: DataFrame, confirm: int = RALLY["confirm"], watch: int = RALLY["watch"]) -> DataFrame:
+def rally_signals(panel: DataFrame, confirm: int = CONFIRM, watch: int = WATCH) -> DataFrame:
     """Short-side mirror of :func:`dip_signals`."""
-    c = F.col
-    close, atr, sh, sl = c("close"), c("atr_14"), c("last_swing_high"), c("last_swing_low")
-    depth = F.when(sl > 0, (close - sl) / sl)
-    lo, hi = RALLY["depth"]
-    rng = c("down_leg_hi") - c("down_leg_lo")
+    lo, hi = RALLY_DEPTH
+    rng = "(down_leg_hi - down_leg_lo)"
     parts = {
-        "below_sma200": close < c("sma_200"),
-        "ma_stack": (c("sma_20") < c("sma_50")) & (c("sma_50") < c("sma_200")),
-        "trend": c("adx") >= RALLY["adx"],
-        "rally": (depth >= lo) & (depth <= hi),
-        "stretched": c("rsi_14") >= RALLY["rsi"],
-        "at_resistance": atr.isNotNull() & (sh - F.greatest(atr, _tol()) <= close) & (close <= sh),
-        "fib_zone": (close >= c("down_leg_hi") - 0.786 * rng) & (close <= c("down_leg_hi") - 0.382 * rng) & (rng > 0),
-        "trigger": flag(c("hist_falling")) + flag(c("rsi_falling")) + flag(close < c("open")) >= 2,
+        "below_sma200": "close < sma_200",
+        "ma_stack": "sma_20 < sma_50 AND sma_50 < sma_200",
+        "trend": f"adx >= {TREND_ADX}",
+        "rally": f"depth BETWEEN {lo} AND {hi}",
+        "stretched": f"rsi_14 >= {STRETCHED_RSI}",
+        "at_resistance": f"atr_14 IS NOT NULL AND last_swing_high - greatest(atr_14, {TOL}) <= close AND close <= last_swing_high",
+        "fib_zone": f"{rng} > 0 AND close BETWEEN down_leg_hi - 0.786 * {rng} AND down_leg_hi - 0.382 * {rng}",
+        "trigger": yes("hist_falling", "rsi_falling", "close < open") + " >= 2",
     }
-    d = panel.withColumns({k: yes(v) for k, v in parts.items()})
-    ok = sh.isNotNull() & atr.isNotNull()
-    entry_hi = F.when(ok, sh + 0.5 * _tol())
-    d = d.withColumns(
+    d = add(panel, {"depth": "CASE WHEN last_swing_low > 0 THEN (close - last_swing_low) / last_swing_low END"})
+    d = add(d, {k: f"coalesce({v}, false)" for k, v in parts.items()})
+    ok = "last_swing_high IS NOT NULL AND atr_14 IS NOT NULL"
+    d = add(
+        d,
         {
-            "score": sum((c(k).cast("int") for k in parts), F.lit(0)),
-            "bearish_structure": c("below_sma200") & (c("bias_score") <= 0),
-            "rally_depth_pct": depth * 100,
-            "invalidation": F.when(ok, sh + atr),
-            "entry_hi": entry_hi,
-            "entry_lo": F.when(ok, F.least(entry_hi, F.greatest(close, sh - 0.5 * _tol()))),
-            "target": F.when(sl < close, sl),
-        }
-    )
-    stage = (
-        F.when(~c("bearish_structure"), "No Downtrend")
-        .when(yes(close > c("invalidation")), "Resistance Broken")
-        .when(yes(c("rally_depth_pct") > hi * 100), "Deep Rally")
-        .when((c("score") >= confirm) & c("rally"), "Confirmed")
-        .when(c("score") >= watch, "In Rally")
-        .otherwise("Not a Rally")
+            "score": yes(*parts),
+            "bearish_structure": "below_sma200 AND bias_score <= 0",
+            "rally_depth_pct": "depth * 100",
+            "invalidation": f"CASE WHEN {ok} THEN last_swing_high + atr_14 END",
+            "entry_hi": f"CASE WHEN {ok} THEN last_swing_high + 0.5 * {TOL} END",
+            "entry_lo": f"CASE WHEN {ok} THEN least(last_swing_high + 0.5 * {TOL}, greatest(close, last_swing_high - 0.5 * {TOL})) END",
+            "target": "CASE WHEN last_swing_low < close THEN last_swing_low END",
+        },
     )
-    return d.withColumn("stage", stage).withColumn("confirmed", c("stage") == "Confirmed")
+    stage = f"""CASE WHEN NOT bearish_structure THEN 'No Downtrend' WHEN close > invalidation THEN 'Resistance Broken'
+        WHEN depth > {hi} THEN 'Deep Rally' WHEN score >= {confirm} AND rally THEN 'Confirmed'
+        WHEN score >= {watch} THEN 'In Rally' ELSE 'Not a Rally' END"""
+    return add(add(d, {"stage": stage}), {"confirmed": "stage = 'Confirmed'"})

@@ -2,104 +2,95 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import safe_div, yes
 from . import indicators as I
 from . import panel as P
+from .panel import add, over
 
 # fixed values: ratio sets of the level study
 FIB_RETRACEMENT = [0.236, 0.382, 0.5, 0.618, 0.786]
 FIB_EXTENSION = [1.272, 1.618, 2.0, 2.618]
 MAX_SWINGS = 12
 
+MEMORY = ["_h", "_l", "_up", "_dn"]
 
-def add_confirmed_swings(h: DataFrame) -> DataFrame:
-    """``sh``/``sl``: a five-bar extreme two rows back is confirmed on this row; price in ``sh_price``/``sl_price``.
 
-    Needs 5 halo rows. Neighbouring flagged bars necessarily share the extreme value, so keeping
-    the first bar of a plateau means "flagged and the bar before was not".
-    """
-    w, v = P.rows(4), P.rows(5, -1)
-    hi, lo = I.lag("high", 2), I.lag("low", 2)
-    full, full_before = F.col("rn") >= 4, F.col("rn") >= 5
-    sh = full & (hi == F.max("high").over(w)) & ~yes(full_before & (I.lag("high", 3) == F.max("high").over(v)))
-    sl = full & (lo == F.min("low").over(w)) & ~yes(full_before & (I.lag("low", 3) == F.min("low").over(v)))
-    return h.withColumns({"sh": yes(sh), "sl": yes(sl), "sh_price": hi, "sl_price": lo})
-
-
-def add_swing_memory(own: DataFrame, price_at: str = "extreme") -> DataFrame:
-    """Last confirmed swing high/low and the last up/down leg on every bar.
+def add_swing_locals(seg: DataFrame, price_at: str = "extreme") -> DataFrame:
+    """Swing memory inside one segment; completed by :func:`finish_swing_memory`.
 
-    A leg pairs the newest swing with the newest opposite swing known on the row before it.
     ``price_at='confirmation'`` reads the price on the confirmation row instead of the extreme.
-    Both sides are carried over chunk borders by one summary per chunk.
     """
     hp, lp = ("sh_price", "sl_price") if price_at == "extreme" else ("high", "low")
-    upto = P.win().rowsBetween(Window.unboundedPreceding, 0)
-    before = P.win().rowsBetween(Window.unboundedPreceding, -1)
-    h_val, l_val = F.when(F.col("sh"), F.col(hp)), F.when(F.col("sl"), F.col(lp))
-    own = own.withColumns(
+    h, lo = f"CASE WHEN sh THEN {hp} END", f"CASE WHEN sl THEN {lp} END"
+    seg = add(
+        seg,
         {
-            "_h": F.last(h_val, ignorenulls=True).over(upto),
-            "_l": F.last(l_val, ignorenulls=True).over(upto),
-            "_hb": F.last(h_val, ignorenulls=True).over(before),
-            "_lb": F.last(l_val, ignorenulls=True).over(before),
-        }
+            "_h": f"last({h}, true) {over(None)}",
+            "_l": f"last({lo}, true) {over(None)}",
+            "_hb": f"last({h}, true) {over(None, -1)}",
+            "_lb": f"last({lo}, true) {over(None, -1)}",
+        },
     )
-    own = own.withColumns(
+    return add(
+        seg,
         {
-            "_up": F.last(F.when(F.col("sh"), F.struct(F.col(hp).alias("hi"), F.col("_lb").alias("lo"))), ignorenulls=True).over(upto),
-            "_dn": F.last(F.when(F.col("sl"), F.struct(F.col("_hb").alias("hi"), F.col(lp).alias("lo"))), ignorenulls=True).over(upto),
-        }
+            "_up": f"last(CASE WHEN sh THEN named_struct('hi', {hp}, 'lo', _lb) END, true) {over(None)}",
+            "_dn": f"last(CASE WHEN sl THEN named_struct('hi', _hb, 'lo', {lp}) END, true) {over(None)}",
+        },
+    ).drop("_hb", "_lb")
+
+
+def _before_leg(val: str, leg: str) -> str:
+    """Newest ``val`` among the segments strictly older than the newest segment that has a ``leg``."""
+    return (
+        f"aggregate(collect_list(named_struct('v', {val}, 'leg', {leg} IS NOT NULL)) {P._PRIOR}, "
+        "named_struct('v', cast(null AS double), 'at', cast(null AS double)), "
+        "(a, e) -> named_struct('v', coalesce(e.v, a.v), 'at', CASE WHEN e.leg THEN a.v ELSE a.at END)).at"
     )
-    ends = own.groupBy("symbol", "_c").agg(*[F.max_by(n, "rn").alias(n) for n in ("_h", "_l", "_up", "_dn")])
-    prior = Window.partitionBy("symbol").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
 
-    def seen(c):
-        return F.last(c, ignorenulls=True).over(prior)
 
-    ends = ends.withColumns({"_kh": seen("_h"), "_kl": seen("_l")})
-    ends = ends.withColumns(
-        {
-            "_up": F.when(F.col("_up").isNotNull(), F.struct(F.col("_up.hi").alias("hi"), F.coalesce("_up.lo", "_kl").alias("lo"))),
-            "_dn": F.when(F.col("_dn").isNotNull(), F.struct(F.coalesce("_dn.hi", "_kh").alias("hi"), F.col("_dn.lo").alias("lo"))),
-        }
-    )
-    carry = ends.select("symbol", "_c", "_kh", "_kl", seen("_up").alias("_kup"), seen("_dn").alias("_kdn"))
-    out = own.join(carry, ["symbol", "_c"])
+SWING_CARRY = {
+    "_kh": P.last_seen("_h"),
+    "_kl": P.last_seen("_l"),
+    "_kup": P.last_seen("_up"),
+    "_kdn": P.last_seen("_dn"),
+    # a leg opened in a segment without an opposite swing takes the one known before that segment
+    "_kupl": _before_leg("_l", "_up"),
+    "_kdnh": _before_leg("_h", "_dn"),
+}
+
 
-    def side(own_leg, carried, field, opposite):
-        resolved = F.coalesce(F.col(f"{own_leg}.{field}"), F.col(opposite)) if opposite else F.col(f"{own_leg}.{field}")
-        return F.when(F.col(own_leg).isNotNull(), resolved).otherwise(F.col(f"{carried}.{field}"))
+def finish_swing_memory(df: DataFrame) -> DataFrame:
+    """Last confirmed swing high/low and the last up/down leg on every bar.
 
-    return out.withColumns(
+    A leg pairs the newest swing with the newest opposite swing known on the row before it.
+    """
+    return add(
+        df,
         {
-            "last_swing_high": F.coalesce("_h", "_kh"),
-            "last_swing_low": F.coalesce("_l", "_kl"),
-            "up_leg_hi": side("_up", "_kup", "hi", None),
-            "up_leg_lo": side("_up", "_kup", "lo", "_kl"),
-            "down_leg_hi": side("_dn", "_kdn", "hi", "_kh"),
-            "down_leg_lo": side("_dn", "_kdn", "lo", None),
-        }
-    ).drop("_h", "_l", "_hb", "_lb", "_up", "_dn", "_kh", "_kl", "_kup", "_kdn")
+            "last_swing_high": "coalesce(_h, _kh)",
+            "last_swing_low": "coalesce(_l, _kl)",
+            "up_leg_hi": "CASE WHEN _up IS NOT NULL THEN _up.hi ELSE _kup.hi END",
+            "up_leg_lo": "CASE WHEN _up IS NOT NULL THEN coalesce(_up.lo, _kl) ELSE coalesce(_kup.lo, _kupl) END",
+            "down_leg_hi": "CASE WHEN _dn IS NOT NULL THEN coalesce(_dn.hi, _kh) ELSE coalesce(_kdn.hi, _kdnh) END",
+            "down_leg_lo": "CASE WHEN _dn IS NOT NULL THEN _dn.lo ELSE _kdn.lo END",
+        },
+    ).drop(*MEMORY, *SWING_CARRY)
 
 
 def swing_memory(bars: DataFrame, price_at: str = "extreme") -> DataFrame:
-    h = P.own_rows(add_confirmed_swings(I.chunked(bars, 5)))
-    return add_swing_memory(h, price_at).drop("_c")
+    h = P.own_rows(I.with_features(P.chunked(bars, 5), I.SWINGS))
+    seg = add_swing_locals(P.segment(h), price_at)
+    return finish_swing_memory(P.scan(seg, {}, extra_ends=MEMORY, extra_carry=SWING_CARRY)).drop("_c")
 
 
 def swings(bars: DataFrame) -> DataFrame:
     """One row per confirmed swing: symbol, kind, ordinal and time of the extreme bar, price."""
-    h = I.chunked(bars, 5)
-    h = P.own_rows(add_confirmed_swings(h.withColumn("at", I.lag("ts", 2)))).where("sh or sl")
-    pts = F.filter(
-        F.array(
-            F.when(F.col("sh"), F.struct(F.lit("high").alias("kind"), F.col("sh_price").alias("price"))),
-            F.when(F.col("sl"), F.struct(F.lit("low").alias("kind"), F.col("sl_price").alias("price"))),
-        ),
-        lambda x: x.isNotNull(),
+    h = P.own_rows(I.with_features(P.chunked(bars, 5), [*I.SWINGS, "swing_ts"])).where("sh OR sl")
+    return h.selectExpr(
+        "symbol", "rn - 2 AS rn", "swing_ts AS ts",
+        """inline(filter(array(CASE WHEN sh THEN named_struct('kind', 'high', 'price', sh_price) END,
+            CASE WHEN sl THEN named_struct('kind', 'low', 'price', sl_price) END), x -> x IS NOT NULL))""",
     )
-    return h.select("symbol", (F.col("rn") - 2).alias("rn"), F.col("at").alias("ts"), F.inline(pts))

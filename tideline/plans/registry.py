@@ -84,7 +84,7 @@ def sql_with(body: str, *deps: str, recursive: bool = False) -> str:
 
     for d in deps:
         visit(d)
-    parts = ",\n".join(f"{n} AS (\n{CTES[n][1]}\n)" for n in seen)
+    parts = ",\n".join(f"{n} AS MATERIALIZED (\n{CTES[n][1]}\n)" for n in seen)
     body = body.strip()
     if body.upper().startswith("WITH "):
         body = body[5:]

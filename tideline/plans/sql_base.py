@@ -108,16 +108,27 @@ def bounded_ctes(src: str, p: str):
     )
 
 
+cte(
+    "wb",
+    """SELECT symbol, ts, open, greatest(open, close) + hi AS high, least(open, close) - lo AS low, close, volume,
+  row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS rn
+ FROM (SELECT *, 20000 + sum(step) OVER w - step AS open, 20000 + sum(step) OVER w AS close FROM (
+  SELECT l_returnflag || l_linestatus AS symbol, CAST(l_shipdate AS DATE) AS ts,
+   CAST(sum(l_quantity) - 25.5 * count(*) AS DOUBLE) AS step, max(l_quantity) / 2 AS hi,
+   25.5 - min(l_quantity) / 2 AS lo, CAST(sum(l_quantity) AS DOUBLE) AS volume
+  FROM lineitem GROUP BY 1, 2) WINDOW w AS (PARTITION BY symbol ORDER BY ts))""",
+)
 bounded_ctes("b", "i")
+bounded_ctes("wb", "w")
 
 # swings: confirmed two rows later; equal neighbours keep the first bar
 cte(
     "sw",
     """SELECT * EXCLUDE (fh, fl), fh AND NOT coalesce(lag(fh) OVER w, false) AS is_high, fl AND NOT coalesce(lag(fl) OVER w, false) AS is_low FROM (
  SELECT *, count(*) OVER c5 = 5 AND high = max(high) OVER c5 AS fh, count(*) OVER c5 = 5 AND low = min(low) OVER c5 AS fl
- FROM b WINDOW c5 AS (PARTITION BY symbol ORDER BY rn ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
+ FROM wb WINDOW c5 AS (PARTITION BY symbol ORDER BY rn ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
  WINDOW w AS (PARTITION BY symbol ORDER BY rn)""",
-    "b",
+    "wb",
 )
 cte(
     "swm",
@@ -150,8 +161,9 @@ cte(
   coalesce(macd_hist < lag(macd_hist) OVER w, false) AS hist_falling,
   coalesce(rsi_14 > lag(rsi_14, 3) OVER w, false) AS rsi_rising, coalesce(rsi_14 < lag(rsi_14, 3) OVER w, false) AS rsi_falling,
   greatest(0.35 * atr_14, 0.001 * close) AS tol
- FROM irec JOIN swm USING (symbol, rn) WINDOW w AS (PARTITION BY symbol ORDER BY rn)""",
-    "irec",
+,
+  lag(rsi_14) OVER w AS rsi_prev FROM wrec JOIN swm USING (symbol, rn) WINDOW w AS (PARTITION BY symbol ORDER BY rn)""",
+    "wrec",
     "swm",
 )
 

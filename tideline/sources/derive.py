@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import panel as P
+from ..operators import signals as G
+from .store import stored
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,3 +45,32 @@ def bars_h(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("symbol"), F.col("ts").alias("tick_ts"), "event_id", "value", F.lit(1.0).alias("one")
     )
     return ticks_to_bars(ev, F.date_trunc("hour", "tick_ts"), "value", "one", ["tick_ts", "event_id"])
+
+
+def flow_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Net order flow per symbol and day: quantity minus the typical 25.5 per line."""
+    li = daily_ticks(spark, sf_dir).withColumn("ts", F.to_date("l_shipdate"))
+    return li.groupBy("symbol", "ts").agg(
+        F.expr("cast(sum(l_quantity) - 25.5 * count(*) as double) AS step"),
+        F.expr("max(l_quantity) / 2 AS hi"),
+        F.expr("25.5 - min(l_quantity) / 2 AS lo"),
+        F.expr("cast(sum(l_quantity) as double) AS volume"),
+    )
+
+
+def walk_d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of a cumulative order-flow index: a trending series with small daily ranges.
+
+    The level is a running total over all earlier days; steps are halves, so it is exact.
+    """
+    own = P.own_rows(P.chunked(flow_days(spark, sf_dir)))
+    c = P.scan(own, {"flow": ("step", 1.0)})
+    c = c.selectExpr("symbol", "ts", "rn", "20000 + flow - step AS open", "20000 + flow AS close", "hi", "lo", "volume")
+    return c.selectExpr(
+        "symbol", "ts", "open", "greatest(open, close) + hi AS high", "least(open, close) - lo AS low", "close", "volume", "rn"
+    )
+
+
+def panel_d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature panel of ``walk_d``, stored once per application."""
+    return stored(spark, "panel_d", sf_dir, lambda: G.feature_panel(walk_d(spark, sf_dir)))

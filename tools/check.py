@@ -17,7 +17,7 @@ def session(cores="8"):
     s = (
         SparkSession.builder.master(f"local[{cores}]").config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "8g").config("spark.sql.adaptive.enabled", "true").getOrCreate()
+        .config("spark.driver.memory", "8g").config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k").config("spark.ui.showConsoleProgress", "false").config("spark.sql.adaptive.enabled", "true").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     return s
