@@ -116,7 +116,7 @@ def exit_policies(df: DataFrame, side: str) -> DataFrame:
             "tp2_only": "CASE _mb WHEN 'tp2' THEN 2.0D WHEN 'sl' THEN -1.0D END",
             "tp3_only": "CASE _mb WHEN 'tp3' THEN 3.0D WHEN 'sl' THEN -1.0D END",
             "partial": "CASE _mb WHEN 'tp1' THEN 0.5D WHEN 'tp2' THEN 1.5D WHEN 'tp3' THEN 1.5D WHEN 'sl' THEN -1.0D END",
-            "trailing": f"""CASE WHEN atr_14 IS NOT NULL THEN aggregate(path, named_struct('best', 0.0D, 'stop', -1.0D, 'r', cast(null as double)),
+            "trailing_stop": f"""CASE WHEN atr_14 IS NOT NULL THEN aggregate(path, named_struct('best', 0.0D, 'stop', -1.0D, 'r', cast(null as double)),
                 (a, x) -> {step}, a -> coalesce(a.r, a.best)) END""",
             "timestop": f"CASE WHEN size(path) = {HOLD} THEN {signed(side, f'element_at(path, {HOLD}).close', 'close')} / {r} END",
         },
@@ -233,8 +233,8 @@ def meta_labels(signals: DataFrame, panel: DataFrame, side: str = "long", valid:
 
 
 def resolve_trades(
-    signals: DataFrame, panel: DataFrame, side: str = "long", valid: int = 3, hold: int = 20, slippage: float = 0.0002,
-    rr: float = 2.5, market: bool = False, min_risk: float = 0.0,
+    signals: DataFrame, panel: DataFrame, side: str = "long", valid: int = 3, hold: int = 20, slippage: float = 0.0,
+    rr: float = 2.0, market: bool = False, min_risk: float = 0.001,
 ) -> DataFrame:
     """One resolved trade per confirmed signal: fill, exit reason, exit price and R.
 

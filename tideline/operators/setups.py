@@ -29,7 +29,8 @@ EVIDENCE = {
     "macd_pos": "macd_hist > 0",
     "macd_neg": "macd_hist < 0",
     "macd_rising": "hist_rising",
-    "rsi_rising1": "rsi_14 > rsi_prev",
+    # a flat close leaves RSI unchanged up to rounding noise
+    "rsi_rising1": "rsi_14 > rsi_prev + 1e-9",
     "oversold": "rsi_14 <= 30",
     "overbought": "rsi_14 >= 70",
     "rsi_gt50": "rsi_14 > 50",

@@ -34,8 +34,8 @@ def feature_panel(bars: DataFrame, price_at: str = "extreme") -> DataFrame:
         {
             "hist_rising": f"coalesce(macd_hist > {lag('macd_hist')}, false)",
             "hist_falling": f"coalesce(macd_hist < {lag('macd_hist')}, false)",
-            "rsi_rising": f"coalesce(rsi_14 > {lag('rsi_14', 3)}, false)",
-            "rsi_falling": f"coalesce(rsi_14 < {lag('rsi_14', 3)}, false)",
+            "rsi_rising": f"coalesce(rsi_14 > {lag("rsi_14", 3)} + 1e-9, false)",
+            "rsi_falling": f"coalesce(rsi_14 < {lag("rsi_14", 3)} - 1e-9, false)",
             "rsi_prev": lag("rsi_14"),
         },
     )

@@ -1,4 +1,4 @@
 """Importing the package registers every query."""
 
-from . import windows  # noqa: F401
+from . import outcomes, windows  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401

@@ -159,7 +159,7 @@ cte(
     "f",
     f"""SELECT *, {BIAS} AS bias_score, coalesce(macd_hist > lag(macd_hist) OVER w, false) AS hist_rising,
   coalesce(macd_hist < lag(macd_hist) OVER w, false) AS hist_falling,
-  coalesce(rsi_14 > lag(rsi_14, 3) OVER w, false) AS rsi_rising, coalesce(rsi_14 < lag(rsi_14, 3) OVER w, false) AS rsi_falling,
+  coalesce(rsi_14 > lag(rsi_14, 3) OVER w + 1e-9, false) AS rsi_rising, coalesce(rsi_14 < lag(rsi_14, 3) OVER w - 1e-9, false) AS rsi_falling,
   greatest(0.35 * atr_14, 0.001 * close) AS tol
 ,
   lag(rsi_14) OVER w AS rsi_prev FROM wrec JOIN swm USING (symbol, rn) WINDOW w AS (PARTITION BY symbol ORDER BY rn)""",

@@ -69,11 +69,11 @@ def swing_memory(spark, sf):
 
 _DIP = (
     f"{KEYS} score:i stage bias_score:i above_sma200:b ma_stack:b trend:b pullback:b cooled:b at_support:b fib_zone:b "
-    "trigger:b dip_depth_pct:3 entry_lo:3 entry_hi:3 invalidation:3 resistance:2"
+    "trigger:b dip_depth_pct:3 entry_lo:6 entry_hi:6 invalidation:4 resistance:2"
 )
 _RALLY = (
     f"{KEYS} score:i stage bias_score:i below_sma200:b ma_stack:b trend:b rally:b stretched:b at_resistance:b fib_zone:b "
-    "trigger:b rally_depth_pct:3 entry_lo:3 entry_hi:3 invalidation:3 target:2"
+    "trigger:b rally_depth_pct:3 entry_lo:6 entry_hi:6 invalidation:4 target:2"
 )
 
 

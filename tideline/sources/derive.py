@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import panel as P
+from ..operators import research as X
 from ..operators import signals as G
 from .store import stored
 
@@ -74,3 +75,8 @@ def walk_d(spark: SparkSession, sf_dir: str) -> DataFrame:
 def panel_d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature panel of ``walk_d``, stored once per application."""
     return stored(spark, "panel_d", sf_dir, lambda: G.feature_panel(walk_d(spark, sf_dir)))
+
+
+def research_d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Research panel of ``walk_d``, stored once per application."""
+    return stored(spark, "research_d", sf_dir, lambda: X.research_panel(panel_d(spark, sf_dir)))
