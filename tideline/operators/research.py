@@ -40,7 +40,7 @@ def research_panel(panel: DataFrame) -> DataFrame:
             "dist": "close - sma_200",
             "_up": f"CASE WHEN close > {lag('close')} THEN 1 ELSE 0 END",
             "_dn": f"CASE WHEN close < {lag('close')} THEN 1 ELSE 0 END",
-            "_atr20": f"CASE WHEN count(atr_14) {over(19)} = 20 THEN avg(atr_14) {over(19)} END",
+            "_atr20": f"CASE WHEN count(atr_14) {over(19)} = 20 THEN round(avg(atr_14) {over(19)}, 9) END",
             "ret_5": f"close / {lag('close', 5)} - 1",
             "ret_10": f"close / {lag('close', 10)} - 1",
             "ret_20": f"close / {lag('close', 20)} - 1",

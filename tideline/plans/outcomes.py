@@ -251,11 +251,11 @@ _XF = "symbol ts:d family param:1 r:5"
         g AS (SELECT * FROM (VALUES {', '.join(f"('{a}', CAST({b} AS DOUBLE))" for a, b in O.EXIT_FAMILIES)}) v(family, param)),
         e AS (SELECT symbol, rn, family, param, any_value((lastc - c0) / risk) AS lr,
           bool_or(high >= c0 + risk * param) AS tps, bool_or(low <= c0 - risk * param) AS sls,
-          min_by((best - risk * param - c0) / risk, i) FILTER (WHERE low <= best - risk * param) AS tr,
+          min_by((best - risk * param - c0) / risk, i) FILTER (WHERE low <= best - risk * param) AS trl,
           min_by((cx - c0) / risk, i) FILTER (WHERE rsi > 35) AS rv, min_by((cx - c0) / risk, i) FILTER (WHERE cx >= c0) AS rm FROM s CROSS JOIN g GROUP BY ALL)
-        SELECT {sel(_XF)} FROM (SELECT symbol, f.ts, family, param, CASE family WHEN 'time' THEN lr WHEN 'atr_target' THEN CASE WHEN tps THEN param ELSE lr END
-          WHEN 'atr_stop' THEN CASE WHEN sls THEN -param ELSE lr END WHEN 'trailing' THEN coalesce(tr, lr) WHEN 'signal_reversal' THEN coalesce(rv, lr) ELSE coalesce(rm, lr) END AS r
-          FROM e JOIN f USING (symbol, rn))""",
+        SELECT {sel(_XF)} FROM (SELECT e.symbol, f.ts, family, param, CASE family WHEN 'time' THEN lr WHEN 'atr_target' THEN CASE WHEN tps THEN param ELSE lr END
+          WHEN 'atr_stop' THEN CASE WHEN sls THEN -param ELSE lr END WHEN 'trailing' THEN coalesce(trl, lr) WHEN 'signal_reversal' THEN coalesce(rv, lr) ELSE coalesce(rm, lr) END AS r
+          FROM e JOIN (SELECT symbol, rn, ts FROM f) f USING (symbol, rn))""",
         "f", "fx",
     ),
 )
