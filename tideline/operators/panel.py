@@ -157,9 +157,9 @@ def running_max(own: DataFrame, specs: dict[str, str]) -> DataFrame:
 
 def ffill(own: DataFrame, specs: dict[str, str]) -> DataFrame:
     """Last non-null value of each expression up to and including the row, over chunked rows."""
-    seg = add(segment(own), {n: f"last({e}, true) {over(None)}" for n, e in specs.items()})
-    out = scan(seg, {}, extra_ends=list(specs), extra_carry={f"_m_{n}": last_seen(n) for n in specs})
-    return put(out, {n: f"coalesce({n}, _m_{n})" for n in specs}).drop(*[f"_m_{n}" for n in specs])
+    seg = add(segment(own), {f"_f_{n}": f"last({e}, true) {over(None)}" for n, e in specs.items()})
+    out = scan(seg, {}, extra_ends=[f"_f_{n}" for n in specs], extra_carry={f"_m_{n}": last_seen(f"_f_{n}") for n in specs})
+    return put(out, {n: f"coalesce(_f_{n}, _m_{n})" for n in specs}).drop(*[f"{p}{n}" for n in specs for p in ("_f_", "_m_")])
 
 
 def latest(panel: DataFrame, ts: str = "ts", key: str = "symbol") -> DataFrame:

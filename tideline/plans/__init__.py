@@ -1,4 +1,4 @@
 """Importing the package registers every query."""
 
-from . import outcomes, statistics, windows  # noqa: F401
+from . import hygiene, outcomes, statistics, windows  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401

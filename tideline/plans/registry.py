@@ -73,6 +73,8 @@ def cte(name: str, body: str, *deps: str):
 
 def sql_with(body: str, *deps: str, recursive: bool = False) -> str:
     """Prefix ``body`` with the named common table expressions and what they depend on."""
+    if not deps:
+        return body.strip()
     seen: list[str] = []
 
     def visit(n):
