@@ -18,6 +18,7 @@ PRIME = 2147483647
 
 def unit(rep: str, key: str, seed: int = 42) -> str:
     """Uniform [0, 1) from two integers: two squaring rounds modulo a prime."""
+    rep, key = f"CAST({rep} AS BIGINT)", f"CAST({key} AS BIGINT)"
     a = f"((({rep}) * 69621 + ({key}) * 48271 + {seed}) % {PRIME})"
     b = f"(({a} * {a} + ({key}) % 65521 * 7919 + {seed}) % {PRIME})"
     return f"((({b} * {b} + ({rep}) * 16807 + 12345) % {PRIME}) / {PRIME}.0)"

@@ -222,7 +222,7 @@ def divergences(panel: DataFrame, min_conf: float = 65) -> DataFrame:
     wide = p.groupBy("symbol", "kind").agg(*[F.expr(f"max(CASE WHEN k = {i} THEN {c} END) AS {c}_{i}") for i in (1, 2, 3) for c in cols])
     d = wide.join(P.latest(panel).selectExpr("symbol", "atr_14"), "symbol")
     o = d.selectExpr("*", "stack(2, 'rsi_14', rsi_14_1, rsi_14_2, 'macd_hist', macd_hist_1, macd_hist_2) AS (osc, o1, o2)")
-    conf = """least(92, 45 + CASE WHEN abs(price_1 - price_2) >= 1.5 * atr_14 THEN 15 WHEN abs(price_1 - price_2) >= atr_14 THEN 10 ELSE 5 END
+    conf = """least(95, 45 + CASE WHEN abs(price_1 - price_2) >= 1.5 * atr_14 THEN 15 WHEN abs(price_1 - price_2) >= atr_14 THEN 10 ELSE 5 END
         + CASE WHEN abs(o1 - o2) >= 15 THEN 15 WHEN abs(o1 - o2) >= 8 THEN 10 ELSE 5 END + CASE WHEN prn_1 - prn_2 >= 6 THEN 10 WHEN prn_1 - prn_2 >= 3 THEN 5 ELSE 0 END)"""
     typ = """CASE WHEN kind = 'high' AND price_1 > price_2 AND o1 < o2 THEN 'regular bearish' WHEN kind = 'low' AND price_1 < price_2 AND o1 > o2 THEN 'regular bullish'
         WHEN kind = 'low' AND price_1 > price_2 AND o1 < o2 THEN 'hidden bullish' WHEN kind = 'high' AND price_1 < price_2 AND o1 > o2 THEN 'hidden bearish' END"""
@@ -237,7 +237,7 @@ def divergences(panel: DataFrame, min_conf: float = 65) -> DataFrame:
     return div.unionByName(fail).where(f"confidence >= {min_conf}")
 
 
-def reversal_patterns(panel: DataFrame, base: float = 45, cap: float = 92, forming_cap: float = 78, min_p: float = 65) -> DataFrame:
+def reversal_patterns(panel: DataFrame, base: float = 45, cap: float = 95, forming_cap: float = 85, min_p: float = 65) -> DataFrame:
     """Double top/bottom and head and shoulders (both directions) from the last pivots, with a structural score."""
     p = recent_pivots(panel, 12)
     now = P.latest(panel).selectExpr("symbol", "close", "atr_14", "greatest(0.35 * atr_14, 0.001 * close) AS tol")

@@ -1,4 +1,4 @@
 """Importing the package registers every query."""
 
-from . import hygiene, levels, outcomes, statistics, windows  # noqa: F401
+from . import decisions, hygiene, levels, outcomes, risk, statistics, windows  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401

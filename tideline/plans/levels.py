@@ -68,7 +68,7 @@ q(
     f"""WITH w AS (SELECT p.symbol, kind, {_PW} FROM pvt p GROUP BY 1, 2), d AS (SELECT w.*, atr_14 FROM w JOIN last1 USING (symbol)),
     o AS (SELECT *, 'rsi_14' AS osc, rsi_141 AS o1, rsi_142 AS o2 FROM d UNION ALL SELECT *, 'macd_hist', macd_hist1, macd_hist2 FROM d),
     c AS (SELECT symbol, osc, CASE WHEN kind = 'high' AND price1 > price2 AND o1 < o2 THEN 'regular bearish' WHEN kind = 'low' AND price1 < price2 AND o1 > o2 THEN 'regular bullish' WHEN kind = 'low' AND price1 > price2 AND o1 < o2 THEN 'hidden bullish' WHEN kind = 'high' AND price1 < price2 AND o1 > o2 THEN 'hidden bearish' END AS name,
-     least(92, 45 + CASE WHEN abs(price1 - price2) >= 1.5 * atr_14 THEN 15 WHEN abs(price1 - price2) >= atr_14 THEN 10 ELSE 5 END + CASE WHEN abs(o1 - o2) >= 15 THEN 15 WHEN abs(o1 - o2) >= 8 THEN 10 ELSE 5 END + CASE WHEN prn1 - prn2 >= 6 THEN 10 WHEN prn1 - prn2 >= 3 THEN 5 ELSE 0 END) AS confidence FROM o
+     least(95, 45 + CASE WHEN abs(price1 - price2) >= 1.5 * atr_14 THEN 15 WHEN abs(price1 - price2) >= atr_14 THEN 10 ELSE 5 END + CASE WHEN abs(o1 - o2) >= 15 THEN 15 WHEN abs(o1 - o2) >= 8 THEN 10 ELSE 5 END + CASE WHEN prn1 - prn2 >= 6 THEN 10 WHEN prn1 - prn2 >= 3 THEN 5 ELSE 0 END) AS confidence FROM o
      UNION ALL SELECT symbol, 'rsi_14', CASE WHEN kind = 'high' AND rsi_143 > 70 AND ((rsi_142 > rsi_143 AND rsi_141 < rsi_143) OR (rsi_142 <= rsi_143 AND rsi_141 < rsi_142)) THEN 'failure swing bearish' WHEN kind = 'low' AND rsi_143 < 30 AND ((rsi_142 < rsi_143 AND rsi_141 > rsi_143) OR (rsi_142 >= rsi_143 AND rsi_141 > rsi_142)) THEN 'failure swing bullish' END, 70 FROM d)
     SELECT * FROM c WHERE name IS NOT NULL AND confidence >= 65""", "pvt", "last1",
 )(lambda spark, sf: S.divergences(D.panel_d(spark, sf)))
