@@ -268,3 +268,64 @@ def reversal_patterns(panel: DataFrame, base: float = 45, cap: float = 95, formi
     u = add(two.unionByName(three), {"status": "CASE WHEN sg * (close - breakout) < 0 THEN 'Confirmed' ELSE 'Forming' END"})
     u = add(u, {"confidence": f"double(greatest(0, least(p, CASE status WHEN 'Confirmed' THEN {cap} ELSE {forming_cap} END)))", "side": "CASE sg WHEN 1 THEN 'bearish' ELSE 'bullish' END"})
     return u.where(f"confidence >= {min_p}").select("symbol", "name", "side", "breakout", "status", "confidence")
+
+
+def continuation_patterns(panel: DataFrame, base: float = 45, cap: float = 95, forming_cap: float = 85, min_p: float = 65) -> DataFrame:
+    """Triangles, flags or pennants, and cup with handle from the newest confirmed pivots.
+
+    Only the last pivots of a symbol are needed, so the pivot lists are group-limited before the
+    shuffle; trend lines are regression aggregates over the last eight pivots.
+    """
+    p = recent_pivots(panel, 12)
+    now = P.latest(panel).selectExpr("symbol", "rn AS now_rn", "close", "atr_14", "greatest(0.35 * atr_14, 0.001 * close) AS tol")
+    last8 = p.selectExpr("*", "row_number() OVER (PARTITION BY symbol ORDER BY prn DESC, kind) AS j").where("j <= 8")
+
+    def line(k, fn):
+        return f"{fn}(CASE WHEN kind = '{k}' THEN price END, CASE WHEN kind = '{k}' THEN prn END)"
+
+    t = last8.groupBy("symbol").agg(
+        F.expr("max(prn) AS x1"), F.expr("min(prn) AS x0"), F.expr("count(*) AS touches"),
+        *[F.expr(f"{line(k, 'regr_slope')} AS {n}s") for k, n in (("high", "h"), ("low", "l"))],
+        *[F.expr(f"{line(k, 'regr_intercept')} AS {n}i") for k, n in (("high", "h"), ("low", "l"))],
+    ).join(now, "symbol")
+    t = add(t, {"flat": "0.5 * atr_14 / greatest(1, x1 - x0)", "h1": "hs * x1 + hi", "l1": "ls * x1 + li", "w0": "hs * x0 + hi - ls * x0 - li"})
+    t = add(
+        t,
+        {
+            "name": """CASE WHEN abs(hs) <= flat AND ls > flat THEN 'Ascending Triangle' WHEN abs(ls) <= flat AND hs < -flat THEN 'Descending Triangle'
+                WHEN hs < -flat AND ls > flat THEN 'Symmetric Triangle' END""",
+            "side": """CASE WHEN abs(hs) <= flat AND ls > flat THEN 'bullish' WHEN abs(ls) <= flat AND hs < -flat THEN 'bearish'
+                WHEN abs(close - h1) <= abs(close - l1) THEN 'bearish' ELSE 'bullish' END""",
+            "breakout": """CASE WHEN abs(hs) <= flat AND ls > flat THEN h1 WHEN abs(ls) <= flat AND hs < -flat THEN l1
+                WHEN abs(close - h1) <= abs(close - l1) THEN h1 ELSE l1 END""",
+            "w1": "h1 - l1",
+        },
+    ).where("name IS NOT NULL AND w0 > 0 AND w1 > 0 AND w1 < w0")
+    tri = t.selectExpr(
+        "symbol", "name", "side", "breakout", "close",
+        f"{base} + CASE WHEN touches >= 5 THEN 10 ELSE 5 END + CASE WHEN w1 <= 0.6 * w0 THEN 10 ELSE 5 END + CASE WHEN abs(close - breakout) <= atr_14 THEN 5 ELSE 0 END AS p0",
+    )
+    two = last8.where("j <= 2").groupBy("symbol").agg(*[F.expr(f"max(CASE WHEN j = {i} THEN {c} END) AS {c}{i}") for i in (1, 2) for c in ("prn", "price", "kind")])
+    two = add(two.join(now, "symbol").where("kind1 <> kind2 AND prn1 - prn2 > 2"), {"pole": "CASE kind1 WHEN 'high' THEN price1 - price2 ELSE price2 - price1 END"}).where("pole >= 3 * atr_14")
+    cons = panel.selectExpr("symbol AS s", "rn", "high", "low")
+    fl = two.join(cons, F.expr("s = symbol AND rn BETWEEN prn1 + 1 AND prn1 + 10")).groupBy("symbol", "kind1", "pole", "close", "atr_14").agg(
+        F.expr("count(*) AS n"), F.expr("max(high) AS ch"), F.expr("min(low) AS cl")
+    ).where("n >= 3 AND (ch - cl) / pole <= 0.6 AND ch - cl <= 0.75 * atr_14")
+    flag = fl.selectExpr(
+        "symbol", "CASE WHEN n >= 5 THEN 'Flag' ELSE 'Pennant' END AS name", "CASE kind1 WHEN 'high' THEN 'bullish' ELSE 'bearish' END AS side",
+        "CASE kind1 WHEN 'high' THEN ch + 0.5 * atr_14 ELSE cl - 0.5 * atr_14 END AS breakout", "close",
+        f"{base} + CASE WHEN pole >= 4 * atr_14 THEN 10 ELSE 5 END + CASE WHEN (ch - cl) / pole <= 0.4 THEN 10 ELSE 5 END + CASE WHEN n >= 5 THEN 5 ELSE 0 END AS p0",
+    )
+    piv = p.groupBy("symbol").agg(F.expr("array_sort(collect_list(CASE WHEN kind = 'high' THEN struct(prn, price) END)) AS hs"), F.expr("array_sort(collect_list(CASE WHEN kind = 'low' THEN struct(prn, price) END)) AS ls")).join(now, "symbol")
+    # the bottom is the newest low that still has a right rim and a handle low after it
+    cup = piv.selectExpr("symbol", "close", "atr_14", "tol", "hs", "ls", "element_at(filter(ls, b -> exists(hs, h -> h.prn > b.prn) AND exists(ls, q -> q.prn > b.prn AND q.price > b.price)), -1) AS b").where("b IS NOT NULL")
+    cup = add(cup, {"l": "try_element_at(filter(hs, h -> h.prn < b.prn), -1)", "r": "try_element_at(filter(hs, h -> h.prn > b.prn), 1)"}).where("l IS NOT NULL AND r.prn - l.prn >= 5 AND abs(l.price - r.price) <= tol")
+    cup = add(cup, {"rim": "greatest(l.price, r.price)", "handle": "try_element_at(filter(ls, q -> q.prn > r.prn AND q.price > b.price), 1).price"})
+    cup = add(cup, {"rise": "rim - b.price", "depth": "r.price - handle"}).where("rise >= 1.5 * atr_14 AND depth <= 0.382 * rise")
+    cup = cup.selectExpr(
+        "symbol", "'Cup & Handle' AS name", "'bullish' AS side", "rim AS breakout", "close",
+        f"{base} + CASE WHEN abs(l.price - r.price) <= 0.4 * tol THEN 10 ELSE 5 END + CASE WHEN rise >= 3 * atr_14 THEN 10 ELSE 5 END + CASE WHEN depth <= 0.25 * rise THEN 10 ELSE 5 END + CASE WHEN close <= rim AND rim - close <= atr_14 THEN 5 ELSE 0 END AS p0",
+    )
+    u = add(tri.unionByName(flag).unionByName(cup), {"confirmed": "CASE side WHEN 'bullish' THEN close > breakout ELSE close < breakout END"})
+    u = add(u, {"status": "CASE WHEN confirmed THEN 'Confirmed' ELSE 'Forming' END", "confidence": f"double(least(p0 + CASE WHEN confirmed THEN 10 ELSE 0 END, CASE WHEN confirmed THEN {cap} ELSE {forming_cap} END))"})
+    return u.where(f"confidence >= {min_p}").select("symbol", "name", "side", "breakout", "status", "confidence")

@@ -1,4 +1,4 @@
 """Importing the package registers every query."""
 
-from . import decisions, hygiene, levels, live, outcomes, risk, statistics, windows  # noqa: F401
+from . import decisions, hygiene, levels, live, outcomes, reports, risk, statistics, windows  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
