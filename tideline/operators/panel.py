@@ -109,6 +109,7 @@ def scan(
     keep: int = 0,
     extra_ends: list[str] = (),
     extra_carry: dict[str, str] | None = None,
+    extra_levels: tuple[dict[str, str], ...] = (),
     chunk: int | None = None,
 ) -> DataFrame:
     """Decayed running totals S_t = x_t + d * S_{t-1} for every {name: (expression, d)}.
@@ -116,7 +117,8 @@ def scan(
     ``df`` is chunked. d = 1 is a plain running total. With chunk length L the carry is
     sum_k d^(L(k-1)) * end(c-k); terms below 1e-18 cannot change a double. ``extra_ends`` are
     further columns whose segment-end values the SQL in ``extra_carry`` turns into carried
-    columns, so one summary and one join serve everything.
+    columns (``extra_levels`` are helper columns computed on the summary before that), so one
+    summary and one join serve everything.
     """
     c = chunk or CHUNK
     if "_pos" not in df.columns:
@@ -144,6 +146,8 @@ def scan(
     names = ", ".join([*specs, *extra_ends])
     last_row = F.expr(f"max_by(struct({names}), rn) AS _e")
     ends = df.where(f"_pos < {c}").groupBy("symbol", "_c").agg(last_row).selectExpr("symbol", "_c", "_e.*")
+    for level in extra_levels:
+        ends = add(ends, level)
     out = df.join(ends.selectExpr("symbol", "_c", *[f"{e} AS {n}" for n, e in carry.items()]), ["symbol", "_c"])
     return put(out, done).drop("_pos", *[f"_k_{n}" for n in specs])
 

@@ -28,7 +28,7 @@ def feature_panel(bars: DataFrame, price_at: str = "extreme") -> DataFrame:
     names = I.BUNDLE + I.REGIME_INPUTS + I.SCAN_INPUTS + I.SWINGS
     h = I.with_features(P.chunked(bars, I.HALO), names)
     h = S.add_swing_locals(P.segment(h, keep=3), price_at)
-    d = I.add_recursive(h, flow=True, keep=3, extra_ends=S.MEMORY, extra_carry=S.SWING_CARRY)
+    d = I.add_recursive(h, flow=True, keep=3, **S.CARRIED)
     d = add(
         d,
         {

@@ -46,8 +46,8 @@ def drawdown(trades: DataFrame, key: str, r: str, order: list[str]) -> DataFrame
     """
     o = ", ".join(order)
     # trade lists are indexed by time bucket and order, then scanned like any panel
-    d = trades.selectExpr(f"{key} AS symbol", f"struct({o}) AS ts", "date_trunc('year', signal_ts) AS _yr", f"{r} AS r")
-    d = index_by(d, "_yr", "ts")
+    d = trades.selectExpr(f"{key} AS symbol", f"struct({o}) AS ts", "to_date(signal_ts) AS _day", f"{r} AS r")
+    d = index_by(d, "_day", "ts")
     eq = P.scan(P.own_rows(P.with_halo(d)), {"equity": ("r", 1.0)})
     pk = P.running_max(eq, {"peak": "greatest(equity, 0)"})
     return pk.groupBy("symbol").agg(F.expr("min(equity - peak) AS max_dd")).withColumnRenamed("symbol", key)

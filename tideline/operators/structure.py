@@ -42,24 +42,16 @@ def add_swing_locals(seg: DataFrame, price_at: str = "extreme") -> DataFrame:
     ).drop("_hb", "_lb")
 
 
-def _before_leg(val: str, leg: str) -> str:
-    """Newest ``val`` among the segments strictly older than the newest segment that has a ``leg``."""
-    return (
-        f"aggregate(collect_list(named_struct('v', {val}, 'leg', {leg} IS NOT NULL)) {P._PRIOR}, "
-        "named_struct('v', cast(null AS double), 'at', cast(null AS double)), "
-        "(a, e) -> named_struct('v', coalesce(e.v, a.v), 'at', CASE WHEN e.leg THEN a.v ELSE a.at END)).at"
-    )
-
-
-SWING_CARRY = {
-    "_kh": P.last_seen("_h"),
-    "_kl": P.last_seen("_l"),
-    "_kup": P.last_seen("_up"),
-    "_kdn": P.last_seen("_dn"),
-    # a leg opened in a segment without an opposite swing takes the one known before that segment
-    "_kupl": _before_leg("_l", "_up"),
-    "_kdnh": _before_leg("_h", "_dn"),
-}
+# a leg opened in a segment without an opposite swing takes the one known before that segment
+SWING_LEVELS = (
+    {"_pl": P.last_seen("_l"), "_ph": P.last_seen("_h")},
+    {
+        "_upx": "CASE WHEN _up IS NOT NULL THEN named_struct('hi', _up.hi, 'lo', coalesce(_up.lo, _pl)) END",
+        "_dnx": "CASE WHEN _dn IS NOT NULL THEN named_struct('hi', coalesce(_dn.hi, _ph), 'lo', _dn.lo) END",
+    },
+)
+SWING_CARRY = {"_kh": "_ph", "_kl": "_pl", "_kup": P.last_seen("_upx"), "_kdn": P.last_seen("_dnx")}
+CARRIED = {"extra_ends": MEMORY, "extra_levels": SWING_LEVELS, "extra_carry": SWING_CARRY}
 
 
 def finish_swing_memory(df: DataFrame) -> DataFrame:
@@ -73,8 +65,8 @@ def finish_swing_memory(df: DataFrame) -> DataFrame:
             "last_swing_high": "coalesce(_h, _kh)",
             "last_swing_low": "coalesce(_l, _kl)",
             "up_leg_hi": "CASE WHEN _up IS NOT NULL THEN _up.hi ELSE _kup.hi END",
-            "up_leg_lo": "CASE WHEN _up IS NOT NULL THEN coalesce(_up.lo, _kl) ELSE coalesce(_kup.lo, _kupl) END",
-            "down_leg_hi": "CASE WHEN _dn IS NOT NULL THEN coalesce(_dn.hi, _kh) ELSE coalesce(_kdn.hi, _kdnh) END",
+            "up_leg_lo": "CASE WHEN _up IS NOT NULL THEN coalesce(_up.lo, _kl) ELSE _kup.lo END",
+            "down_leg_hi": "CASE WHEN _dn IS NOT NULL THEN coalesce(_dn.hi, _kh) ELSE _kdn.hi END",
             "down_leg_lo": "CASE WHEN _dn IS NOT NULL THEN _dn.lo ELSE _kdn.lo END",
         },
     ).drop(*MEMORY, *SWING_CARRY)
@@ -83,7 +75,7 @@ def finish_swing_memory(df: DataFrame) -> DataFrame:
 def swing_memory(bars: DataFrame, price_at: str = "extreme") -> DataFrame:
     h = P.own_rows(I.with_features(P.chunked(bars, 5), I.SWINGS))
     seg = add_swing_locals(P.segment(h), price_at)
-    return finish_swing_memory(P.scan(seg, {}, extra_ends=MEMORY, extra_carry=SWING_CARRY)).drop("_c")
+    return finish_swing_memory(P.scan(seg, {}, **CARRIED)).drop("_c")
 
 
 def swings(bars: DataFrame) -> DataFrame:

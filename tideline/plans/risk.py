@@ -93,7 +93,8 @@ def random_timing_null(spark, sf):
 @query("block_drawdown_distribution")
 def block_drawdown_distribution(spark, sf):
     """Drawdown, final R and losing streak of block-resampled trade sequences."""
-    t = trades(spark, sf).selectExpr("row_number() OVER (ORDER BY signal_ts, symbol, side) - 1 AS k", "r")
+    d = trades(spark, sf).selectExpr("'all' AS symbol", "struct(signal_ts, symbol, side) AS ts", "to_date(signal_ts) AS _day", "r")
+    t = S.index_by(d, "_day", "ts").selectExpr("rn AS k", "r")
     return show(B.block_drawdowns(t), "rep:i final_r:4 max_dd:4 losing_streak:i")
 
 

@@ -193,6 +193,6 @@ _RANK = "symbol ts:d close:2 bias_score:i bias_label adx:4 rank:i"
 )
 def universe_ranking(spark, sf):
     """Latest bar per symbol, bias score, rank by bias then ADX."""
-    last = P.latest(G.feature_panel(D.walk_d(spark, sf)))
+    last = P.add(P.latest(I.indicators(D.walk_d(spark, sf))), {"bias_score": I.BIAS})
     ranked = P.add(last, {"bias_label": I.BIAS_LABEL, "rank": "row_number() OVER (ORDER BY bias_score DESC, adx DESC, symbol)"})
     return show(ranked, _RANK)
