@@ -1,99 +1,16 @@
-"""Column helpers shared by every operator. All of them stay JVM-side."""
+"""Column helpers. All of them stay JVM-side."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def yes(cond: Column) -> Column:
-    """A predicate that is never null: unknown counts as false."""
-    return F.coalesce(cond, F.lit(False))
-
-
-def flag(cond: Column) -> Column:
-    return yes(cond).cast("int")
-
-
-def safe_div(a: Column, b: Column) -> Column:
-    """a / b, null when b is zero."""
-    return a / F.when(b != 0, b)
-
-
-def clip(x: Column, lo, hi) -> Column:
-    """Clamp; null stays null (greatest/least alone would drop the null)."""
-    return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(hi)), F.lit(lo)))
-
-
 def rnd(x: Column, digits: int = 4) -> Column:
     """Rounded double without a negative zero."""
     return F.round(x.cast("double"), digits) + F.lit(0.0)
 
 
-def total(cols) -> Column:
-    return reduce(lambda a, b: a + b, cols)
-
-
-def null_mean(cols) -> Column:
-    """Mean of the non-null columns, null when all are null."""
-    n = total([F.when(c.isNotNull(), 1).otherwise(0) for c in cols])
-    s = total([F.coalesce(c.cast("double"), F.lit(0.0)) for c in cols])
-    return F.when(n > 0, s / n)
-
-
-def null_weighted_mean(pairs) -> Column:
-    """Mean of (column, weight) pairs over the available columns only."""
-    w = total([F.when(c.isNotNull(), F.lit(float(k))).otherwise(0.0) for c, k in pairs])
-    s = total([F.coalesce(c.cast("double"), F.lit(0.0)) * float(k) for c, k in pairs])
-    return F.when(w > 0, s / w)
-
-
-def truthy(text: Column) -> Column:
-    return yes(F.lower(F.trim(text.cast("string"))).isin("yes", "true", "1"))
-
-
-def logit(p: Column, eps: float = 1e-6) -> Column:
-    q = clip(p, eps, 1 - eps)
-    return F.log(q / (1 - q))
-
-
-def logistic(x: Column) -> Column:
-    return 1 / (1 + F.exp(-x))
-
-
-def norm_cdf(x: Column) -> Column:
-    """Standard normal CDF, Abramowitz-Stegun 26.2.17 (absolute error < 7.5e-8)."""
-    # fixed values: published coefficients
-    b = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
-    t = 1 / (1 + 0.2316419 * F.abs(x))
-    poly = reduce(lambda acc, c: (acc + c) * t, reversed(b), F.lit(0.0))
-    tail = poly * F.exp(-x * x / 2) / 2.5066282746310002
-    return F.when(x >= 0, 1 - tail).otherwise(tail)
-
-
-def norm_ppf(p: Column) -> Column:
-    """Standard normal quantile, Abramowitz-Stegun 26.2.23 (absolute error < 4.5e-4)."""
-    # fixed values: published coefficients
-    q = F.least(p, 1 - p)
-    t = F.sqrt(-2 * F.log(q))
-    z = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (
-        1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t
-    )
-    return F.when(p >= 0.5, z).otherwise(-z)
-
-
-def first_hit(path: Column, cond) -> Column:
-    """1-based position of the first array element for which ``cond`` holds, else null."""
-    return F.nullif(F.array_position(F.transform(path, lambda e: yes(cond(e))), True), F.lit(0))
-
-
-def hash_unit(*cols) -> Column:
-    """Uniform [0, 1) number that depends on the arguments only (stable on task retry)."""
-    return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) / float(1 << 40)
-
-
 def finite(x: Column) -> Column:
     """NaN and infinities become null before JSON output."""
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)

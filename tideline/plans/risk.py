@@ -1,5 +1,8 @@
 """Queries: trade statistics, resampling, sizing, stress, portfolio, fundamentals, sentiment."""
 
+import math
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
 from ..operators import equity as E
@@ -47,6 +50,28 @@ def probabilistic_sharpe(spark, sf):
     return P.add(d, {"psr": f"CASE WHEN z >= 0 THEN 1 - {S.two_sided_p('z')} / 2 ELSE {S.two_sided_p('z')} / 2 END"})
 
 
+def _expected_max(trials: int) -> float:
+    """Expected largest z among independent trials."""
+    inv, g = NormalDist().inv_cdf, 0.5772156649015329
+    return (1 - g) * inv(1 - 1 / trials) + g * inv(1 - 1 / (trials * math.e))
+
+
+_EM = _expected_max(20)
+_PHI = "CASE WHEN {0} >= 0 THEN 1 - " + S.two_sided_p("{0}").replace("{", "{{").replace("}", "}}").replace("{{0}}", "{0}") + " / 2 ELSE " + S.two_sided_p("{0}").replace("{", "{{").replace("}", "}}").replace("{{0}}", "{0}") + " / 2 END"
+_DZ = f"(z - {_EM!r})"
+
+
+@q(
+    "deflated_sharpe", "side n:i sr:5 dsr:4",
+    """WITH m AS (SELECT side, count(*) AS n, avg(r) AS mu, avg(r) / stddev_samp(r) AS sr FROM trades GROUP BY 1), c AS (SELECT t.side, avg(pow(r - mu, 2)) AS m2, avg(pow(r - mu, 3)) AS m3, avg(pow(r - mu, 4)) AS m4 FROM trades t JOIN m USING (side) GROUP BY 1),
+    z AS (SELECT side, n, sr, sr / sqrt((1 - m3 / pow(m2, 1.5) * sr + (m4 / (m2 * m2) - 1) / 4 * sr * sr) / (n - 1)) AS z FROM m JOIN c USING (side)) SELECT *, """ + _PHI.format(_DZ) + " AS dsr FROM z", "trades",
+)
+def deflated_sharpe(spark, sf):
+    """P(the Sharpe beats the expected best of 20 trials)."""
+    d = P.add(S.agg(trades(spark, sf), ["side"], _SRD), {"z": "sr / sqrt((1 - sk * sr + (ku - 1) / 4 * sr * sr) / (n - 1))"})
+    return P.add(d, {"dsr": _PHI.format(_DZ)})
+
+
 # ---- resampling: the unit ids are plain integers, so SQL repeats the draws ---------------------------
 _UID = "CAST(ascii(substr(symbol, 1, 1)) * 1000 + ascii(substr(symbol, 2, 1)) AS BIGINT)"
 _ROW = f"({_UID} * 100000 + rn)"
