@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideline.llm import chat
+from tideline.llm import chat, neardup, packing, rules
 
-QUERIES = {"op1_chat_windows": chat.op1}
+QUERIES = {"op1_chat_windows": chat.op1, "op3_simhash": neardup.op3, "op6_best_fit_packing": packing.op6, "op7_tokeniser_fertility": rules.op7}
 ORACLE: dict[str, str] = {}
