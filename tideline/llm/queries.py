@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from tideline.llm import chat, neardup, packing, rules
+from tideline.llm import chat, linededup, neardup, packing, rules
 
-QUERIES = {"op1_chat_windows": chat.op1, "op3_simhash": neardup.op3, "op6_best_fit_packing": packing.op6, "op7_tokeniser_fertility": rules.op7}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    "op1_chat_windows": chat.op1,
+    "op2_template_lines": linededup.op2,
+    "op3_simhash": neardup.op3,
+    "op6_best_fit_packing": packing.op6,
+    "op7_tokeniser_fertility": rules.op7,
+}
+ORACLE: dict[str, str] = {"op2_template_lines": linededup.OP2_SQL}
