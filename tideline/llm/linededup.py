@@ -6,8 +6,7 @@ each place of the stretch, so two lines of a template agree in at least 0.8 of t
 differ within one such place share a template. A template that recurs across documents stays in its first document (the one
 with the smallest doc_id) and is dropped from all others.
 
-Template keys are 64-bit hashes; a line's key for a place of the stretch is the exclusive or of the hashes of its
-(position, token) pairs outside that place, so all keys of a line cost one pass over its tokens.
+A template's key is a 64-bit hash of the line's tokens before and after the stretch.
 """
 
 from __future__ import annotations
@@ -15,34 +14,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import SPACE, load
+from tideline.llm.common import load
 
-#: Tokens from the first on that hold a digit.
+#: Tokens that hold a digit.
 FIELD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 LAST = 2**63 - 1
 
 
-def _tokens(line: Column) -> Column:
-    trimmed = F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]++$", "")
-    return F.split(F.regexp_replace(trimmed, FIELD, "<*>"), SPACE)
+def _even(text: Column) -> Column:
+    """The text with single spaces between the tokens of a line; most texts are so already."""
+    odd = F.contains(text, F.lit("  "))
+    for c in "\t\x0b\f\r":
+        odd |= F.contains(text, F.lit(c))
+    return F.when(odd, F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(text)
 
 
-def _lines(docs: DataFrame, least: int) -> DataFrame:
-    """doc (its id, nulls last), dh (hash of id and text), line number and tokens of each line of at least `least` tokens."""
+def _masked(line: Column) -> Column:
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, FIELD, "<*>")).otherwise(line)
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc (its id, nulls last), dh (hash of id and text), number, text and token count n of each line."""
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc")
-    base = docs.select(doc, F.xxhash64("doc_id", "text").alias("dh"), F.posexplode(F.split(F.col("text"), "\n")).alias("line", "shown"))
-    return base.select("doc", "dh", "line", _tokens(F.col("shown")).alias("tokens")).where(F.size("tokens") >= least)
+    base = docs.select(doc, F.xxhash64("doc_id", "text").alias("dh"), F.posexplode(F.split(_even(F.col("text")), "\n")).alias("line", "shown"))
+    base = base.withColumn("shown", _masked(F.trim("shown")))
+    n = F.octet_length("shown") - F.octet_length(F.replace("shown", F.lit(" "), F.lit(""))) + F.when(F.col("shown") == "", 0).otherwise(1)
+    return base.withColumn("n", n)
 
 
 def templates(docs: DataFrame, lead: int = 2, least: int = 3) -> DataFrame:
     """(doc, dh, line, template): every template of every line."""
-    marks = F.transform("tokens", lambda t, i: F.xxhash64(t, i))
-    lines = _lines(docs, least).select("doc", "dh", "line", F.size("tokens").alias("n"), marks.alias("marks"))
-    lines = lines.withColumn("all", F.expr("aggregate(marks, xxhash64(n), (a, x) -> a ^ x)")).withColumn("w", F.expr("n div 5"))
     # lines of fewer than five tokens have no variable stretch
-    keys = F.expr(f"""IF(w = 0 OR n <= {lead}, array(all),
-        transform(sequence({lead}, n - 1, greatest(w, 1)), i -> xxhash64(i, aggregate(slice(marks, i + 1, w), all, (a, x) -> a ^ x))))""")
-    return lines.select("doc", "dh", "line", F.explode(keys).alias("template"))
+    places = F.expr(f"CASE WHEN n < {least} THEN array() WHEN n < 5 OR n <= {lead} THEN array(n) ELSE sequence({lead}, n - 1, greatest(n div 5, 1)) END")
+    found = _lines(docs).select("doc", "dh", "line", "shown", "n", F.explode(places).alias("i"))
+    before, after = F.expr("substring_index(shown, ' ', i)"), F.expr("substring_index(shown, ' ', least(i + greatest(n div 5, 1) - n, 0))")
+    return found.select("doc", "dh", "line", F.xxhash64("i", "n", before, after).alias("template"))
 
 
 def recurring_lines(docs: DataFrame, lead: int = 2, least: int = 3) -> DataFrame:
