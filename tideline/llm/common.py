@@ -13,13 +13,12 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the checkpoint folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; a local session without one (tests) gets a
-    temporary folder, any other session must name one.
+    It is the one the cluster names in spark.checkpoint.dir; a local session without one (tests) gets a temporary folder, any
+    other session must name one.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -28,6 +27,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoints-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -55,3 +60,12 @@ def tokenizer(path: str):
     found = Tokenizer.from_file(path)
     found.encode_special_tokens = True
     return found
+
+
+#: Rows of a few hundred bytes that may be broadcast.
+FEW = 50_000
+
+
+def if_few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """A checkpointed table, marked for broadcast when it is counted to have at most `most` rows; else joins shuffle it."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -64,6 +64,8 @@ class Layout:
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
         edge = np.flatnonzero(self.white[1:] != self.white[:-1]) + 1
         self.word_from, self.word_to = edge[0::2], edge[1::2]
+        self.begins = np.zeros(len(raw) + 1, np.int32)
+        self.begins[self.word_from] = 1
 
     def stretch(self, a, b) -> np.ndarray:
         h = (self.sums[b] - self.sums[a]) * self.back[a]

@@ -16,13 +16,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import SPACE, checkpointed, load
+from tideline.llm.common import SPACE, checkpointed, if_few, load
 
 LEVELS = ("domain", "language", "origin")
 BIG = "decimal(38,0)"
-#: Leaves that may be broadcast; each is a few hundred bytes.
-FEW_LEAVES = 50_000
-
 #: Target weights of the registered queries; a name that is not listed has weight 1.
 WEIGHTS = ({"d0": 4, "d1": 3, "d2": 2, "d3": 1}, {"en": 6, "de": 2, "fr": 1, "es": 1}, {"src0": 3})
 
@@ -95,7 +92,7 @@ def plan(keyed: DataFrame, weights=WEIGHTS, percent: int = 60, epochs: int = 2,
     leaves = narrow.groupBy(*LEVELS).agg(F.sum("tokens").alias("avail"))
     quotas = allocate(leaves, weights, percent, epochs)
     quotas = checkpointed(quotas.select(*LEVELS, "avail", "quota", F.expr("IF(avail = 0, 0L, quota div avail)").alias("whole"), F.expr("IF(avail = 0, 0L, quota % avail)").alias("rest")))
-    partial = _joined(narrow, quotas.where("rest > 0"), "inner").withColumn("u", _order(seed)).withColumn("range", F.substring("u", 1, 3))
+    partial = narrow.join(if_few(quotas.where("rest > 0")), [*LEVELS]).withColumn("u", _order(seed)).withColumn("range", F.substring("u", 1, 3))
     ranges = partial.groupBy(*LEVELS, "range", "rest").agg(F.sum("tokens").alias("some"))
     run = Window.partitionBy(*LEVELS).orderBy("range")
     ranges = ranges.withColumn("to", F.sum("some").over(run)).withColumn("before", F.col("to") - F.col("some"))
@@ -111,12 +108,6 @@ def _order(seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), "id"))
 
 
-def _joined(rows: DataFrame, leaves: DataFrame, how: str) -> DataFrame:
-    """Rows with their leaf; leaves are broadcast only when there are few."""
-    few = leaves.limit(FEW_LEAVES + 1).count() <= FEW_LEAVES
-    return rows.join(F.broadcast(leaves) if few else leaves, [*LEVELS], how)
-
-
 def mix(docs: DataFrame, weights=WEIGHTS, percent: int = 60, epochs: int = 2, seed: int = 17) -> DataFrame:
     """(row, domain, language, origin, tokens, epoch): the documents of the mixture, a document once for each epoch it is in.
 
@@ -126,7 +117,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, percent: int = 60, epochs: int = 2, se
     with the rest of their leaf; a leaf without any tokens gives none. An empty table gives no rows.
     """
     keyed = _keyed(docs)
-    chosen = _joined(keyed, plan(keyed, weights, percent, epochs, seed), "inner")
+    chosen = keyed.join(if_few(plan(keyed, weights, percent, epochs, seed)), [*LEVELS])
     copies = F.col("whole") + F.coalesce((_order(seed) <= F.col("cut")).cast("long"), F.lit(0).cast("long"))
     picked = chosen.withColumn("copies", copies).where("copies > 0")
     return picked.select("row", *LEVELS, "tokens", F.explode(F.expr("sequence(0L, copies - 1L)")).alias("epoch"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tideline.llm import chat, licenses, linededup, mixing, neardup, packing, quality, rules, search
+from tideline.llm import chat, licenses, linededup, mixing, neardup, packing, quality, rules, search, toxicity
 
 QUERIES = {
     "op1_chat_windows": chat.op1,
     "op2_template_lines": linededup.op2,
     "op3_simhash": neardup.op3,
     "op4_subword_quality": quality.op4,
+    "op5_recurrent_toxicity": toxicity.op5,
     "op6_best_fit_packing": packing.op6,
     "op7_tokeniser_fertility": rules.op7,
     "op8_source_mixing": mixing.op8,

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import checkpointed, load, text_key, vocabulary
+from tideline.llm.common import checkpointed, if_few, load, text_key, vocabulary
 from tideline.llm.wordcache import Cache, ids_of
 
 SYMBOLS = "#*$%&|<>"
@@ -124,7 +124,7 @@ def bands(found: DataFrame, least: int = 50) -> DataFrame:
     sound = sound.select("class", F.explode(F.array(F.col("size_class"), F.lit(-1).cast("long"))).alias("size_class"), *BANDS)
     by = ["class", "size_class"]
     middle = sound.groupBy(*by).agg(F.count("*").alias("n"), *(F.percentile_approx(m, 0.5, 10000).alias(f"mid_{m}") for m in BANDS)).where(F.col("n") >= least)
-    apart = sound.join(middle, by)
+    apart = sound.join(if_few(checkpointed(middle)), by)
     spread = apart.groupBy(*by).agg(*(F.first(f"mid_{m}").alias(f"mid_{m}") for m in BANDS), *(F.percentile_approx(F.abs(F.col(m) - F.col(f"mid_{m}")), 0.5, 10000).alias(f"dev_{m}") for m in BANDS))
     edges = []
     for m, (below, above, floor) in BANDS.items():
@@ -145,7 +145,7 @@ def judge(docs: DataFrame, path: str | None = None, least: int = 50) -> DataFram
     names = [f"{side}_{m}" for m in BANDS for side in ("low", "high")]
     fine = edges.select("class", "size_class", F.struct(*names).alias("fine"))
     wide = edges.where("size_class = -1").select("class", F.struct(*names).alias("wide"))
-    both = found.join(fine, ["class", "size_class"], "left").join(wide, "class", "left").withColumn("band", F.coalesce("fine", "wide"))
+    both = found.join(if_few(fine), ["class", "size_class"], "left").join(if_few(wide), "class", "left").withColumn("band", F.coalesce("fine", "wide"))
     inside = F.lit(True)
     for m in BANDS:
         inside &= F.col(m).between(F.col(f"band.low_{m}"), F.col(f"band.high_{m}"))
