@@ -35,16 +35,18 @@ FACTORS = {"value": ([("pe", -1), ("ev_ebitda", -1), ("pb", -1)], 0.33), "qualit
 def factor_scores(fund: DataFrame) -> DataFrame:
     """1/99% winsorised z-scores, mean per category, 50 + 25 z, weighted over the available categories.
 
-    Limits and moments are one-row aggregates (exact distributed quantiles), broadcast back.
+    The six fields are ranked in one stacked pass; limits and moments are one-row scalar subqueries.
     """
     fields = [f for fs, _ in FACTORS.values() for f, _ in fs]
-    d = fund
-    for f in fields:
-        lim = K.quantiles(fund, [], f, {f"_lo_{f}": 0.01, f"_hi_{f}": 0.99})
-        d = d.crossJoin(F.broadcast(lim))
+    stacked = fund.selectExpr(f"stack({len(fields)}, {', '.join(f'{f!r}, CAST({f} AS DOUBLE)' for f in fields)}) AS (field, x)")
+    limits = K.quantiles(stacked, ["field"], "x", {"lo": 0.01, "hi": 0.99})
+    # one entry for each field
+    table = limits.agg(F.expr("map_from_entries(collect_list(struct(field, struct(lo, hi)))) AS _limits"))
+    d = fund.withColumn("_limits", table.scalar())
+    d = add(d, {f"_lo_{f}": f"_limits['{f}'].lo" for f in fields} | {f"_hi_{f}": f"_limits['{f}'].hi" for f in fields})
     d = d.selectExpr("symbol", *[f"CASE WHEN {f} IS NOT NULL THEN least(greatest({f}, _lo_{f}), _hi_{f}) END AS {f}" for f in fields])
-    m = d.agg(*[F.expr(f"{fn}({f}) AS _{fn}_{f}") for f in fields for fn in ("avg", "stddev_pop")])
-    d = d.crossJoin(F.broadcast(m))
+    m = d.agg(F.struct(*[F.expr(f"{fn}({f}) AS _{fn}_{f}") for f in fields for fn in ("avg", "stddev_pop")]).alias("_m"))
+    d = d.withColumn("_m", m.scalar()).select("*", "_m.*")
     d = add(d, {f"z_{f}": f"CASE WHEN _stddev_pop_{f} > 0 THEN ({f} - _avg_{f}) / _stddev_pop_{f} ELSE {f} * 0 END" for f in fields})
     d = add(d, {f"{c}_score": f"greatest(0, least(100, 50 + 25 * ({_mean([f'({s} * z_{f})' for f, s in fs])})))" for c, (fs, _) in FACTORS.items()})
     d = add(d, {f"_n_{c}": f"{_mean([f'({s} * z_{f})' for f, s in fs])} IS NULL" for c, (fs, _) in FACTORS.items()})

@@ -12,7 +12,7 @@ STALE_DAYS = {"D1": 4, "H4": 2, "H1": 2}
 
 # fixed values: symbol code lists
 CURRENCIES = (
-    "ARS AUD AZN BDT BGN BHD BND BRL CAD CHF CLP CNH CNY COP CZK DKK DZD EGP EUR GBP GEL GHS GTQ HKD HNL HRK HUF IDR ILS INR IQD "
+    "AED AMD AOA ARS AUD AZN BDT BGN BHD BND BRL CAD CHF CLP CNH CNY COP CZK DKK DZD EGP EUR GBP GEL GHS GTQ HKD HNL HRK HUF IDR ILS INR IQD "
     "ISK JMD JOD JPY KES KGS KRW KWD KZT LBP LKR MAD MXN MYR NGN NOK NPR NZD OMR PEN PHP PKR PLN QAR RON RUB RUR SAR SEK SGD SYP "
     "THB TJS TMT TND TRY TTD TWD UAH UGX USD UZS VND VUV XCD XOF ZAR ZMW"
 ).split()

@@ -8,7 +8,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .panel import add
@@ -34,10 +34,20 @@ def chronological(d: DataFrame, split: str, embargo: int = 20) -> tuple[DataFram
     return d.where(f"ts < date_sub(DATE '{split}', {embargo})"), d.where(f"ts >= DATE '{split}'")
 
 
-def fit_gbt(train: DataFrame, depth: int = 3, rounds: int = 10, rate: float = 0.1, names=None):
-    """Boosted trees with class-balanced weights; the newest tenth of the days stops the rounds early."""
+def tail(d: DataFrame, share: float = 0.1) -> Column:
+    """First day of the newest ``share`` of the rows, as a scalar subquery."""
+    return d.agg(F.expr(f"approx_percentile(ts, {1 - share}D)")).scalar()
+
+
+def fit_gbt(train: DataFrame, depth: int = 3, rounds: int = 400, rate: float = 0.1, names=None, embargo: int = 20):
+    """Boosted trees with class-balanced weights, of at most ``rounds`` rounds.
+
+    The rows from the 90% day on are for validation and end the rounds once they gain nothing; the ``embargo`` days before them,
+    whose labels look into them, are left out.
+    """
+    train = train.withColumn("_cut", tail(train)).withColumn("is_val", F.expr("ts >= _cut")).where(f"is_val OR ts < date_sub(_cut, {embargo})")
     bal = train.agg(F.expr("avg(label) AS p"))
-    t = add(train.crossJoin(F.broadcast(bal)), {"w": "weight * CASE WHEN label = 1 THEN 0.5 / greatest(p, 0.01) ELSE 0.5 / greatest(1 - p, 0.01) END", "is_val": "pmod(xxhash64(ts), 10) = 0"})
+    t = add(train.crossJoin(F.broadcast(bal)), {"w": "weight * CASE WHEN label = 1 THEN 0.5 / greatest(p, 0.01) ELSE 0.5 / greatest(1 - p, 0.01) END"})
     gbt = GBTClassifier(labelCol="label", featuresCol="features", weightCol="w", maxDepth=depth, maxIter=rounds, stepSize=rate, validationIndicatorCol="is_val", seed=42)
     return gbt.fit(vectors(t, names))
 
@@ -100,7 +110,7 @@ def cluster_regimes(z: DataFrame, k: int = 4) -> DataFrame:
 def mixture_regimes(z: DataFrame, k: int = 4) -> DataFrame:
     """Gaussian mixture stand-in for the state model; states named by their means."""
     v = vectors(z.where(" AND ".join(f"{c} IS NOT NULL" for c in REGIME_INPUTS)), REGIME_INPUTS)
-    m = GaussianMixture(k=k, seed=42, maxIter=20).fit(v)
+    m = GaussianMixture(k=k, seed=42, maxIter=100).fit(v)
     means = [g.mean.toArray() for g in m.gaussians]
     atr = [c[3] for c in means]
     mu = sum(atr) / len(atr)

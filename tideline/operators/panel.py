@@ -126,10 +126,14 @@ def scan(
     local, carry, done = {}, dict(extra_carry or {}), {}
     for name, (x, d) in specs.items():
         x = f"coalesce(cast({x} AS double), 0.0D)"
-        step = c * -math.log(d)
+        step = c * -math.log(d) if d > 0 else math.inf
         if step > 690:
-            raise ValueError(f"decay {d} underflows inside a chunk of {c} rows")
-        if d == 1.0:
+            # a short memory: the terms that can change a double are few, and all lie in this chunk or at the end of the last
+            rows = min(c, max(1, math.ceil(42 / -math.log(d)))) if d > 0 else 1
+            local[name] = f"aggregate(collect_list({x}) {over(rows - 1)}, 0.0D, (a, v) -> a * {d!r}D + v)"
+            carry[f"_k_{name}"] = f"coalesce(lag({name}) OVER (PARTITION BY symbol ORDER BY _c), 0.0D)"
+            done[name] = f"{name} + _k_{name} * pow({d!r}D, _pos + 1)"
+        elif d == 1.0:
             local[name] = f"sum({x}) {over(None)}"
             carry[f"_k_{name}"] = f"coalesce(sum({name}) {_PRIOR}, 0.0D)"
             done[name] = f"{name} + _k_{name}"

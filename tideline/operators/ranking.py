@@ -7,36 +7,63 @@ edges only balance the work, the result is exact because bucket counts are added
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .panel import add
+LEAST_BUCKETS = 64
 
-BUCKETS = 64
 
+def _buckets(df: DataFrame) -> int:
+    """As many value buckets as the session deals shuffles into, which follows the data's size."""
+    return max(LEAST_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-def _keys(group: list[str]) -> list[str]:
-    return group or ["_all"]
 
-
-def value_ranks(df: DataFrame, group: list[str], x: str, buckets: int = BUCKETS) -> DataFrame:
-    """Per (group, value): ``eq`` rows with the value, ``lt`` rows below it, ``n`` rows in the group."""
-    keys = _keys(group)
-    src = df.where(f"{x} IS NOT NULL")
-    if not group:
-        src = add(src, {"_all": "1"})
-    vc = src.groupBy(*keys, x).agg(F.expr("count(*) AS eq"))
+def _edges(x: str, buckets: int) -> Column:
     cuts = ", ".join(f"{i / buckets}D" for i in range(1, buckets))
-    edges = vc.groupBy(*keys).agg(F.expr(f"approx_percentile({x}, array({cuts}), 1000) AS _edges"))
-    k = ", ".join(keys)
-    b = vc.join(edges, keys).selectExpr(*keys, x, "eq", f"size(filter(_edges, e -> e < {x})) AS _b")
-    per = b.groupBy(*keys, "_b").agg(F.expr("sum(eq) AS _m")).selectExpr(
-        *keys, "_b",
-        f"coalesce(sum(_m) OVER (PARTITION BY {k} ORDER BY _b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _off",
-        f"sum(_m) OVER (PARTITION BY {k}) AS n",
-    )
-    within = f"coalesce(sum(eq) OVER (PARTITION BY {k}, _b ORDER BY {x} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _lo"
-    return b.selectExpr("*", within).join(per, [*keys, "_b"]).selectExpr(*group, x, "eq", "_off + _lo AS lt", "n")
+    return F.expr(f"approx_percentile({x}, array({cuts}), {20 * buckets})")
+
+
+def value_ranks(df: DataFrame, group: list[str], x: str, buckets: int | None = None) -> DataFrame:
+    """Per (group, value): ``eq`` rows with the value, ``lt`` rows below it, ``n`` rows in the group.
+
+    Ungrouped edges and bucket totals are one row each and reach the rows as scalar subqueries, so nothing is
+    joined on a constant.
+    """
+    vc = df.where(f"{x} IS NOT NULL").groupBy(*group, x).agg(F.expr("count(*) AS eq"))
+    n = buckets or _buckets(df)
+    edges = vc.groupBy(*group).agg(_edges(x, n).alias("_edges"))
+    b = vc.join(edges, group) if group else vc.withColumn("_edges", edges.scalar())
+    b = b.selectExpr(*group, x, "eq", f"size(filter(_edges, e -> e < {x})) AS _b")
+    sums = b.groupBy(*group, "_b").agg(F.expr("sum(eq) AS _m"))
+    k = ", ".join([*group, "_b"])
+    within = f"coalesce(sum(eq) OVER (PARTITION BY {k} ORDER BY {x} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _lo"
+    if group:
+        g = ", ".join(group)
+        per = sums.selectExpr(*group, "_b", f"coalesce(sum(_m) OVER (PARTITION BY {g} ORDER BY _b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _off", f"sum(_m) OVER (PARTITION BY {g}) AS n")
+        placed = b.selectExpr("*", within).join(per, [*group, "_b"])
+    else:
+        # at most one entry for each bucket
+        totals = sums.agg(F.expr("map_from_entries(collect_list(struct(_b, _m))) AS _t"))
+        placed = b.selectExpr("*", within).withColumn("_t", totals.scalar())
+        below = "aggregate(map_entries(_t), 0L, (a, e) -> a + IF(e.key < _b, e.value, 0L)) AS _off"
+        placed = placed.selectExpr("*", below, "aggregate(map_values(_t), 0L, (a, v) -> a + v) AS n")
+    return placed.selectExpr(*group, x, "eq", "_off + _lo AS lt", "n")
+
+
+def row_numbers(df: DataFrame, order: list[str], out: str = "rank") -> DataFrame:
+    """1-based position of each row in the order of SQL sort terms; the first term is a numeric column with ASC or DESC.
+
+    Rows are dealt into ranges of that column, each is sorted on its own, and the sizes of the ranges before it are added.
+    Nulls come last. Ties of all terms are numbered in any order.
+    """
+    x, _, way = order[0].partition(" ")
+    edges = df.agg(_edges(x, _buckets(df)))
+    up = f"CASE WHEN {x} IS NULL THEN 2147483647 ELSE size(filter(_edges, e -> e < {x})) END"
+    down = f"CASE WHEN {x} IS NULL THEN 2147483647 ELSE size(filter(_edges, e -> e > {x})) END"
+    b = df.withColumn("_edges", edges.scalar()).selectExpr("*", f"{down if way.upper().startswith('DESC') else up} AS _b").drop("_edges")
+    totals = b.groupBy("_b").agg(F.expr("count(*) AS _m")).agg(F.expr("map_from_entries(collect_list(struct(_b, _m))) AS _t"))
+    placed = b.selectExpr("*", f"row_number() OVER (PARTITION BY _b ORDER BY {', '.join(order)}) AS _i").withColumn("_t", totals.scalar())
+    return placed.selectExpr(*df.columns, f"_i + aggregate(map_entries(_t), 0L, (a, e) -> a + IF(e.key < _b, e.value, 0L)) AS {out}")
 
 
 def with_avg_rank(df: DataFrame, group: list[str], x: str, out: str) -> DataFrame:
@@ -59,7 +86,11 @@ def quantiles(df: DataFrame, group: list[str], x: str, ps: dict[str, float]) ->
 
 
 def rank_corr(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
-    """Spearman correlation per group over rows where both are known."""
-    d = df.where(f"{x} IS NOT NULL AND {y} IS NOT NULL").select(*group, x, y)
-    d = with_avg_rank(with_avg_rank(d, group, x, "_rx"), group, y, "_ry")
-    return d.groupBy(*group).agg(F.expr("count(*) AS n"), F.expr("corr(_rx, _ry) AS ic"))
+    """Spearman correlation per group over rows where both are known; equal pairs are counted before they are ranked."""
+    d = df.where(f"{x} IS NOT NULL AND {y} IS NOT NULL").groupBy(*group, x, y).agg(F.expr("count(*) AS _c"))
+    rx = value_ranks(df.where(f"{y} IS NOT NULL"), group, x).selectExpr(*group, x, "lt + (eq + 1) / 2.0D - (n + 1) / 2.0D AS _rx")
+    ry = value_ranks(df.where(f"{x} IS NOT NULL"), group, y).selectExpr(*group, y, "lt + (eq + 1) / 2.0D - (n + 1) / 2.0D AS _ry")
+    d = d.join(rx, [*group, x]).join(ry, [*group, y])
+    sums = {"n": "sum(_c)", "_xy": "sum(_c * _rx * _ry)", "_xx": "sum(_c * _rx * _rx)", "_yy": "sum(_c * _ry * _ry)"}
+    out = d.groupBy(*group).agg(*(F.expr(e).alias(k) for k, e in sums.items()))
+    return out.selectExpr(*group, "n", "CASE WHEN _xx > 0 AND _yy > 0 THEN _xy / sqrt(_xx * _yy) END AS ic")

@@ -35,7 +35,7 @@ def replicates(df: DataFrame, reps: int) -> DataFrame:
     return df.selectExpr("*", f"explode(sequence(1, {reps})) AS rep")
 
 
-def bootstrap(df: DataFrame, unit_id: str, x: str, reps: int = 200, seed: int = 42) -> DataFrame:
+def bootstrap(df: DataFrame, unit_id: str, x: str, reps: int = 2000, seed: int = 42) -> DataFrame:
     """Mean per replicate; ``unit_id`` is the resampled unit (row, block or symbol hash, an integer)."""
     u = unit("rep", unit_id, seed)
     d = add(replicates(df, reps), {"_w": poisson1(u)})
@@ -70,7 +70,7 @@ def random_timing(events: DataFrame, pool: DataFrame, x: str, reps: int = 200, s
     )
 
 
-def block_drawdowns(trades: DataFrame, reps: int = 100, seed: int = 5, block: int = 10) -> DataFrame:
+def block_drawdowns(trades: DataFrame, reps: int = 10_000, seed: int = 5, block: int = 10) -> DataFrame:
     """Per replicate: final R, largest drawdown and longest losing streak of resampled ten-trade blocks.
 
     ``trades`` carry ``k`` (0-based order) and ``r``. Blocks are summarised first (sum, lowest and

@@ -1,5 +1,7 @@
 """Queries: streaming jobs run over what is available, and MLlib models."""
 
+from pyspark.sql import functions as F
+
 from ..operators import models as M
 from ..operators import outcomes as O
 from ..operators import panel as P
@@ -44,8 +46,7 @@ def stream_feed_dedup(spark, sf):
 
 
 def _dir(spark, sf, name, build):
-    store.stored(spark, name, sf, build)
-    return next(v for k, v in store._DONE.items() if k[1] == name and k[2] == sf and k[0] == spark.sparkContext.applicationId)
+    return store.written(spark, name, sf, build)
 
 
 @q("stream_alert_dedup", "key", "SELECT DISTINCT key FROM alr", "alr")
@@ -146,19 +147,26 @@ def model_feature_importance(spark, sf):
 
 @query("model_walk_forward")
 def model_walk_forward(spark, sf):
-    """Expanding folds by calendar year with an embargo; one fit per fold, data distributed."""
+    """Expanding folds of equal row counts over all days, each trained on what ends an embargo before it; one fit per fold."""
+    d = _data(spark, sf)
+    starts = d.agg(F.expr("approx_percentile(ts, array(0.4D, 0.55D, 0.7D, 0.85D))")).first()[0]
     out = []
-    for split, end in (("1999-01-01", "2000-01-01"), ("2000-01-01", "2001-01-01")):
-        tr, te = M.chronological(_data(spark, sf), split)
-        out.append((split, M.auc(M.score(M.fit_gbt(tr, rounds=5), te.where(f"ts < DATE '{end}'")))))
+    for start, end in zip(starts, [*starts[1:], None]):
+        tr, te = M.chronological(d, str(start)[:10])
+        out.append((str(start)[:10], M.auc(M.score(M.fit_gbt(tr), te if end is None else te.where(f"ts < DATE '{str(end)[:10]}'")))))
     return show(spark.createDataFrame(out, "fold string, auc double"), "fold auc:5")
 
 
 @query("model_grid_search")
 def model_grid_search(spark, sf):
+    """Depth and rate are chosen on the last fifth of the training days; the test days see only the chosen pair."""
     tr, te = M.chronological(_data(spark, sf), _SPLIT)
-    out = [(d, r, M.auc(M.score(M.fit_gbt(tr, depth=d, rounds=5, rate=r), te))) for d in (2, 3) for r in (0.05, 0.1, 0.2)]
-    return show(spark.createDataFrame(out, "depth int, rate double, auc double"), "depth:i rate:2 auc:5")
+    inner, held = M.chronological(tr, str(tr.agg(F.expr("approx_percentile(ts, 0.8D)")).first()[0])[:10])
+    out = [(d, r, M.auc(M.score(M.fit_gbt(inner, depth=d, rate=r), held))) for d in (2, 3) for r in (0.05, 0.1, 0.2)]
+    best = max(out, key=lambda x: x[2])
+    test = M.auc(M.score(M.fit_gbt(tr, depth=best[0], rate=best[1]), te))
+    rows = [(d, r, a, (d, r, a) == best, test if (d, r, a) == best else None) for d, r, a in out]
+    return show(spark.createDataFrame(rows, "depth int, rate double, auc double, chosen boolean, test_auc double"), "depth:i rate:2 auc:5 chosen:b test_auc:5")
 
 
 @query("model_group_ablation")
@@ -167,7 +175,7 @@ def model_group_ablation(spark, sf):
     out = []
     for g in [None, *M.GROUPS]:
         names = [f for f in M.FEATURES if f not in M.GROUPS.get(g, [])]
-        out.append((g or "none", M.auc(M.score(M.fit_gbt(tr, rounds=5, names=names), te, names))))
+        out.append((g or "none", M.auc(M.score(M.fit_gbt(tr, names=names), te, names))))
     return show(spark.createDataFrame(out, "dropped string, auc double"), "dropped auc:5")
 
 

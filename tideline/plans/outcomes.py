@@ -353,14 +353,15 @@ _LD = "symbol ts:d side outcome n_hit:i realized_r:5 mfe_r:4 mae_r:4 time_exit:b
 @query(
     "counterfactual_ladder",
     sql_with(
-        f"""WITH s AS (SELECT symbol, rn, ts, close, atr_14, side, CASE side WHEN 'long' THEN 1 ELSE -1 END AS sg FROM f CROSS JOIN (VALUES ('long'), ('short')) v(side) WHERE rn % 5 = 0 AND atr_14 IS NOT NULL),
-        e AS (SELECT *, close - sg * 0.25 * atr_14 AS entry, close - sg * 1.5 * atr_14 AS stop, 1.25 * atr_14 AS risk FROM s),
-        b AS (SELECT e.symbol, e.rn, side, x.rn - e.rn AS i, sg, entry, risk, CASE WHEN sg = 1 THEN x.high - entry ELSE entry - x.low END AS fav, CASE WHEN sg = 1 THEN entry - x.low ELSE x.high - entry END AS adv
+        f"""WITH s AS (SELECT symbol, rn, ts, close, atr_14, side, CASE side WHEN 'long' THEN 1 ELSE -1 END AS sg FROM f CROSS JOIN (VALUES ('long'), ('short')) v(side) WHERE atr_14 IS NOT NULL),
+        e0 AS (SELECT *, close - sg * 0.25 * atr_14 AS entry, close - sg * 1.5 * atr_14 AS stop FROM s),
+        e AS (SELECT *, abs(entry - stop) AS risk, sg * (entry + sg * 1 * 1.25 * atr_14 - entry) AS t1, sg * (entry + sg * 2 * 1.25 * atr_14 - entry) AS t2, sg * (entry + sg * 3 * 1.25 * atr_14 - entry) AS t3 FROM e0),
+        b AS (SELECT e.symbol, e.rn, side, x.rn - e.rn AS i, sg, entry, risk, t1, t2, t3, CASE WHEN sg = 1 THEN x.high - entry ELSE entry - x.low END AS fav, CASE WHEN sg = 1 THEN entry - x.low ELSE x.high - entry END AS adv
           FROM e JOIN f x ON x.symbol = e.symbol AND x.rn BETWEEN e.rn + 1 AND e.rn + 20),
         fl AS (SELECT symbol, rn, side, min(CASE WHEN adv >= 0 THEN i END) AS fi FROM b GROUP BY ALL),
         st AS (SELECT b.symbol, b.rn, b.side, min(CASE WHEN adv >= risk THEN i END) AS si FROM b JOIN fl USING (symbol, rn, side) WHERE i >= fi GROUP BY ALL),
-        h AS (SELECT b.symbol, b.rn, b.side, max(CASE WHEN i < coalesce(si, 999) AND fav >= risk THEN 1 ELSE 0 END) AS h1, max(CASE WHEN i < coalesce(si, 999) AND fav >= 2 * risk THEN 1 ELSE 0 END) AS h2,
-          max(CASE WHEN i < coalesce(si, 999) AND fav >= 3 * risk THEN 1 ELSE 0 END) AS h3, max(CASE WHEN i <= coalesce(si, 999) THEN fav / risk END) AS mf, max(CASE WHEN i <= coalesce(si, 999) THEN adv / risk END) AS ma
+        h AS (SELECT b.symbol, b.rn, b.side, max(CASE WHEN i < coalesce(si, 999) AND fav >= t1 THEN 1 ELSE 0 END) AS h1, max(CASE WHEN i < coalesce(si, 999) AND fav >= t2 THEN 1 ELSE 0 END) AS h2,
+          max(CASE WHEN i < coalesce(si, 999) AND fav >= t3 THEN 1 ELSE 0 END) AS h3, max(CASE WHEN i <= coalesce(si, 999) THEN fav / risk END) AS mf, max(CASE WHEN i <= coalesce(si, 999) THEN adv / risk END) AS ma
           FROM b JOIN fl USING (symbol, rn, side) LEFT JOIN st USING (symbol, rn, side) WHERE i >= fi GROUP BY ALL),
         r AS (SELECT e.symbol, e.ts, e.side, fi, si, coalesce(h1 + h2 + h3, 0) AS n_hit, coalesce(h1 * 1.0 + h2 * 2.0 + h3 * 3.0, 0) / 3.0 AS pay, greatest(coalesce(mf, 0), 0) AS mfe_r, greatest(coalesce(ma, 0), 0) AS mae_r
           FROM e JOIN fl USING (symbol, rn, side) LEFT JOIN st USING (symbol, rn, side) LEFT JOIN h USING (symbol, rn, side))
@@ -370,9 +371,9 @@ _LD = "symbol ts:d side outcome n_hit:i realized_r:5 mfe_r:4 mae_r:4 time_exit:b
     ),
 )
 def counterfactual_ladder(spark, sf):
-    """Both sides of a decision every fifth bar: limit a quarter ATR away, three equal rungs at 1R/2R/3R."""
+    """Both sides of a decision on every bar: limit a quarter ATR away, three equal rungs at 1R/2R/3R."""
     p = D.panel_d(spark, sf)
-    e = p.where("rn % 5 = 0 AND atr_14 IS NOT NULL").selectExpr(
+    e = p.where("atr_14 IS NOT NULL").selectExpr(
         "symbol", "rn", "ts", "close", "atr_14", "inline(array(named_struct('side', 'long', 'sg', 1), named_struct('side', 'short', 'sg', -1)))"
     )
     e = P.add(e, {"entry": "close - sg * 0.25 * atr_14", "stop": "close - sg * 1.5 * atr_14"})

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import equity as E
 from ..operators import panel as P
+from ..operators import ranking as K
 from ..operators import resampling as B
 from ..operators import research as X
 from ..operators import risk as R
@@ -33,7 +34,7 @@ q("trade_drawdown", "side max_dd:5", "SELECT side, min(e - p) AS max_dd FROM (SE
 q("score_ablation", f"side threshold:i {_SSP}", f"SELECT side, threshold, {_SSQ} FROM trades, (VALUES (0), (4), (5), (6), (7)) v(threshold) WHERE score >= threshold GROUP BY 1, 2", "trades")(
     lambda spark, sf: S.agg(trades(spark, sf).selectExpr("side", "r", "explode(filter(array(0, 4, 5, 6, 7), t -> score >= t)) AS threshold"), ["side", "threshold"], _SS)
 )
-q("tail_loss", "side p05:5", "SELECT side, quantile_cont(r, 0.05) AS p05 FROM trades GROUP BY 1", "trades")(lambda spark, sf: __import__("tideline.operators.ranking", fromlist=["quantiles"]).quantiles(trades(spark, sf), ["side"], "r", {"p05": 0.05}))
+q("tail_loss", "side p05:5", "SELECT side, quantile_cont(r, 0.05) AS p05 FROM trades GROUP BY 1", "trades")(lambda spark, sf: K.quantiles(trades(spark, sf), ["side"], "r", {"p05": 0.05}))
 # probabilistic Sharpe: kurtosis is raw (excess + 3), moments from population aggregates
 _SRD = {"n": "count(r)", "sr": "avg(r) / stddev_samp(r)", "sk": "skewness(r)", "ku": "kurtosis(r) + 3"}
 
@@ -73,8 +74,11 @@ def deflated_sharpe(spark, sf):
 
 
 # ---- resampling: the unit ids are plain integers, so SQL repeats the draws ---------------------------
-_UID = "CAST(ascii(substr(symbol, 1, 1)) * 1000 + ascii(substr(symbol, 2, 1)) AS BIGINT)"
-_ROW = f"({_UID} * 100000 + rn)"
+# 44 bits of a digest of the symbol, or of the symbol and the day: the largest that the draws' integer arithmetic takes
+_UID, _ROW = (f"CAST(conv(substr(md5({e}), 1, 11), 16, 10) AS BIGINT)" for e in ("symbol", "concat(symbol, ' ', date_format(ts, 'yyyy-MM-dd'))"))
+_UID_SQL, _ROW_SQL = (f"CAST('0x' || substr(md5({e}), 1, 11) AS BIGINT)" for e in ("symbol", "symbol || ' ' || strftime(ts, '%Y-%m-%d')"))
+# fixed values: numbers of replicates
+BOOTSTRAPS, FLIPS, TIMINGS, PATHS = 2000, 300, 300, 10_000
 _DAY = "CAST(date_diff('day', DATE '1990-01-01', ts) AS BIGINT)"
 
 
@@ -82,7 +86,7 @@ def _ev(spark, sf):
     return events(spark, sf).selectExpr("symbol", "ts", "rn", "r", f"{_ROW} AS row_id", "bigint(floor(datediff(ts, DATE '1990-01-01') / 10)) AS block_id", f"{_UID} AS sym_id")
 
 
-def _boot(name, unit, sql_unit, reps=100):
+def _boot(name, unit, sql_unit, reps=BOOTSTRAPS):
     @q(
         name, "lo:5 mid:5 hi:5",
         f"""WITH e AS (SELECT r, CAST({sql_unit} AS BIGINT) AS uid FROM evt), w AS (SELECT rep, r, {B.poisson1(B.unit('rep', 'uid', 42))} AS w FROM e, range(1, {reps + 1}) t(rep)),
@@ -92,27 +96,27 @@ def _boot(name, unit, sql_unit, reps=100):
         return B.interval(B.bootstrap(_ev(spark, sf), unit, "r", reps))
 
 
-_boot("bootstrap_ci", "row_id", _ROW)
+_boot("bootstrap_ci", "row_id", _ROW_SQL)
 _boot("block_bootstrap", "block_id", "floor(date_diff('day', DATE '1990-01-01', ts) / 10)")
-_boot("symbol_bootstrap", "sym_id", _UID)
+_boot("symbol_bootstrap", "sym_id", _UID_SQL)
 
 
 @q(
     "sign_flip_test", "observed:5 p:5",
-    f"WITH e AS (SELECT r, CAST({_ROW} AS BIGINT) AS uid FROM evt), f AS (SELECT rep, avg(CASE WHEN {B.unit('rep', 'uid', 7)} < 0.5 THEN -1 ELSE 1 END * r) AS m, avg(r) AS obs FROM e, range(1, 101) t(rep) GROUP BY 1) SELECT max(obs) AS observed, avg(CASE WHEN abs(m) >= abs(obs) THEN 1.0 ELSE 0 END) AS p FROM f", "evt",
+    f"WITH e AS (SELECT r, {_ROW_SQL} AS uid FROM evt), f AS (SELECT rep, avg(CASE WHEN {B.unit('rep', 'uid', 7)} < 0.5 THEN -1 ELSE 1 END * r) AS m, avg(r) AS obs FROM e, range(1, {FLIPS + 1}) t(rep) GROUP BY 1) SELECT max(obs) AS observed, avg(CASE WHEN abs(m) >= abs(obs) THEN 1.0 ELSE 0 END) AS p FROM f", "evt",
 )
 def sign_flip_test(spark, sf):
-    return B.sign_flip(_ev(spark, sf), "row_id", "r", 100)
+    return B.sign_flip(_ev(spark, sf), "row_id", "r", FLIPS)
 
 
 @q(
     "random_timing_null", "observed:5 null_mean:5 p:5",
-    f"""WITH o AS (SELECT count(r) AS n, avg(r) AS obs FROM evt), p AS (SELECT fwd10_r AS r, CAST({_ROW} AS BIGINT) AS uid FROM rk WHERE fwd10_r IS NOT NULL), c AS (SELECT count(*) AS np FROM p),
-    s AS (SELECT rep, avg(r) AS m, any_value(obs) AS obs FROM p, o, c, range(1, 51) t(rep) WHERE {B.unit('rep', 'uid', 11)} < n / np GROUP BY 1) SELECT max(obs) AS observed, avg(m) AS null_mean, avg(CASE WHEN m >= obs THEN 1.0 ELSE 0 END) AS p FROM s""", "evt", "rk",
+    f"""WITH o AS (SELECT count(r) AS n, avg(r) AS obs FROM evt), p AS (SELECT fwd10_r AS r, {_ROW_SQL} AS uid FROM rk WHERE fwd10_r IS NOT NULL), c AS (SELECT count(*) AS np FROM p),
+    s AS (SELECT rep, avg(r) AS m, any_value(obs) AS obs FROM p, o, c, range(1, {TIMINGS + 1}) t(rep) WHERE {B.unit('rep', 'uid', 11)} < n / np GROUP BY 1) SELECT max(obs) AS observed, avg(m) AS null_mean, avg(CASE WHEN m >= obs THEN 1.0 ELSE 0 END) AS p FROM s""", "evt", "rk",
 )
 def random_timing_null(spark, sf):
     pool = D.research_d(spark, sf).where("fwd10_r IS NOT NULL").selectExpr("fwd10_r AS r", f"{_ROW} AS unit_id")
-    return B.random_timing(_ev(spark, sf), pool, "r", 50)
+    return B.random_timing(_ev(spark, sf), pool, "r", TIMINGS)
 
 
 @query("block_drawdown_distribution")
@@ -124,12 +128,12 @@ def block_drawdown_distribution(spark, sf):
 
 
 # ---- positions: both sides of the latest bar -----------------------------------------------------
-cte("posn", "SELECT symbol, close, atr_14 AS atr, side, close AS entry, close - CASE side WHEN 'long' THEN 1 ELSE -1 END * 1.5 * atr_14 AS stop, 250000.0 AS equity, 10.0 + rn % 7 AS qty FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY rn DESC) = 1), (VALUES ('long'), ('short')) v(side)", "f")
+cte("posn", "SELECT symbol, close, atr_14 AS atr, side, close AS entry, close - CASE side WHEN 'long' THEN 1 ELSE -1 END * 1.5 * atr_14 AS stop, 250000.0 AS equity, 10.0 + rn % 7 + CASE side WHEN 'short' THEN 3 ELSE 0 END AS qty FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY rn DESC) = 1), (VALUES ('long'), ('short')) v(side)", "f")
 
 
 def positions(spark, sf):
     d = P.latest(D.panel_d(spark, sf).select("symbol", "ts", "rn", "close", "atr_14")).selectExpr("symbol", "rn", "close", "atr_14 AS atr", "explode(array('long', 'short')) AS side")
-    return P.add(d, {"entry": "close", "stop": "close - CASE side WHEN 'long' THEN 1 ELSE -1 END * 1.5 * atr", "equity": "250000.0D", "qty": "10.0D + rn % 7"})
+    return P.add(d, {"entry": "close", "stop": "close - CASE side WHEN 'long' THEN 1 ELSE -1 END * 1.5 * atr", "equity": "250000.0D", "qty": "10.0D + rn % 7 + CASE side WHEN 'short' THEN 3 ELSE 0 END"})
 
 
 def _union_methods():
@@ -150,11 +154,11 @@ q("portfolio_heat", "heat:6 heat_signed:6", "SELECT sum(greatest(entry - stop, 0
 _LEG = {"exposure": "sum(sg * qty * entry)", "n": "count(*)"}
 q(
     "currency_exposure", "leg exposure:3 n:i share:5 concentrated:b",
-    "WITH l AS (SELECT substr(symbol, 1, 1) AS leg, CASE side WHEN 'long' THEN 1 ELSE -1 END AS sg, qty, entry FROM posn WHERE side = 'long' OR symbol LIKE 'A%' UNION ALL SELECT substr(symbol, 2, 1), -CASE side WHEN 'long' THEN 1 ELSE -1 END, qty, entry FROM posn WHERE side = 'long' OR symbol LIKE 'A%'), g AS (SELECT leg, sum(sg * qty * entry) AS exposure, count(*) AS n FROM l GROUP BY 1) SELECT *, abs(exposure) / sum(abs(exposure)) OVER () AS share, abs(exposure) / sum(abs(exposure)) OVER () >= 0.4 AS concentrated FROM g", "posn",
+    "WITH l AS (SELECT substr(symbol, 1, 1) AS leg, CASE side WHEN 'long' THEN 1 ELSE -1 END AS sg, qty, entry FROM posn UNION ALL SELECT substr(symbol, 2, 1), -CASE side WHEN 'long' THEN 1 ELSE -1 END, qty, entry FROM posn), g AS (SELECT leg, sum(sg * qty * entry) AS exposure, count(*) AS n FROM l GROUP BY 1) SELECT *, abs(exposure) / nullif(sum(abs(exposure)) OVER (), 0) AS share, abs(exposure) / nullif(sum(abs(exposure)) OVER (), 0) >= 0.4 AS concentrated FROM g", "posn",
 )(
     lambda spark, sf: S.agg(
-        positions(spark, sf).where("side = 'long' OR symbol LIKE 'A%'").selectExpr("qty", "entry", "CASE side WHEN 'long' THEN 1 ELSE -1 END AS s0", "symbol").selectExpr("qty", "entry", "inline(array(named_struct('leg', substr(symbol, 1, 1), 'sg', s0), named_struct('leg', substr(symbol, 2, 1), 'sg', -s0)))"), ["leg"], _LEG
-    ).selectExpr("*", "abs(exposure) / sum(abs(exposure)) OVER () AS share").selectExpr("*", "share >= 0.4 AS concentrated")
+        positions(spark, sf).selectExpr("qty", "entry", "CASE side WHEN 'long' THEN 1 ELSE -1 END AS s0", "symbol").selectExpr("qty", "entry", "inline(array(named_struct('leg', substr(symbol, 1, 1), 'sg', s0), named_struct('leg', substr(symbol, 2, 1), 'sg', -s0)))"), ["leg"], _LEG
+    ).selectExpr("*", "abs(exposure) / nullif(sum(abs(exposure)) OVER (), 0) AS share").selectExpr("*", "share >= 0.4 AS concentrated")
 )
 cte("dret", "SELECT symbol, ts, rn, close / lag(close) OVER (PARTITION BY symbol ORDER BY rn) - 1 AS ret FROM wb", "wb")
 cte("cpair", "SELECT x.symbol AS a, y.symbol AS b, count(*) AS n, corr(x.ret, y.ret) AS corr FROM dret x JOIN dret y ON x.ts = y.ts AND x.symbol < y.symbol WHERE x.ret IS NOT NULL AND y.ret IS NOT NULL GROUP BY 1, 2", "dret")
@@ -228,9 +232,14 @@ _FF = ["pe", "ev_ebitda", "pb", "roe_pct", "debt_to_equity", "mom_12m"]
 cte("fmod", "WITH w AS (SELECT symbol, " + ", ".join(f"CASE WHEN {f} IS NOT NULL THEN least(greatest({f}, (SELECT quantile_cont({f}, 0.01) FROM fund)), (SELECT quantile_cont({f}, 0.99) FROM fund)) END AS {f}" for f in _FF) + " FROM fund), z AS (SELECT symbol, " + ", ".join(f"({f} - avg({f}) OVER ()) / stddev_pop({f}) OVER () AS z_{f}" for f in _FF) + f""" FROM w),
  c AS (SELECT symbol, {', '.join(f"greatest(0, least(100, 50 + 25 * ({E._mean([f'({s} * z_{f})' for f, s in fs])}))) AS {k}_score" for k, (fs, _) in E.FACTORS.items())} FROM z) SELECT *, (0.33 * value_score + 0.33 * quality_score + 0.34 * momentum_score) / (0.33 + 0.33 + 0.34) AS composite FROM c""", "fund")
 q("factor_model", "symbol:i value_score:4 quality_score:4 momentum_score:4 composite:4", "SELECT * FROM fmod", "fmod")(lambda spark, sf: E.factor_scores(fund(spark, sf)))
-q("equity_ranking", "symbol:i composite:4 rank:i", "SELECT symbol, composite, row_number() OVER (ORDER BY round(composite, 9) DESC, symbol) AS rank FROM fmod ORDER BY rank LIMIT 50", "fmod")(
-    lambda spark, sf: E.factor_scores(fund(spark, sf)).orderBy(F.desc(F.expr("round(composite, 9)")), "symbol").limit(50).selectExpr("symbol", "composite", "row_number() OVER (ORDER BY round(composite, 9) DESC, symbol) AS rank")
+@q(
+    "equity_ranking", "symbol:i composite:4 rank:i",
+    "SELECT symbol, composite, row_number() OVER (ORDER BY round(composite, 9) DESC NULLS LAST, round(momentum_score, 9) DESC NULLS LAST, symbol) AS rank FROM fmod", "fmod",
 )
+def equity_ranking(spark, sf):
+    """The whole universe by composite score, then by the technical bias (momentum score)."""
+    s = E.factor_scores(fund(spark, sf)).selectExpr("symbol", "composite", "round(composite, 9) AS _c", "round(momentum_score, 9) AS _t")
+    return K.row_numbers(s, ["_c DESC NULLS LAST", "_t DESC NULLS LAST", "symbol"]).select("symbol", "composite", "rank")
 _LBK = (21, 63, 126, 252)
 q("momentum_score", "symbol score:4", f"SELECT symbol, {E.momentum_sql()} AS score FROM (SELECT *, {', '.join(f'(close / lag(close, {n}) OVER (PARTITION BY symbol ORDER BY rn) - 1) * 100 AS r{n}' for n in _LBK)} FROM f) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY rn DESC) = 1", "f")(
     lambda spark, sf: P.add(P.latest(P.own_rows(P.add(P.with_halo(D.panel_d(spark, sf).select("symbol", "ts", "rn", "close", "rsi_14"), 252), {f"r{n}": f"(close / {P.lag('close', n)} - 1) * 100" for n in _LBK}))), {"score": E.momentum_sql()})
