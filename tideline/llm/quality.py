@@ -26,9 +26,10 @@ def _grams(layout: Layout) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Kind, places and buckets of all grams of a layout; all pairs of a word and itself are one gram."""
     h = layout.words()
     yield 0, layout.word_from, bucket(h, 1, BITS)
-    if len(h) > 1:
-        pairs = np.where(h[1:] == h[:-1], np.uint64(0), h[1:] * np.uint64(3) + h[:-1])
-        yield 1, layout.word_from[1:], bucket(pairs, 2, BITS)
+    first = np.searchsorted(layout.word_from, layout.starts)
+    second = np.setdiff1d(np.arange(len(h)), first, assume_unique=False)  # the first word of a stretch has no pair
+    pairs = np.where(h[second] == h[second - 1], np.uint64(0), h[second] * np.uint64(3) + h[second - 1])
+    yield 1, layout.word_from[second], bucket(pairs, 2, BITS)
     for n in NGRAMS:
         places, h = layout.ngrams(n)
         yield 2, places, bucket(h, 2 * n, BITS)

@@ -27,7 +27,7 @@ WORD_WIDTH, CHAR_WIDTH, HIDDEN, ATTEND = 8, 12, 10, 8
 TABLE_RATE = 300
 #: Standard errors by which a word's or n-gram's share of toxic texts must differ from its share of clean ones for its vector to be
 #: learned; all others are zero, or a small sample would be learned by heart.
-TELLING = 3.5
+TELLING = 2.5
 #: Windows of a text in a round of training's first half.
 SOME = 8
 
@@ -354,16 +354,10 @@ def classify(docs: DataFrame, net: Network, cut: float = 0.7) -> DataFrame:
         for text in parts:
             yield pd.Series(scores(text.tolist(), own), dtype="float64")
 
-    found = docs.select("doc_id", F.pandas_udf(run, "double", _iterator())("text").alias("score"))
+    found = docs.select("doc_id", F.pandas_udf(run, "double")("text").alias("score"))
     return found.select("doc_id", "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
-def _iterator():
-    from pyspark.sql.pandas.functions import PandasUDFType
-
-    return PandasUDFType.SCALAR_ITER
-
-
 def op5(spark, sf_dir: str) -> DataFrame:
     docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
