@@ -178,9 +178,11 @@ EVIDENCE_TEXT = [
 ]
 
 
-def with_evidence_text(df: DataFrame, limit: int = 12) -> DataFrame:
+def with_evidence_text(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """All texts of the evidence that holds; ``limit`` keeps the first so many for a report."""
     items = ", ".join(f"CASE WHEN {c} THEN {t} END" for c, t in EVIDENCE_TEXT)
-    return add(df, {"evidence": f"slice(array_compact(array({items})), 1, {limit})"})
+    texts = f"array_compact(array({items}))"
+    return add(df, {"evidence": texts if limit is None else f"slice({texts}, 1, {limit})"})
 
 
 def classify_history(panel: DataFrame, step: int = 3, warmup: int = 260) -> DataFrame:
