@@ -6,6 +6,8 @@ text and of each of its lines are hash-joined with the digests of known licence
 
 from __future__ import annotations
 
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,36 @@ TEXTS = {
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\n" + _GRANT,
     "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\n" + _GRANT,
 }
+# What the two BSD texts share, as their published templates have it.
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n"
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n"
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n"
+)
+_NO_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+_AS_IS = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+#: Title lines of the texts that are published without one of their own.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"), "ISC": ("ISC License", "The ISC License"), "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "Simplified BSD License"), "BSD-3-Clause": ("BSD 3-Clause License", "New BSD License"),
+}
+#: Texts that stand in files, with the lines of each that are its title.
+FILES = {"Apache-2.0": 3, "GPL-2.0": 2, "GPL-3.0": 2, "LGPL-3.0": 2, "MPL-2.0": 1, "CC0-1.0": 2, "CC-BY-SA-4.0": 1}
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """(license, text) of every whole text, with and without its title lines; Apache-2.0 also without its appendix."""
+    bare = [*TEXTS.items(), ("BSD-2-Clause", _BSD + _AS_IS), ("BSD-3-Clause", _BSD + _NO_NAMES + _AS_IS)]
+    found = [(i, title + text) for i, text in bare for title in ("", *(f"{x}\n\n" for x in TITLES[i]))]
+    for i, n in FILES.items():
+        text = files(__package__).joinpath("licence_texts", f"{i}.txt").read_text(encoding="utf-8")
+        lines = [x for x in text.splitlines() if x.strip(" \t=-")]
+        for some in (lines[k:] for k in range(n + 1)):
+            found.append((i, "\n".join(some)))
+            if i == "Apache-2.0":
+                end = next(k for k, x in enumerate(some) if "END OF TERMS" in x)
+                found += [(i, "\n".join(some[:k])) for k in (end, end + 1)]
+    return found
 
 
 def known_texts(spark: SparkSession) -> DataFrame:
@@ -52,7 +84,7 @@ def known_texts(spark: SparkSession) -> DataFrame:
     lit = lambda a, b: F.struct(F.lit(a).alias("license"), F.lit(b).alias("known"))
     names = one.select(F.explode(F.array(*(lit(i, name) for i, all_names in NAMES.items() for name in all_names))).alias("x")).select("x.*")
     notices = names.select("license", F.explode(F.transform(F.array(*map(F.lit, NOTICES)), lambda s: F.replace(s, F.lit("%"), F.col("known")))).alias("known"))
-    whole = one.select(F.explode(F.array(*(lit(i, text) for i, text in TEXTS.items()))).alias("x")).select("x.*")
+    whole = one.select(F.explode(F.array(*(lit(i, text) for i, text in whole_texts()))).alias("x")).select("x.*")
     return whole.union(notices)
 
 
