@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import checkpointed, load
+from tideline.llm.common import checkpointed, load, stored
 
 #: Words from this length on are paired by hashes, so that tries have fewer levels than this.
 DEEP = 64
@@ -45,47 +45,55 @@ def _turned(words: DataFrame) -> DataFrame:
 
 
 def trie(turned: DataFrame) -> DataFrame:
-    """(back, node, edges): nodes are prefixes with two or more words below, an edge has letter, words below, the word if it is one only, and
-    whether a word ends there. A node counts the words of up to twice its depth and two letters; a state at it can reach no others."""
+    """(back, node, edges): nodes are prefixes with two or more words below, an edge has letter, words below, the word if it is one only,
+    whether a word ends there, and the letters of the edges beyond. A node counts the words of up to twice its depth and two letters; a
+    state at it can reach no others."""
     steps = turned.select("back", "word", "size", F.explode(F.sequence(F.floor((F.col("size") - 1) / 2).cast("int"), F.col("size"))).alias("d"))
     steps = steps.select("back", _start("word", F.col("d")).alias("node"), _letter("word", F.col("d")).alias("letter"), "word", (F.col("d") + 1 == F.col("size")).alias("ends"))
     edges = steps.groupBy("back", "node", "letter").agg(F.count("*").alias("words"), F.min("word").alias("only"), F.max("ends").alias("ends"))
     # a word that ends at a node counts there as an edge without a letter, which is not kept
     edge = F.when(F.col("letter") != "", F.struct("letter", "words", F.when(F.col("words") == 1, F.col("only")).alias("only"), "ends"))
     # one edge for each letter
-    return edges.groupBy("back", "node").agg(F.collect_list(edge).alias("edges"), F.sum("words").alias("below")).where("below > 1").drop("below")
+    nodes = edges.groupBy("back", "node").agg(F.collect_list(edge).alias("edges"), F.sum("words").alias("below")).where("below > 1").drop("below")
+    nodes = stored(nodes)
+    beyond = nodes.select("back", F.col("node").alias("child"), F.array_join("edges.letter", "").alias("beyond"))
+    edges = nodes.select("back", "node", F.explode("edges").alias("e")).withColumn("child", F.concat("node", "e.letter")).join(beyond, ["back", "child"], "left")
+    return edges.groupBy("back", "node").agg(F.collect_list(F.struct("e.letter", "e.words", "e.only", "e.ends", "beyond")).alias("edges"))
 
 
 def _useful(arrived: DataFrame) -> DataFrame:
     """The states that have found a neighbour (`near`) or go on (`near` is null), as (back, word, size, at, node, near)."""
     single = F.when(F.levenshtein("word", "only", 1) == 1, F.col("only"))
     near = F.when(F.col("words") == 1, single).when((F.col("at") == F.col("size")) & F.col("ends"), F.col("node"))
-    found = arrived.select("back", "word", "size", "at", "node", "words", near.alias("near"))
-    return found.where(F.col("near").isNotNull() | ((F.col("words") > 1) & (F.col("at") < F.col("size")))).drop("words")
+    found = arrived.select("back", "word", "size", "at", "node", "beyond", near.alias("near"))
+    onward = F.coalesce(F.instr("beyond", _letter("word", F.col("at"))) > 0, F.lit(False)) & (F.col("at") < F.col("size"))
+    return found.where(F.col("near").isNotNull() | onward).drop("beyond")
 
 
 def short_neighbours(words: DataFrame) -> DataFrame:
     """(word, near), repeated, of the words that differ by exactly one edit."""
     turned = _turned(words)
-    nodes = checkpointed(trie(turned))
-    edges = nodes.select("back", "node", F.explode("edges").alias("e")).select("back", F.concat("node", "e.letter").alias("node"), "e.words", "e.only", "e.ends")
+    nodes = stored(trie(turned))
+    flat = ("e.words", "e.only", "e.ends", "e.beyond")
+    edges = nodes.select("back", "node", F.explode("edges").alias("e")).select("back", F.concat("node", "e.letter").alias("node"), *flat)
     middle = F.when(F.col("back"), F.ceil(F.col("size") / 2)).otherwise(F.floor(F.col("size") / 2)).cast("int")
     own = turned.select("back", "word", "size", F.explode(F.sequence(middle, F.col("size"))).alias("d")).withColumn("node", _start("word", F.col("d")))
-    # one letter more, or another letter
-    met = own.join(nodes, ["back", "node"]).select("back", "word", "size", "d", "node", F.explode("edges").alias("e"))
-    other = (F.col("d") < F.col("size")) & (F.col("e.letter") != _letter("word", F.col("d")))
-    places = F.when(other, F.array(F.col("d"), F.col("d") + 1)).otherwise(F.array(F.col("d")))
-    more = met.select("back", "word", "size", F.explode(places).alias("at"), F.concat("node", "e.letter").alias("node"), "e.words", "e.only", "e.ends")
+    # one letter more, or another letter; a letter that repeats is added after its last or left out at its last, so each edit is made once
+    met = own.join(nodes, ["back", "node"]).select("back", "word", "size", "d", "node", F.explode("edges").alias("e")).where(F.col("e.letter") != _letter("word", F.col("d")))
+    places = F.when(F.col("d") < F.col("size"), F.array(F.col("d"), F.col("d") + 1)).otherwise(F.array(F.col("d")))
+    more = met.select("back", "word", "size", F.explode(places).alias("at"), F.concat("node", "e.letter").alias("node"), *flat)
     # one letter fewer
-    fewer = own.where("d < size").select("back", "word", "size", F.least(F.col("d") + 2, F.col("size")).alias("at"), F.concat("node", _letter("word", F.col("d") + 1)).alias("node"))
-    states = checkpointed(_useful(more).unionByName(_useful(fewer.join(edges, ["back", "node"]))).distinct())
+    after = _letter("word", F.col("d") + 1)
+    fewer = own.where(F.col("d") < F.col("size")).where(_letter("word", F.col("d")) != after)
+    fewer = fewer.select("back", "word", "size", F.least(F.col("d") + 2, F.col("size")).alias("at"), F.concat("node", after).alias("node"))
+    states = stored(_useful(more).unionByName(_useful(fewer.join(edges, ["back", "node"]))))
     found = []
     while True:
         found.append(states.where("near IS NOT NULL"))
         going = states.where("near IS NULL").select("back", "word", "size", (F.col("at") + 1).alias("at"), F.concat("node", _letter("word", F.col("at"))).alias("node"))
         if going.isEmpty():
             break
-        states = checkpointed(_useful(going.join(edges, ["back", "node"])))
+        states = stored(_useful(going.join(edges, ["back", "node"])))
     way = lambda c: F.when(F.col("back"), F.reverse(c)).otherwise(F.col(c))
     return reduce(DataFrame.union, found).select(way("word").alias("word"), way("near").alias("near"))
 
