@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideline.llm import chat, licenses, linededup, mixing, neardup, packing, quality, rules, search, spelling, toxicity
+from tideline.llm import alignment, chat, langmix, licenses, linededup, mixing, neardup, packing, quality, rules, search, spelling, toxicity
 
 QUERIES = {
     "op1_chat_windows": chat.op1,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_exact_top_k": search.op9,
     "op10_licence_digests": licenses.op10,
     "op11_trie_frontier": spelling.op11,
+    "op12_language_mixture": langmix.op12,
+    "op13_token_alignment": alignment.op13,
 }
 #: Where SQL cannot express a query (digests of formatted text, fingerprints, tokenisers, trained models), tests compare it with brute force.
 ORACLE: dict[str, str] = {
