@@ -10,7 +10,8 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline
-from tideline.llm import neardup, rules
+from test_similar import components_by_hand
+from tideline.llm import rules
 
 SF = "/root/testdata/sf0.01"
 
@@ -46,8 +47,9 @@ def test_recurring_passages_are_in_one_document(stages):
 
 
 def test_one_of_each_group(stages):
-    found = neardup.near_duplicates(stages[2]).collect()
-    assert {r.doc_id for r in stages[3].collect()} == {r.component_id for r in found}
+    rows = [(r.doc_id, r.text) for r in stages[2].collect()]
+    found = components_by_hand(rows, corpus_pipeline.SIMILARITY)
+    assert {r.doc_id for r in stages[3].collect()} == set(found.values())
 
 
 def test_mixture_and_packing(stages, spark):

@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -80,6 +81,28 @@ def test_pipeline_stage_drops_near_copies_beyond_two_bits(spark):
     assert neardup.keep_one(frame).count() > kept.count()
 
 
+def test_share_of_similar_pairs_that_meet_in_a_band():
+    """Pairs of sets at the similarity itself: at most one in a thousand is missed; of pairs at 0.4, few meet."""
+    shape = neardup.band_shape(0.8)
+    assert shape == (20, 5)
+    rng = np.random.default_rng(3)
+
+    def met(common, apart):
+        one = rng.integers(0, 1 << 63, common + 2 * apart, np.uint64)
+        a, b = (np.unique(x) for x in (one[: common + apart], np.concatenate([one[:common], one[common + apart :]])))
+        return (neardup._bands(a, *shape) == neardup._bands(b, *shape)).any()
+
+    assert sum(met(80, 10) for _ in range(3000)) >= 2995
+    assert sum(met(40, 30) for _ in range(500)) < 180
+
+
+def test_of_repeated_ids_and_texts_the_same_row_stays(spark):
+    rows = [(1, "a b c d e f g", "en", f"s{i}", i) for i in (3, 1, 2)]
+    for seed in (1, 2):
+        kept = neardup.keep_one_similar(spark.createDataFrame(rows[seed:] + rows[:seed], DOC)).collect()
+        assert [tuple(r) for r in kept] == [rows[1]]
+
+
 def test_shingles_of_long_texts(monkeypatch):
     text = " ".join(f"w{i * i % 977}" for i in range(5000))
     whole = neardup._shingle_set(text, 5)
