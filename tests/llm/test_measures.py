@@ -197,15 +197,15 @@ def test_mixing_keeps_columns_and_takes_empty_tables(spark):
 
 
 def best_by_hand(rows, k=5):
-    vectors = {}
+    vectors = []
     for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            w = tuple(math.floor(256 * x) for x in v)
-            vectors[i] = min(vectors.get(i, w), w)
-    out = set()
-    for q in (i for i in vectors if i % 50 == 0):
-        found = sorted((-sum(a * b for a, b in zip(vectors[q], v, strict=True)), i) for i, v in vectors.items() if i != q and len(v) == len(vectors[q]))
-        out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(found[:k])}
+        if v is not None and all(x is not None and math.isfinite(x) for x in v):
+            vectors.append((i, tuple(math.floor(256 * x) for x in v)))
+    out = Counter()
+    for n, (q, w) in enumerate(vectors):
+        if q is not None and q % 50 == 0:
+            found = [(-sum(a * b for a, b in zip(w, v, strict=True)), i is None, i or 0) for m, (i, v) in enumerate(vectors) if m != n and len(v) == len(w)]
+            out.update((q, rank + 1, None if none else i, -s) for rank, (s, none, i) in enumerate(sorted(found)[:k]))
     return out
 
 
@@ -216,11 +216,30 @@ def test_search_against_brute_force(spark, block, query_block):
     rows += [(None, [1.0] * 6), (2000, None), (2001, [None] * 6), (2050, [math.nan] * 6), (2100, [math.inf] * 6), (2150, []), (2151, []), (2200, [1.0]), (2201, [-3.0]), (50, [9.0] * 6), (7, [0.1] * 6)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS v", "2 AS rank", "3 AS score", "4 AS dim", "5 AS b", "6 AS q")
     vectors = search.integer_vectors(frame)
-    got = {tuple(r) for r in search.top_k(vectors, vectors.where("vec_id % 50 = 0"), block=block, query_block=query_block).collect()}
+    got = Counter(tuple(r) for r in search.top_k(vectors, vectors.where("vec_id % 50 = 0"), block=block, query_block=query_block).collect())
     assert got == best_by_hand(rows)
     assert search.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_are_candidates_of_their_own(spark):
+    rows = [(50, [1.0]), (7, [2.0]), (7, [3.0]), (8, [1.0]), (50, [2.0]), (None, [3.0]), (7, [3.0])]
+    vectors = search.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = search.top_k(vectors, vectors.where("vec_id % 50 = 0")).collect()
+    assert Counter(map(tuple, got)) == best_by_hand(rows)
+    assert sorted((r.rank, r.vec_id, r.score) for r in got if r.score in (196608, 393216)) == [(1, 7, 196608), (1, 7, 393216), (2, 7, 196608), (2, 7, 393216), (3, None, 196608), (3, None, 393216)]
+
+
+def test_search_reads_less_where_few_dimensions_decide(spark):
+    rng = np.random.default_rng(6)
+    weights = np.array([20.0, *[0.01] * 7])
+    rows = [(i, (rng.normal(size=8) * weights).tolist()) for i in range(2000)]
+    vectors = search.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = search.top_k(vectors, vectors.where("vec_id % 50 = 0"), block=600, work=True)
+    assert Counter(tuple(r)[:4] for r in got.collect()) == best_by_hand(rows)
+    work = {r.query_id: r.read for r in got.collect()}
+    assert len(work) == 40 and max(work.values()) <= 8 * 2000 and np.mean(list(work.values())) < 0.3 * 8 * 2000
+
+
 def test_lists_in_every_number_type():
     rng = np.random.default_rng(4)
     for scale in (3, 10**4, 10**8):

@@ -1,10 +1,11 @@
 """Exact top-k inner products by no-random-access aggregation over sorted lists.
 
 Candidates are dealt into blocks of a bounded size; a block is indexed by one sorted list for each dimension. A query
-reads each list from the end where its contributions are largest, a stretch of all lists at a time. What is read gives every
-candidate a lower bound (unread contributions at their list's least) and an upper bound (unread ones at the last value
-read). When few enough candidates still reach the k-th best lower bound, no outsider can qualify, and the scores of
-those that remain are resolved. Queries and candidates meet block by block; the best of each block are ranked at the end.
+reads each list from the end where its contributions are largest, a stretch of all lists at a time. Every entry that is read is added
+to its candidate's lower bound (unread contributions at their list's least) and upper bound (unread ones at the last value
+read); nothing else of a candidate is touched. When few enough candidates still reach the k-th best lower bound, no outsider can
+qualify, and the scores of those that remain are resolved. Queries and candidates meet block by block; the best of each block are
+ranked at the end. Every row is a candidate of its own, also where rows share an id; a query leaves out its own row only.
 """
 
 from __future__ import annotations
@@ -16,97 +17,129 @@ from pyspark.sql import functions as F
 
 from tideline.llm.common import checkpointed, load
 
-#: Shares of the lists that have been read after each step.
-STEPS = (0.25, 0.5, 0.625, 0.75, 0.875, 1.0)
+#: Shares of the lists that have been read after each step; queries that read together.
+STEPS, TOGETHER = (0.125, 0.25, 0.5, 0.75, 0.875, 1.0), 64
 
 
 def _number_type(queries: np.ndarray, vectors: np.ndarray):
-    """The cheapest type in which all sums of products are exact."""
-    most = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(1, vectors.shape[1])
+    """The cheapest type in which all bounds are exact."""
+    most = 4 * float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(1, vectors.shape[1])
     return np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
 
 
-def aggregate_lists(queries: np.ndarray, vectors: np.ndarray, first_ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the places and scores of its k best distinct vectors, ties to the smaller first id."""
-    n = len(vectors)
+def aggregate_lists(queries: np.ndarray, vectors: np.ndarray, first_ids: np.ndarray, k: int, reads: list | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the places and scores of its k best distinct vectors, ties to the smaller first id; `reads` takes the number of list
+    entries that each query has read."""
+    n, dims = vectors.shape
     kind = _number_type(queries, vectors)
-    up, down = np.maximum(queries, 0).astype(kind), np.minimum(queries, 0).astype(kind)
-    both = np.concatenate([up, down], axis=1)
-    x = vectors.astype(kind)
-    lists = np.sort(x, axis=0)
+    order = np.argsort(vectors, axis=0, kind="stable")
+    lists = np.take_along_axis(vectors, order, axis=0).astype(kind)
     out: list = [None] * len(queries)
-    active = np.arange(len(queries))
+    entries = np.zeros(len(queries), np.int64)
     enough = max(4 * k, 32)
-    for share in STEPS if n > enough else (1.0,):
-        read = min(n, int(np.ceil(n * share)))
-        top, bottom = lists[n - read], lists[read - 1]
-        high = np.concatenate([np.maximum(x, top), np.minimum(x, bottom)], axis=1)
-        low = np.concatenate([np.where(x >= top, x, lists[0]), np.where(x <= bottom, x, lists[-1])], axis=1)
-        lower, upper = both[active] @ low.T, both[active] @ high.T
-        least = np.partition(lower, n - min(k, n), axis=1)[:, n - min(k, n)]
-        alive = upper >= least[:, None]
-        done = (alive.sum(axis=1) <= enough) | (read == n)
-        for row in np.flatnonzero(done):
-            q = active[row]
-            left = np.flatnonzero(alive[row])
-            scores = vectors[left] @ queries[q]
-            best = np.lexsort((first_ids[left], -scores))[:k]
-            out[q] = (left[best], scores[best])
-        active = active[~done]
-        if not len(active):
-            break
+    for start in range(0, len(queries), TOGETHER):
+        names = np.arange(start, min(start + TOGETHER, len(queries)))
+        q = queries[names].astype(kind)
+        up = q > 0
+        least = q * np.where(up, lists[0], lists[-1])
+        front = q * np.where(up, lists[-1], lists[0])
+        lower = np.repeat(least.sum(axis=1)[:, None], n, axis=1)
+        upper = np.repeat(front.sum(axis=1)[:, None], n, axis=1)
+        read = 0
+        for share in STEPS if n > enough else (1.0,):
+            to = min(n, int(np.ceil(n * share)))
+            reached = q * np.where(up, lists[n - to], lists[to - 1])
+            fallen = reached - front
+            # all unread contributions are at most what was reached; those of entries read before are known and do not fall
+            upper += fallen.sum(axis=1)[:, None]
+            for j in range(dims):
+                ends = (np.flatnonzero(q[:, j] > 0), slice(n - read, n), slice(n - to, n - read)), (np.flatnonzero(q[:, j] < 0), slice(0, read), slice(read, to))
+                for rows, before, new in ends:
+                    if len(rows):
+                        at, here = rows[:, None], order[new, j]
+                        upper[at, order[before, j]] -= fallen[rows, j, None]
+                        given = q[rows, j, None] * lists[new, j]
+                        upper[at, here] += given - reached[rows, j, None]
+                        lower[at, here] += given - least[rows, j, None]
+            entries[names] += (to - read) * (q != 0).sum(axis=1)
+            front, read = reached, to
+            best = np.partition(lower, n - min(k, n), axis=1)[:, n - min(k, n)]
+            alive = upper >= best[:, None]
+            done = (alive.sum(axis=1) <= enough) | (read == n)
+            for row in np.flatnonzero(done):
+                left = np.flatnonzero(alive[row])
+                scores = vectors[left] @ queries[names[row]]
+                top = np.lexsort((first_ids[left], -scores))[:k]
+                out[names[row]] = (left[top], scores[top])
+            names, q, up, least, front, lower, upper = (x[~done] for x in (names, q, up, least, front, lower, upper))
+            if not len(names):
+                break
+    if reads is not None:
+        reads += entries.tolist()
     return out
 
 
+RESULT = "query long, query_id long, row long, vec_id long, score long, read long"
+
+
 def _block(k: int):
     def run(key, asked: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        names = [c.split()[0] for c in RESULT.split(", ")]
         if asked.empty or given.empty:
-            return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "vec_id", "score")})
+            return pd.DataFrame({c: pd.Series(dtype="Int64") for c in names})
         size = max(1, int(key[0]))
         stack = lambda col: np.array([np.asarray(v, np.int64) for v in col], np.int64).reshape(len(col), -1) if key[0] else np.zeros((len(col), size), np.int64)
-        given = given.sort_values("vec_id", ignore_index=True)
+        # from here on a candidate's id is its place in the order of ties
+        given = given.sort_values(["unnamed", "id", "row"], ignore_index=True)
         vectors, first, place = np.unique(stack(given.v), axis=0, return_index=True, return_inverse=True)
-        ids = given.vec_id.to_numpy()
         order = np.argsort(place.ravel(), kind="stable")
         starts = np.searchsorted(place.ravel()[order], np.arange(len(vectors) + 1))
-        queries, names = stack(asked.v), asked.vec_id.to_numpy()
-        rows = []
+        own, ids, unnamed = given.row.tolist(), given.id.tolist(), given.unnamed.tolist()
+        rows, reads = [], []
         # one more than k, as one may be the query itself
-        for name, (best, scores) in zip(names, aggregate_lists(queries, vectors, ids[first], k + 1), strict=True):
-            found = [(-s, i, name) for b, s in zip(best, scores, strict=True) for i in ids[order[starts[b] : min(starts[b + 1], starts[b] + k + 1)]] if i != name]
-            rows += sorted(found)[:k]
-        out = pd.DataFrame(rows, columns=["score", "vec_id", "query_id"], dtype="int64")
-        return pd.DataFrame({"query_id": out.query_id, "vec_id": out.vec_id, "score": -out.score})
+        best = aggregate_lists(stack(asked.v), vectors, first, k + 1, reads)
+        for query, name, (places, scores), read in zip(asked.row.tolist(), asked.id.tolist(), best, reads, strict=True):
+            found = [(-s, i) for b, s in zip(places.tolist(), scores.tolist(), strict=True) for i in order[starts[b] : min(starts[b + 1], starts[b] + k + 1)].tolist() if own[i] != query]
+            rows += [(query, name, own[i], None if unnamed[i] else ids[i], -s, read) for s, i in sorted(found)[:k]]
+        return pd.DataFrame(rows, columns=names).astype("Int64")
 
     return run
 
 
 def integer_vectors(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, v): floor(256 x) of every component; vectors that are null or hold a null or non-finite component are left out,
-    as are rows without an id; of several rows with one id the one with the smallest vector counts."""
+    """(row, vec_id, v): floor(256 x) of every component, of each row under a number of its own; vectors that are null or hold a null or
+    non-finite component are left out."""
     x = F.transform("embedding", lambda c: c.cast("double"))
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    rows = embeddings.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(F.coalesce(fine, F.lit(False)))
-    return rows.groupBy("vec_id").agg(F.min(F.transform(x, lambda c: F.floor(c * 256))).alias("v"))
+    rows = embeddings.where(F.col("embedding").isNotNull()).where(F.coalesce(fine, F.lit(False)))
+    # numbers are fixed by the checkpoint
+    return checkpointed(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.transform(x, lambda c: F.floor(c * 256)).alias("v")))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 8192, query_block: int = 1024) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row of `queries` its k best rows of `vectors`, itself left out, ties to the smaller id.
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 8192, query_block: int = 1024, work: bool = False) -> DataFrame:
+    """query_id, rank, vec_id, score: for each row of `queries` its k best rows of `vectors`, its own row left out, ties to the smaller id (null
+    ids last). With `work` also query (its row) and read, the list entries that the query has read in all blocks.
 
-    Both hold vec_id and integer arrays v, as integer_vectors gives them. Vectors of another number of components than the
-    query's are not compared with it. A query without candidates, and an empty table, give no rows. Scores are 64-bit.
+    Both hold row, vec_id and integer arrays v, as integer_vectors gives them. Rows that share an id are rows of their own, as queries and as
+    candidates. Vectors of another number of components than the query's are not compared with it. A query without candidates, and an
+    empty table, give no rows. Scores are 64-bit.
     """
-    vectors, queries = checkpointed(vectors), checkpointed(queries)
     blocks, query_blocks = (max(1, -(-x.count() // n)) for x, n in ((vectors, block), (queries, query_block)))
-    deal = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
+    deal = lambda n, salt: F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # new names on each side, as both may come from one table
+    columns = [F.col("row").alias("row"), F.coalesce("vec_id", F.lit(0)).alias("id"), F.col("vec_id").isNull().alias("unnamed"), F.col("v").alias("v")]
     dim = F.size("v").alias("dim")
-    given = vectors.select(dim, deal(blocks, 1).alias("b"), every(query_blocks).alias("q"), "vec_id", "v")
-    asked = queries.select(dim, every(blocks).alias("b"), deal(query_blocks, 2).alias("q"), "vec_id", "v")
+    given = vectors.select(dim, deal(blocks, 1).alias("b"), every(query_blocks).alias("q"), *columns)
+    asked = queries.select(dim, every(blocks).alias("b"), deal(query_blocks, 2).alias("q"), *columns)
     by = ["dim", "b", "q"]
-    best = asked.groupBy(*by).cogroup(given.groupBy(*by)).applyInPandas(_block(k), "query_id long, vec_id long, score long")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = asked.groupBy(*by).cogroup(given.groupBy(*by)).applyInPandas(_block(k), RESULT)
+    one = Window.partitionBy("query")
+    best = best.withColumn("rank", F.row_number().over(one.orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row")))
+    if work:  # a block gives its count with each of its rows
+        best = best.withColumn("b", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(blocks))).withColumn("first", F.row_number().over(Window.partitionBy("query", "b").orderBy("rank")) == 1)
+        best = best.withColumn("read", F.sum(F.when(F.col("first"), F.col("read")).otherwise(0)).over(one))
+    return best.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", *["query", "read"] * work)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
@@ -115,11 +148,11 @@ def op9(spark, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = """
-WITH v AS (SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT))) AS v FROM embeddings
-    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
-parts AS (SELECT vec_id, unnest(range(len(v))) AS i, unnest(v) AS x FROM v),
-scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score FROM parts q JOIN parts c ON q.i = c.i AND q.vec_id <> c.vec_id
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT r, vec_id, len(v) AS n, unnest(range(len(v))) AS i, unnest(v) AS x FROM v),
+scored AS (SELECT q.r AS query, q.vec_id AS query_id, c.r, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score FROM parts q JOIN parts c ON q.i = c.i AND q.n = c.n AND q.r <> c.r
     WHERE q.vec_id % 50 = 0 GROUP BY ALL),
-ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
