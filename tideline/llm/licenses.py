@@ -117,16 +117,16 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     known = known_texts(docs.sparkSession)
     known = known.select("license", _digests(canonical_lines(F.col("known")))[0].alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
+    # the known table is fixed and small: its digests go into the plan, so that texts are read and put in canonical form once
+    names = {r.digest: r.license for r in known.collect()}
     whole, parts = _digests(F.col("lines"))
-    name = F.xxhash64("doc_id", "text").alias("dh")
-    units = docs.select("doc_id", name, canonical_lines(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("lines"))
-    units = units.select("doc_id", "dh", whole.alias("entire"), parts.alias("parts"))
-    # the known table is fixed and small
-    hits = units.select("doc_id", "dh", F.explode(F.array_union("parts", F.array("entire"))).alias("digest")).join(F.broadcast(known), "digest")
-    hits = hits.groupBy("doc_id", "dh").agg(F.array_sort(F.collect_set("license")).alias("licenses"))
-    rows = units.select("doc_id", "dh", F.col("entire").alias("digest")).join(F.broadcast(known.withColumnRenamed("license", "whole")), "digest", "left")
-    both = rows.alias("r").join(hits.alias("h"), F.expr("r.doc_id <=> h.doc_id AND r.dh = h.dh"), "left")
-    return both.select("r.doc_id", "r.digest", "r.whole", F.coalesce("h.licenses", F.array().cast("array<string>")).alias("licenses"))
+    units = docs.select("doc_id", canonical_lines(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("lines"))
+    units = units.select("doc_id", whole.alias("digest"), parts.alias("parts"))
+    met = F.filter(F.array_union("parts", F.array("digest")), lambda x: x.isin(*names))
+    table = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    units = units.select("doc_id", "digest", F.array_sort(F.array_distinct(F.transform(met, lambda x: F.element_at(table, x)))).alias("licenses"))
+    rows = units.join(F.broadcast(known.withColumnRenamed("license", "whole")), "digest", "left")
+    return rows.select("doc_id", "digest", "whole", "licenses")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
@@ -145,7 +145,7 @@ _CANON = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_
 OP10_SQL = f"""
 WITH names(license, name) AS (VALUES {", ".join(f"({_quoted(i)}, {_quoted(n)})" for i, ns in NAMES.items() for n in ns)}),
 notices(notice) AS (VALUES {", ".join(f"({_quoted(n)})" for n in NOTICES)}),
-texts(license, t) AS (VALUES {", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in TEXTS.items())}),
+texts(license, t) AS (VALUES {", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in whole_texts())}),
 known AS (SELECT license, replace(notice, '%', name) AS t FROM names, notices UNION ALL SELECT license, t FROM texts),
 units AS (SELECT license, CAST(NULL AS BIGINT) AS doc_id, t FROM known UNION ALL SELECT NULL, doc_id, coalesce(text, '') FROM documents),
 canon AS (SELECT license, doc_id, list_filter(list_transform(string_split({_CANON}, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM units),
