@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .outcomes import ladder_resolution
 from .panel import add
 
 SNAPSHOT = (
@@ -73,6 +74,26 @@ def trade_plan(rows: DataFrame) -> DataFrame:
     )
 
 
+def reward_risk() -> str:
+    """Of the middle of the entry zone to the target, against the stop; null where any is missing or the stop is on the wrong side."""
+    sg, mid = "CASE side WHEN 'long' THEN 1 ELSE -1 END", "(entry_lo + entry_hi) / 2"
+    return f"CASE WHEN {sg} * ({mid} - stop) > 0 THEN {sg} * (target - {mid}) / ({sg} * ({mid} - stop)) END"
+
+
+def live_filters(rows: DataFrame, min_score: int = 5, bias: float = 4.0, min_prob: float | None = None, min_rr: float | None = None, need_macro: bool = True) -> DataFrame:
+    """Confirmed setups that may be sent: score floor, trend bias on the setup's side, probability and reward floors, and the macro gate.
+
+    ``rows``: side, score, bias_score, prob, gate, entry_lo, entry_hi, stop, target. Longs need a bias of at least minus ``bias``, shorts of at
+    most ``bias``. A missing bias, probability, gate or reward removes nothing.
+    """
+    keep = [f"score >= {min_score}", f"coalesce(CASE side WHEN 'long' THEN bias_score >= -({bias}) ELSE bias_score <= {bias} END, true)"]
+    keep += [f"coalesce(prob >= {min_prob}, true)"] * (min_prob is not None)
+    keep += ["coalesce(gate, true)"] * need_macro
+    d = add(rows, {"rr": reward_risk()})
+    keep += [f"coalesce(rr >= {min_rr}, true)"] * (min_rr is not None)
+    return d.where(" AND ".join(keep))
+
+
 def setup_key() -> str:
     return "format_string('%s:%.6f-%.6f', symbol, entry_lo, entry_hi)"
 
@@ -107,6 +128,37 @@ def join_resolutions(records: DataFrame, resolutions: DataFrame) -> DataFrame:
     return records.join(a, "recorded_at", "left").join(b, ["date", "symbol"], "left").selectExpr(*records.columns, "coalesce(_ra, _rb) AS r")
 
 
+#: One candidate side of a decision; prices and reward multiples of the target ladder stand side by side.
+SIDE = "struct<entry:double,stop:double,target:double,cost_r:double,entry_type:string,rungs:array<double>,rrs:array<double>>"
+COUNTERFACTUAL = ["outcome", "realized_r", "n_hit", "mfe_r", "mae_r", "time_exit"]
+
+
+def side_rows(decisions: DataFrame, keep: list[str]) -> DataFrame:
+    """One row per decision and candidate side that can be resolved: a ladder of up to three rungs, or else the one target."""
+    d = decisions.selectExpr(*keep, "inline(array(named_struct('side', 'long', 'o', long), named_struct('side', 'short', 'o', short)))")
+    d = d.selectExpr(*keep, "side", "o.*").where("entry IS NOT NULL AND stop IS NOT NULL AND entry <> stop")
+    d = add(d, {"_rung": "slice(filter(zip_with(coalesce(rungs, array()), coalesce(rrs, array()), (p, q) -> named_struct('p', p, 'q', q)), x -> x.p IS NOT NULL AND x.q IS NOT NULL), 1, 3)"})
+    d = add(d, {"_ladder": "CASE WHEN size(_rung) > 0 THEN _rung WHEN target IS NOT NULL THEN array(named_struct('p', target, 'q', abs(target - entry) / abs(entry - stop))) END"})
+    d = d.where("_ladder IS NOT NULL")
+    return d.selectExpr(*keep, "side", "entry", "stop", "coalesce(cost_r, 0.0D) AS cost_r", "coalesce(entry_type, 'limit') AS entry_type", "_ladder.p AS rungs", "_ladder.q AS rrs")
+
+
+def resolve_decisions(decisions: DataFrame, panel: DataFrame, horizon: int = 20) -> DataFrame:
+    """What became of recorded decisions: taken outcome and R, and both sides as if they had been taken.
+
+    ``decisions``: symbol, rn (decision bar), direction, long and short (SIDE), any other columns. A limit order that no later bar touches is a
+    non-fill of 0R without cost; inside a bar the stop comes before the rungs; the rest exits at nothing after ``horizon`` bars. A flat
+    (or missing) direction is 0R and keeps both counterfactuals. A taken side without levels or later bars gives no row.
+    """
+    legs = ladder_resolution(side_rows(decisions, ["symbol", "rn"]), panel, horizon)
+    cf = f"struct({', '.join(COUNTERFACTUAL)})"
+    both = legs.groupBy("symbol", "rn").agg(*[F.expr(f"any_value(CASE WHEN side = '{s}' THEN {cf} END, true) AS cf_{s}") for s in ("long", "short")])
+    d = decisions.join(both, ["symbol", "rn"], "left").withColumn("direction", F.coalesce("direction", F.lit("flat")))
+    d = add(d, {"_t": "CASE direction WHEN 'long' THEN cf_long WHEN 'short' THEN cf_short END"})
+    d = add(d, {"outcome": "CASE WHEN direction = 'flat' THEN 'flat' ELSE _t.outcome END", "r": "CASE WHEN direction = 'flat' THEN 0.0D ELSE _t.realized_r END"})
+    return d.where("outcome IS NOT NULL").drop("_t")
+
+
 # check -> (condition that makes a row bad, level when any row is bad)
 CHECKS = {
     "protocol_hash_shape": ("NOT (protocol RLIKE '^[0-9a-f]{64}$')", "FAIL"),

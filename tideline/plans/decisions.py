@@ -10,6 +10,7 @@ from ..operators import stats as S
 from ..sources import derive as D
 from ..sources import store
 from . import sql_base  # noqa: F401
+from .hygiene import macro_joined
 from .levels import clustered
 from .outcomes import signals4
 from .registry import cte, query, show
@@ -65,18 +66,26 @@ def opportunity_book(spark, sf):
 
 
 _TP = "CASE WHEN stage = 'Confirmed' THEN 'CONFIRMED' WHEN stage IN ('In Pullback', 'In Rally') THEN 'WATCH' ELSE 'NO_SETUP' END AS status"
-_PLAN = "SELECT symbol, ts, stage, close, entry_lo, entry_hi, side, rn % 4 <> 0 AS gate FROM (SELECT symbol, ts, rn, stage, close, entry_lo, entry_hi, 'long' AS side FROM dip4 UNION ALL SELECT symbol, ts, rn, stage, close, entry_lo, entry_hi, 'short' FROM rally4)"
+# the gate of the setup's side by the macro bias that was known the day before; without a bias there is none
+cte("gates", "SELECT symbol, ts, CASE WHEN bias IS NOT NULL THEN bias >= -0.5 END AS long_ok, CASE WHEN bias IS NOT NULL THEN bias <= 0.5 END AS short_ok FROM mbj", "mbj")
+_PLAN = "SELECT s.*, CASE side WHEN 'long' THEN long_ok ELSE short_ok END AS gate FROM (SELECT symbol, ts, rn, stage, close, entry_lo, entry_hi, 'long' AS side FROM dip4 UNION ALL SELECT symbol, ts, rn, stage, close, entry_lo, entry_hi, 'short' FROM rally4) s LEFT JOIN gates g ON g.symbol = s.symbol AND g.ts = s.ts"
+
+
+def gated(rows, spark, sf):
+    """Adds the macro gate of each row's side."""
+    g = macro_joined(spark, sf).selectExpr("symbol", "ts", "CASE WHEN bias IS NOT NULL THEN long_gate = 1 END AS _l", "CASE WHEN bias IS NOT NULL THEN short_gate = 1 END AS _s")
+    return P.add(rows.join(g, ["symbol", "ts"], "left"), {"gate": "CASE side WHEN 'long' THEN _l ELSE _s END"}).drop("_l", "_s")
 
 
 @q(
     "trade_plan", "side status order_type n:i",
     f"""SELECT side, status, order_type, count(*) AS n FROM (SELECT *, {_TP}, CASE WHEN NOT gate THEN 'WAIT-MACRO' WHEN stage = 'Confirmed' AND side = 'long' THEN CASE WHEN close > entry_hi THEN 'BUY-LIMIT' ELSE 'BUY-ZONE' END
-    WHEN stage = 'Confirmed' THEN CASE WHEN close < entry_lo THEN 'SELL-LIMIT' ELSE 'SELL-ZONE' END WHEN stage IN ('In Pullback', 'In Rally') THEN 'WAIT-CONFIRM' ELSE 'NONE' END AS order_type FROM ({_PLAN})) GROUP BY 1, 2, 3""", "dip4", "rally4",
+    WHEN stage = 'Confirmed' THEN CASE WHEN close < entry_lo THEN 'SELL-LIMIT' ELSE 'SELL-ZONE' END WHEN stage IN ('In Pullback', 'In Rally') THEN 'WAIT-CONFIRM' ELSE 'NONE' END AS order_type FROM ({_PLAN})) GROUP BY 1, 2, 3""", "dip4", "rally4", "gates",
 )
 def trade_plan(spark, sf):
     cols = ["symbol", "ts", "rn", "stage", "close", "entry_lo", "entry_hi"]
     u = signals4(spark, sf, "long").selectExpr(*cols, "'long' AS side").unionByName(signals4(spark, sf, "short").selectExpr(*cols, "'short' AS side"))
-    return S.agg(C.trade_plan(P.add(u, {"gate": "rn % 4 <> 0"})), ["side", "status", "order_type"], {"n": "count(*)"})
+    return S.agg(C.trade_plan(gated(u, spark, sf)), ["side", "status", "order_type"], {"n": "count(*)"})
 
 
 # ---- alerts -------------------------------------------------------------------------------------
@@ -90,8 +99,28 @@ def alerts(spark, sf):
 
 
 q("setup_keys", "symbol ts:d side key", "SELECT * FROM alr", "alr")(alerts)
-_LF = "score >= 5 AND (CASE WHEN rn % 3 = 0 THEN NULL ELSE bias_score END IS NULL OR bias_score >= 1 OR side = 'short')"
-q("live_filters", "symbol ts:d side score:i", f"SELECT * FROM alr WHERE {_LF}", "alr")(lambda spark, sf: alerts(spark, sf).where(_LF))
+# probability: the evidence score of the side on classified bars
+cte("alx", """SELECT a.*, CASE side WHEN 'long' THEN h.long_score ELSE h.short_score END AS prob, CASE side WHEN 'long' THEN long_ok ELSE short_ok END AS gate FROM (
+    SELECT symbol, ts, rn, score, 'long' AS side, (entry_lo + entry_hi) / 2 AS mid, invalidation AS stop, resistance AS target, bias_score FROM dip4 WHERE confirmed
+    UNION ALL SELECT symbol, ts, rn, score, 'short', (entry_lo + entry_hi) / 2, invalidation, target, bias_score FROM rally4 WHERE confirmed) a
+    LEFT JOIN gates g ON g.symbol = a.symbol AND g.ts = a.ts LEFT JOIN hist h ON h.symbol = a.symbol AND h.rn = a.rn""", "dip4", "rally4", "gates", "hist")
+
+
+@q(
+    "live_filters", "symbol ts:d side score:i prob:4 gate:b rr:4",
+    """SELECT * FROM (SELECT *, CASE WHEN side = 'long' AND mid > stop THEN (target - mid) / (mid - stop) WHEN side = 'short' AND stop > mid THEN (mid - target) / (stop - mid) END AS rr FROM alx)
+    WHERE score >= 5 AND (bias_score IS NULL OR (side = 'long' AND bias_score >= 0) OR (side = 'short' AND bias_score <= 0)) AND (prob IS NULL OR prob >= 0.3) AND (gate IS NULL OR gate) AND (rr IS NULL OR rr >= 0.5)""", "alx",
+)
+def live_filters(spark, sf):
+    """Confirmed setups after the score, bias, probability, macro and reward floors."""
+    from .statistics import history
+
+    cols = ["symbol", "ts", "rn", "score", "entry_lo", "entry_hi", "bias_score", "invalidation AS stop"]
+    u = signals4(spark, sf, "long").where("confirmed").selectExpr(*cols, "resistance AS target", "'long' AS side").unionByName(signals4(spark, sf, "short").where("confirmed").selectExpr(*cols, "target", "'short' AS side"))
+    u = gated(u, spark, sf).join(history(spark, sf).select("symbol", "rn", "long_score", "short_score"), ["symbol", "rn"], "left")
+    return C.live_filters(P.add(u, {"prob": "CASE side WHEN 'long' THEN long_score ELSE short_score END"}), 5, 0, 0.3, 0.5)
+
+
 q("seen_key_exclusion", "symbol ts:d side key", "SELECT * FROM alr a WHERE NOT EXISTS (SELECT 1 FROM alr s WHERE s.key = a.key AND s.ts < a.ts AND date_diff('day', s.ts, a.ts) <= 10)", "alr")(
     lambda spark, sf: C.unseen(alerts(spark, sf), alerts(spark, sf).selectExpr("key", "ts AS sent_at"))
 )
@@ -157,6 +186,69 @@ def promotion_gates(spark, sf):
     return P.put(d, {"failed": "array_join(failed, ',')"})
 
 
+# ---- resolution of recorded decisions --------------------------------------------------------------
+# limit a quarter ATR away, or at the close where the evidence is strong; three rungs, or one target of 2R where it is weak
+def _side(sg: int, score: str) -> str:
+    entry, stop = f"CASE WHEN {score} >= 0.5 THEN close ELSE close - {sg} * 0.25D * atr_14 END", f"close - {sg} * 1.5D * atr_14"
+    rungs = f"transform(array(1, 2, 3), k -> ({entry}) + {sg} * k * abs(({entry}) - ({stop})))"
+    return (
+        f"named_struct('entry', {entry}, 'stop', {stop}, 'target', ({entry}) + {sg} * 2 * abs(({entry}) - ({stop})), 'cost_r', 0.05D, 'entry_type', CASE WHEN {score} >= 0.5 THEN 'market' ELSE 'limit' END, "
+        f"'rungs', CASE WHEN {score} >= 0.3 THEN {rungs} END, 'rrs', CASE WHEN {score} >= 0.3 THEN array(1.0D, 2.0D, 3.0D) END)"
+    )
+
+
+def recorded_decisions(spark, sf):
+    """Every classified bar as a decision with both candidate sides."""
+    from .statistics import history
+
+    h = history(spark, sf).select("symbol", "rn", "ts", "direction", "long_score", "short_score")
+    d = h.join(D.panel_d(spark, sf).select("symbol", "rn", "close", "atr_14"), ["symbol", "rn"]).where("atr_14 IS NOT NULL")
+    return d.selectExpr("symbol", "rn", "ts", "direction", f"{_side(1, 'long_score')} AS long", f"{_side(-1, 'short_score')} AS short")
+
+
+cte("rs_leg", """SELECT *, abs(entry - stop) AS risk, sg * (entry + sg * 1 * abs(entry - stop) - entry) AS g1, sg * (entry + sg * 2 * abs(entry - stop) - entry) AS g2, sg * (entry + sg * 3 * abs(entry - stop) - entry) AS g3 FROM (
+    SELECT symbol, rn, ts, direction, 'long' AS side, 1 AS sg, long_score >= 0.5 AS market, long_score >= 0.3 AS ladder, CASE WHEN long_score >= 0.5 THEN close ELSE close - 0.25 * atr_14 END AS entry, close - 1.5 * atr_14 AS stop FROM hist WHERE atr_14 IS NOT NULL
+    UNION ALL SELECT symbol, rn, ts, direction, 'short', -1, short_score >= 0.5, short_score >= 0.3, CASE WHEN short_score >= 0.5 THEN close ELSE close + 0.25 * atr_14 END, close + 1.5 * atr_14 FROM hist WHERE atr_14 IS NOT NULL)""", "hist")
+cte("rs_bar", """SELECT l.symbol, l.rn, l.side, l.market, l.ladder, l.risk, l.g1, l.g2, l.g3, x.rn - l.rn AS i, x.ts AS day_at, CASE WHEN sg = 1 THEN x.high - entry ELSE entry - x.low END AS fav, CASE WHEN sg = 1 THEN entry - x.low ELSE x.high - entry END AS adv
+    FROM rs_leg l JOIN f x ON x.symbol = l.symbol AND x.rn > l.rn AND x.rn <= l.rn + 20""", "rs_leg", "f")
+cte("rs_open", "SELECT * FROM (SELECT *, min(CASE WHEN market OR adv >= 0 THEN i END) OVER (PARTITION BY symbol, rn, side) AS filled FROM rs_bar) WHERE filled IS NULL OR i >= filled", "rs_bar")
+cte("rs_stop", "SELECT *, min(CASE WHEN filled IS NOT NULL AND adv >= risk THEN i END) OVER (PARTITION BY symbol, rn, side) AS stopped FROM rs_open", "rs_open")
+cte("rs_end", """SELECT symbol, rn, side, any_value(filled) AS filled, any_value(stopped) AS stopped, any_value(ladder) AS ladder, max(i) AS n_bars, max(day_at) AS last_at,
+    coalesce(bool_or(ok AND fav >= g1), false) AS h1, coalesce(bool_or(ok AND fav >= g2), false) AS h2, coalesce(bool_or(ok AND fav >= g3), false) AS h3, max(CASE WHEN upto THEN fav / risk END) AS best, max(CASE WHEN upto THEN adv / risk END) AS worst,
+    min(CASE WHEN i = stopped OR (ok AND fav >= CASE WHEN ladder THEN g3 ELSE g2 END) THEN day_at END) AS closed_at
+    FROM (SELECT *, filled IS NOT NULL AND (stopped IS NULL OR i < stopped) AS ok, filled IS NOT NULL AND (stopped IS NULL OR i <= stopped) AS upto FROM rs_stop) GROUP BY 1, 2, 3""", "rs_stop")
+cte("rs_side", """SELECT *, CASE WHEN filled IS NULL THEN 'non_fill' WHEN stopped IS NOT NULL THEN 'sl' WHEN hits > 0 THEN 'tp' ELSE 'time' END AS what,
+    CASE WHEN filled IS NULL THEN 0 ELSE CASE WHEN ladder THEN (h1::INT * 1.0 + h2::INT * 2.0 + h3::INT * 3.0) / 3.0 ELSE h2::INT * 2.0 END - CASE WHEN stopped IS NULL THEN 0 WHEN ladder THEN 1 - hits / 3.0 ELSE 1 - hits END - 0.05 END AS r,
+    CASE WHEN filled IS NULL THEN 0 ELSE greatest(coalesce(best, 0), 0) END AS mfe, CASE WHEN filled IS NULL THEN 0 ELSE greatest(coalesce(worst, 0), 0) END AS mae, filled IS NOT NULL AND stopped IS NULL AND hits < CASE WHEN ladder THEN 3 ELSE 1 END AS timed
+    FROM (SELECT *, CASE WHEN ladder THEN h1::INT + h2::INT + h3::INT ELSE h2::INT END AS hits FROM rs_end)""", "rs_end")
+cte("rs_all", """SELECT d.symbol, d.ts, d.direction, CASE d.direction WHEN 'long' THEN l.what WHEN 'short' THEN s.what ELSE 'flat' END AS outcome, CASE d.direction WHEN 'long' THEN l.r WHEN 'short' THEN s.r ELSE 0 END AS r,
+    l.what AS long_outcome, l.r AS long_r, l.hits AS long_hits, l.mfe AS long_mfe, l.timed AS long_timed, s.what AS short_outcome, s.r AS short_r, s.hits AS short_hits, s.mae AS short_mae, s.timed AS short_timed,
+    l.n_bars, l.last_at, greatest(l.closed_at, s.closed_at) AS both_at, l.closed_at IS NOT NULL AND s.closed_at IS NOT NULL AS both_closed
+    FROM (SELECT DISTINCT symbol, rn, ts, direction FROM rs_leg) d LEFT JOIN rs_side l ON l.symbol = d.symbol AND l.rn = d.rn AND l.side = 'long' LEFT JOIN rs_side s ON s.symbol = d.symbol AND s.rn = d.rn AND s.side = 'short'""", "rs_leg", "rs_side")
+_RES = "symbol ts:d direction outcome r:5 long_outcome long_r:5 long_hits:i long_mfe:4 long_timed:b short_outcome short_r:5 short_hits:i short_mae:4 short_timed:b"
+_LEGS = ["cf_long.outcome AS long_outcome", "cf_long.realized_r AS long_r", "cf_long.n_hit AS long_hits", "cf_long.mfe_r AS long_mfe", "cf_long.time_exit AS long_timed"]
+_LEGS += ["cf_short.outcome AS short_outcome", "cf_short.realized_r AS short_r", "cf_short.n_hit AS short_hits", "cf_short.mae_r AS short_mae", "cf_short.time_exit AS short_timed"]
+
+
+@q("resolve_decisions", _RES, "SELECT * FROM rs_all WHERE outcome IS NOT NULL", "rs_all")
+def resolve_decisions(spark, sf):
+    """Taken outcome of every recorded decision and both counterfactuals."""
+    d = C.resolve_decisions(recorded_decisions(spark, sf), D.panel_d(spark, sf))
+    return d.selectExpr("symbol", "ts", "direction", "outcome", "r", *_LEGS)
+
+
+@q("stream_resolution", _RES, "SELECT * FROM rs_all, (SELECT max(ts) - INTERVAL 2 DAY AS wm FROM f) WHERE outcome IS NOT NULL AND ((n_bars = 20 AND last_at <= wm) OR (both_closed AND both_at <= wm))", "rs_all", "f")
+def stream_resolution(spark, sf):
+    """The same from two streams: decisions are resolved once the watermark has passed the bars that settle them."""
+    from ..streaming import jobs as J
+
+    d = recorded_decisions(spark, sf).selectExpr("symbol", "cast(ts AS timestamp) AS ts", "direction", "long", "short")
+    b = D.panel_d(spark, sf).selectExpr("symbol", "cast(ts AS timestamp) AS ts", "high", "low")
+    read = lambda name, t: spark.readStream.schema(t.schema).parquet(store.written(spark, name, sf, lambda: t))
+    out = J.run_available(J.decision_resolution(read("resolution_decisions", d), read("resolution_bars", b)), "resolution")
+    return out.selectExpr("symbol", "ts", "direction", "outcome", "r", *_LEGS)
+
+
 @q("decision_log", "rows:i corrupt:i symbols:i", "SELECT count(*) + 2 AS rows, 2 AS corrupt, count(DISTINCT symbol) AS symbols FROM rec", "rec")
 def decision_log(spark, sf):
     """Append snapshots as JSON lines, plant two broken lines, read back tolerantly."""

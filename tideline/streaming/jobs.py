@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -116,6 +117,93 @@ def pending_bars(decisions: DataFrame, bars_: DataFrame, horizon_days: int = 30,
     ).select("symbol", "d_ts", "ts", "stop", "target", "high", "low")
 
 
+def resolve_side(side: str, o: dict | None, path: list[list[float]]) -> tuple[dict | None, bool]:
+    """One side of a decision on its bars [high, low], and whether later bars can change nothing."""
+    if not o or o.get("entry") is None or o.get("stop") is None or o["entry"] == o["stop"]:
+        return None, True
+    sg, entry, risk = (1 if side == "long" else -1), o["entry"], abs(o["entry"] - o["stop"])
+    rungs = [(p, q) for p, q in zip(o.get("rungs") or [], o.get("rrs") or []) if p is not None and q is not None][:3]
+    if not rungs:
+        if o.get("target") is None:
+            return None, True
+        rungs = [(o["target"], abs(o["target"] - entry) / risk)]
+    filled, stopped, hit, mfe, mae = o.get("entry_type") == "market", False, [False] * len(rungs), 0.0, 0.0
+    for high, low in path:
+        fav, adv = (high - entry, entry - low) if sg == 1 else (entry - low, high - entry)
+        filled = filled or adv >= 0
+        if not filled:
+            continue
+        mfe, mae = max(mfe, fav / risk), max(mae, adv / risk)
+        if adv >= risk:
+            stopped = True
+            break
+        hit = [h or fav >= sg * (p - entry) for h, (p, _) in zip(hit, rungs)]
+    paid = sum(q for h, (_, q) in zip(hit, rungs) if h) / len(rungs) - (1 - sum(hit) / len(rungs) if stopped else 0) - (o.get("cost_r") or 0.0)
+    outcome = "non_fill" if not filled else "sl" if stopped else "tp" if any(hit) else "time"
+    found = {"outcome": outcome, "realized_r": paid if filled else 0.0, "n_hit": sum(hit), "mfe_r": mfe, "mae_r": mae, "time_exit": filled and not stopped and not all(hit)}
+    return found, stopped or all(hit)
+
+
+_LEG = "outcome string, realized_r double, n_hit int, mfe_r double, mae_r double, time_exit boolean"
+RESOLVED = "symbol string, ms bigint, direction string, outcome string, r double, " + ", ".join(f"cf_{s} struct<{_LEG.replace(' ', ':').replace(',:', ',')}>" for s in ("long", "short"))
+
+
+def decision_resolution(decisions: DataFrame, bars_: DataFrame, horizon: int = 20, horizon_days: int = 120, late: str = "2 days") -> DataFrame:
+    """Open decisions resolved as their bars arrive: what operators.decisions.resolve_decisions gives, once per decision.
+
+    State is kept per (symbol, month of decision), and a bar goes to each month whose decisions may still be open, so a hot symbol is
+    many keys and each holds a month's decisions and the bars that they can see. Only bars that the watermark has passed count:
+    nothing can come before them any more, so any order or repetition of input gives the same rows. A decision closes when both of its
+    sides have met their stop or all rungs, after ``horizon`` bars, or when its timer fires ``horizon_days`` after it.
+
+    ``decisions``: symbol, ts, direction, long, short; one for each symbol and time. ``bars_``: symbol, ts, high, low.
+    """
+    day = 86_400_000
+    d = decisions.selectExpr("symbol", "ts", "trunc(ts, 'MM') AS month", "to_json(struct(direction, long, short)) AS decision", "cast(null AS double) AS high", "cast(null AS double) AS low")
+    months = f"explode(sequence(trunc(ts - INTERVAL {horizon_days} DAYS, 'MM'), trunc(ts, 'MM'), INTERVAL 1 MONTH)) AS month"
+    b = bars_.selectExpr("symbol", "ts", months, "cast(null AS string) AS decision", "high", "low")
+    rows = d.unionByName(b).withWatermark("ts", late).selectExpr("symbol", "unix_millis(cast(month AS timestamp)) AS month", "ts", "unix_millis(ts) AS ms", "decision", "high", "low")
+
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        book = json.loads(state.get[0]) if state.exists else {"open": {}, "done": [], "bars": {}}
+        held, done, seen = book["open"], set(book["done"]), book["bars"]
+        for f in () if state.hasTimedOut else frames:
+            for ms, decision, high, low in zip(f["ms"].tolist(), f["decision"], f["high"].tolist(), f["low"].tolist()):
+                if decision is None:
+                    seen.setdefault(str(ms), [high, low])
+                elif ms not in done:
+                    held.setdefault(str(ms), json.loads(decision))
+        now = state.getCurrentWatermarkMs()
+        passed = sorted(int(ms) for ms in seen if int(ms) <= now)
+        out = []
+        for name, one in list(held.items()):
+            at, end = int(name), int(name) + horizon_days * day
+            path = [seen[str(ms)] for ms in passed if at < ms <= end][:horizon]
+            legs = {s: resolve_side(s, one.get(s), path) for s in ("long", "short")}
+            if len(path) < horizon and now < end and not (path and legs["long"][1] and legs["short"][1]):
+                continue
+            cf = {s: legs[s][0] if path else None for s in legs}
+            side = one.get("direction") or "flat"
+            if side == "flat" or cf[side]:
+                out.append((key[0], at, side, "flat" if side == "flat" else cf[side]["outcome"], 0.0 if side == "flat" else cf[side]["realized_r"], cf["long"], cf["short"]))
+            del held[name]
+            done.add(at)
+        # decisions of this month can be new until the watermark leaves it
+        over = max(int(key[1]) + 31 * day, max((int(n) + horizon_days * day for n in held), default=0))
+        if now >= over:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((json.dumps({"open": held, "done": sorted(done), "bars": seen}),))
+            pending = [int(ms) for ms in seen if int(ms) > now] if held else []
+            state.setTimeoutTimestamp(max(now + 1, min([*pending, over])))
+        if out:
+            yield pd.DataFrame(out, columns=["symbol", "ms", "direction", "outcome", "r", "cf_long", "cf_short"])
+
+    found = rows.groupBy("symbol", "month").applyInPandasWithState(step, RESOLVED, "book string", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.selectExpr("symbol", "timestamp_millis(ms) AS ts", "direction", "outcome", "r", "cf_long", "cf_short")
+
+
 def append_new_keys(path: str, keys: list[str]):
     """foreachBatch sink: append only rows whose key is not in the table yet, so a replayed batch adds nothing."""
 
