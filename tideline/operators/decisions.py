@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import resampling as B
 from .outcomes import ladder_resolution
 from .panel import add
+from .stats import agg, drawdown
 
 SNAPSHOT = (
     "recorded_at string, date string, symbol string, protocol struct<version:string,sha256:string>, "
@@ -187,14 +189,67 @@ def integrity(records: DataFrame) -> DataFrame:
     return rows.unionByName(dup).selectExpr("check_name", "coalesce(bad, 0) AS bad", "CASE WHEN total = 0 THEN 'SKIP' WHEN coalesce(bad, 0) > 0 THEN level ELSE 'PASS' END AS status")
 
 
-# gate -> condition over family statistics; an unknown metric fails its gate
+# fixed values: the eleven gates and their thresholds, as conditions over a family's statistics; a missing statistic leaves its gate open
 GATES = {
-    "effective_n": "n_days >= 50", "independent_window": "span_days >= 90", "cost_robustness": "mean_r - 0.05 > 0 AND mean_r - 0.15 > 0",
-    "positive_regimes": "n_regimes >= 2", "symbol_concentration": "max_symbol_share <= 0.40", "cluster_concentration": "max_cluster_share <= 0.60",
+    "min_effective_n": "n_days >= 50",
+    "independent_window": "span_days >= 90",
+    "walk_forward": "n_positive_folds >= 3",
+    "cost_robustness": "mean_r - 0.05 > 0 AND mean_r - 0.15 > 0",
+    "permutation_test": "p_flip < 0.05",
+    "bootstrap_ci": "ci_lower >= 0.05",
+    "loso": "n_symbols >= 2 AND worst_without_symbol > 0",
+    "regime_stability": "n_regimes >= 2",
+    "concentration_limits": "max_symbol_share <= 0.40 AND max_cluster_share <= 0.60",
+    "portfolio_contribution": "sharpe_all > sharpe_without",
+    "drawdown_limits": "max_dd >= -12.0",
 }
 
 
+def gate_statistics(records: DataFrame, clusters: str, row_id: str, reps: int = 1000, folds: int = 5) -> DataFrame:
+    """Every statistic that the gates read, one row per family.
+
+    ``records``: family, symbol, date, regime, taken_r; ``clusters`` is an array expression of the groups that a symbol belongs to, ``row_id`` an
+    integer expression. Resampling is keyed: one pass expands rows by replicate inside the map tasks and shuffles one partial sum per
+    (family, replicate) for the bootstrap and the sign flips together. Drawdowns are carried over chunk summaries, leave-one-out
+    means and the portfolio without a family come from sums, so no family is gathered in one task.
+    """
+    base = agg(records, ["family"], {"n": "count(taken_r)", "total": "sum(taken_r)", "n_days": "count(distinct date)", "first": "min(date)", "span_days": "datediff(max(date), min(date))", "mean_r": "avg(taken_r)"})
+    edge = F.broadcast(base.select("family", "first", "span_days"))  # one row a family, of which there are twelve
+    walk = records.join(edge, "family").withColumn("fold", F.expr(f"int(floor({folds} * datediff(date, first) / (span_days + 1)))"))
+    walk = agg(agg(walk, ["family", "fold"], {"m": "avg(taken_r)"}), ["family"], {"n_positive_folds": "count_if(m > 0)"})
+    regimes = agg(agg(records, ["family", "regime"], {"m": "avg(taken_r)"}), ["family"], {"n_regimes": "count_if(m > 0)"})
+    symbols = agg(records, ["family", "symbol"], {"v": "count(*)", "k": "count(taken_r)", "s": "sum(taken_r)"}).join(F.broadcast(base.select("family", "n", "total")), "family")
+    symbols = agg(symbols, ["family"], {"n_symbols": "count(*)", "max_symbol_share": "max(v) / sum(v)", "worst_without_symbol": "min((total - s) / nullif(n - k, 0))"})
+    groups = records.selectExpr("family", f"explode({clusters}) AS g")
+    groups = agg(agg(groups, ["family", "g"], {"v": "count(*)"}), ["family"], {"max_cluster_share": "max(v) / (sum(v) / 2)"})
+    drawn = B.replicates(records.where("taken_r IS NOT NULL").selectExpr("family", "taken_r", f"{row_id} AS uid"), reps)
+    drawn = add(drawn, {"_w": B.poisson1(B.unit("rep", "uid", 42)), "_s": f"CASE WHEN {B.unit('rep', 'uid', 7)} < 0.5 THEN -1 ELSE 1 END"})
+    drawn = agg(drawn, ["family", "rep"], {"stat": "sum(_w * taken_r) / nullif(sum(_w), 0)", "flipped": "avg(_s * taken_r)", "observed": "avg(taken_r)"})
+    # one row for each replicate of a family
+    drawn = agg(drawn, ["family"], {"ci_lower": "percentile(stat, 0.025)", "p_flip": f"(1 + count_if(flipped >= observed - 1e-9)) / {reps + 1}"})
+    daily = agg(records, ["family", "date"], {"x": "sum(taken_r)"})
+    days = agg(daily, ["date"], {"t": "sum(x)"})
+    book = agg(days, [], {"d": "count(*)", "st": "sum(t)", "stt": "sum(t * t)"})
+    part = agg(daily.join(days, "date"), ["family"], {"sx": "sum(x)", "sc": "sum(2 * t * x - x * x)"}).crossJoin(F.broadcast(book))
+    sharpe = lambda s, ss: f"({s}) / d / nullif(sqrt(greatest(({ss}) / d - pow(({s}) / d, 2), 0)), 0)"
+    part = part.selectExpr("family", f"{sharpe('st', 'stt')} AS sharpe_all", f"{sharpe('st - sx', 'stt - sc')} AS sharpe_without")
+    falls = drawdown(records.where("taken_r IS NOT NULL").selectExpr("family", "date", "symbol", "taken_r"), "family", "taken_r", ["date", "symbol"], "date")
+    out = base.drop("first")
+    for one in (walk, regimes, symbols, groups, drawn, part, falls):
+        out = out.join(one, "family", "left")
+    return out
+
+
 def promotion(stats: DataFrame) -> DataFrame:
+    """``failed`` gates and the level of each family: all passed, some observations, or none."""
     flags = ", ".join(f"CASE WHEN NOT coalesce({c}, false) THEN '{k}' END" for k, c in GATES.items())
     d = add(stats, {"failed": f"array_compact(array({flags}))"})
     return add(d, {"level": "CASE WHEN size(failed) = 0 THEN 'L3' WHEN n_days > 0 THEN 'L2' ELSE 'L0' END"})
+
+
+def scoreboard(stats: DataFrame) -> DataFrame:
+    """For each gate the families that pass, fail, or lack its statistic, and what that makes of the gate."""
+    rows = ", ".join(f"{i}, '{k}', {c}" for i, (k, c) in enumerate(GATES.items(), 1))
+    d = stats.selectExpr("family", f"stack({len(GATES)}, {rows}) AS (gate_no, gate, ok)")
+    d = agg(d, ["gate_no", "gate"], {"n_pass": "count_if(ok)", "n_fail": "count_if(NOT ok)", "n_unresolved": "count_if(ok IS NULL)"})
+    return add(d, {"status": "CASE WHEN n_fail > 0 THEN 'FAIL' WHEN n_unresolved > 0 THEN 'UNRESOLVED' ELSE 'PASS' END"})

@@ -39,14 +39,14 @@ def series_stats(x: str) -> dict[str, str]:
     }
 
 
-def drawdown(trades: DataFrame, key: str, r: str, order: list[str]) -> DataFrame:
-    """Largest fall of the running R total below its peak, per key.
+def drawdown(trades: DataFrame, key: str, r: str, order: list[str], day: str = "signal_ts") -> DataFrame:
+    """Largest fall of the running R total below its peak, per key; ``day`` is the time of a trade, the first of ``order``.
 
     The running total and its running peak use the chunked panel, so one long series is split.
     """
     o = ", ".join(order)
     # trade lists are indexed by time bucket and order, then scanned like any panel
-    d = trades.selectExpr(f"{key} AS symbol", f"struct({o}) AS ts", "to_date(signal_ts) AS _day", f"{r} AS r")
+    d = trades.selectExpr(f"{key} AS symbol", f"struct({o}) AS ts", f"to_date({day}) AS _day", f"{r} AS r")
     d = index_by(d, "_day", "ts")
     eq = P.scan(P.own_rows(P.with_halo(d)), {"equity": ("r", 1.0)})
     pk = P.running_max(eq, {"peak": "greatest(equity, 0)"})

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import decisions as C
 from ..operators import panel as P
+from ..operators import resampling as B
 from ..operators import risk as K
 from ..operators import signals as G
 from ..operators import stats as S
@@ -168,22 +169,48 @@ _PA = {"n": "count(*)", "taken": "avg(taken_r - coalesce(cost_r, 0))", "cf_long_
 q("prospective_accumulation", "family n:i taken:5 cf_long_mean:5 cf_short_mean:5 over_restricted:5 flat_missed:i", f"SELECT family, {', '.join(f'{v} AS {k}' for k, v in _PA.items())} FROM rec GROUP BY 1", "rec")(lambda spark, sf: S.agg(records(spark, sf), ["family"], _PA))
 
 
-@q(
-    "promotion_gates", "family n_days:i mean_r:5 n_regimes:i max_symbol_share:5 failed level",
-    """WITH s AS (SELECT family, count(DISTINCT date) AS n_days, date_diff('day', min(date), max(date)) AS span_days, avg(taken_r) AS mean_r FROM rec GROUP BY 1), g AS (SELECT family, count(*) FILTER (WHERE m > 0) AS n_regimes FROM (SELECT family, regime, avg(taken_r) AS m FROM rec GROUP BY 1, 2) GROUP BY 1),
-    x AS (SELECT family, max(v) / sum(v) AS max_symbol_share FROM (SELECT family, symbol, count(*) AS v FROM rec GROUP BY 1, 2) GROUP BY 1), k AS (SELECT family, max(v) / (sum(v) / 2) AS max_cluster_share FROM (SELECT family, cl, count(*) AS v FROM (SELECT family, substr(symbol, 1, 1) AS cl FROM rec UNION ALL SELECT family, substr(symbol, 2, 1) FROM rec) GROUP BY 1, 2) GROUP BY 1),
-    j AS (SELECT * FROM s JOIN g USING (family) JOIN x USING (family) JOIN k USING (family)), f2 AS (SELECT *, concat_ws(',', """ + ", ".join(f"CASE WHEN NOT coalesce({c}, false) THEN '{k}' END" for k, c in C.GATES.items()) + """) AS failed FROM j)
-    SELECT *, CASE WHEN failed = '' THEN 'L3' WHEN n_days > 0 THEN 'L2' ELSE 'L0' END AS level FROM f2""", "rec",
-)
+_ROW_ID = "CAST(conv(substr(md5(concat(symbol, ' ', rn)), 1, 11), 16, 10) AS BIGINT)"
+GATE_REPS = 1000
+cte("gs_draw", f"""SELECT family, quantile_cont(stat, 0.025) AS ci_lower, (1 + count(*) FILTER (WHERE flipped >= observed - 1e-9)) / {GATE_REPS + 1}.0 AS p_flip FROM (
+    SELECT family, rep, sum(w * taken_r) / nullif(sum(w), 0) AS stat, avg(sg * taken_r) AS flipped, avg(taken_r) AS observed FROM (
+      SELECT family, rep, taken_r, {B.poisson1(B.unit('rep', 'uid', 42))} AS w, CASE WHEN {B.unit('rep', 'uid', 7)} < 0.5 THEN -1 ELSE 1 END AS sg
+      FROM (SELECT family, taken_r, CAST('0x' || substr(md5(symbol || ' ' || rn), 1, 11) AS BIGINT) AS uid FROM rec WHERE taken_r IS NOT NULL), range(1, {GATE_REPS + 1}) t(rep)) GROUP BY 1, 2) GROUP BY 1""", "rec")
+cte("gs", """WITH b AS (SELECT family, count(taken_r) AS n, sum(taken_r) AS total, count(DISTINCT date) AS n_days, min(date) AS d0, date_diff('day', min(date), max(date)) AS span_days, avg(taken_r) AS mean_r FROM rec GROUP BY 1),
+    wf AS (SELECT family, count(*) FILTER (WHERE m > 0) AS n_positive_folds FROM (SELECT r.family, floor(5 * date_diff('day', d0, date) / (span_days + 1)) AS fold, avg(taken_r) AS m FROM rec r JOIN b USING (family) GROUP BY 1, 2) GROUP BY 1),
+    rg AS (SELECT family, count(*) FILTER (WHERE m > 0) AS n_regimes FROM (SELECT family, regime, avg(taken_r) AS m FROM rec GROUP BY 1, 2) GROUP BY 1),
+    ex AS (SELECT family, s AS without, avg(taken_r) FILTER (WHERE symbol <> s) AS m FROM rec, (SELECT DISTINCT symbol AS s FROM rec) GROUP BY 1, 2),
+    lo AS (SELECT e.family, count(*) AS n_symbols, min(m) AS worst_without_symbol FROM ex e WHERE EXISTS (SELECT 1 FROM rec r WHERE r.family = e.family AND r.symbol = e.without) GROUP BY 1),
+    sh AS (SELECT family, max(v) / sum(v) AS max_symbol_share FROM (SELECT family, symbol, count(*) AS v FROM rec GROUP BY 1, 2) GROUP BY 1),
+    cl AS (SELECT family, max(v) / (sum(v) / 2) AS max_cluster_share FROM (SELECT family, c, count(*) AS v FROM (SELECT family, substr(symbol, 1, 1) AS c FROM rec UNION ALL SELECT family, substr(symbol, 2, 1) FROM rec) GROUP BY 1, 2) GROUP BY 1),
+    al AS (SELECT avg(t) / nullif(stddev_pop(t), 0) AS sharpe_all FROM (SELECT date, sum(taken_r) AS t FROM rec GROUP BY 1)),
+    wo AS (SELECT f.family, avg(t) / nullif(stddev_pop(t), 0) AS sharpe_without FROM (SELECT k.family, r.date, coalesce(sum(r.taken_r) FILTER (WHERE r.family <> k.family), 0) AS t FROM rec r, (SELECT DISTINCT family FROM rec) k GROUP BY 1, 2) f GROUP BY 1),
+    dd AS (SELECT family, min(e - p) AS max_dd FROM (SELECT family, e, greatest(max(e) OVER (PARTITION BY family ORDER BY date, symbol), 0) AS p FROM (SELECT family, date, symbol, sum(taken_r) OVER (PARTITION BY family ORDER BY date, symbol) AS e FROM rec WHERE taken_r IS NOT NULL)) GROUP BY 1)
+    SELECT b.*, n_positive_folds, n_regimes, n_symbols, worst_without_symbol, max_symbol_share, max_cluster_share, ci_lower, p_flip, sharpe_all, sharpe_without, max_dd
+    FROM b LEFT JOIN wf USING (family) LEFT JOIN rg USING (family) LEFT JOIN lo USING (family) LEFT JOIN sh USING (family) LEFT JOIN cl USING (family) LEFT JOIN gs_draw USING (family) LEFT JOIN wo USING (family) LEFT JOIN dd USING (family) CROSS JOIN al""", "rec", "gs_draw")
+# the gates once more, by hand
+cte("gp", """SELECT family, 1 AS no, 'min_effective_n' AS gate, n_days >= 50 AS ok FROM gs UNION ALL SELECT family, 2, 'independent_window', span_days >= 90 FROM gs
+    UNION ALL SELECT family, 3, 'walk_forward', n_positive_folds > 2 FROM gs UNION ALL SELECT family, 4, 'cost_robustness', mean_r > 0.15 FROM gs
+    UNION ALL SELECT family, 5, 'permutation_test', p_flip < 0.05 FROM gs UNION ALL SELECT family, 6, 'bootstrap_ci', ci_lower >= 0.05 FROM gs
+    UNION ALL SELECT family, 7, 'loso', n_symbols > 1 AND worst_without_symbol > 0 FROM gs UNION ALL SELECT family, 8, 'regime_stability', n_regimes > 1 FROM gs
+    UNION ALL SELECT family, 9, 'concentration_limits', max_symbol_share <= 0.4 AND max_cluster_share <= 0.6 FROM gs
+    UNION ALL SELECT family, 10, 'portfolio_contribution', sharpe_all > sharpe_without FROM gs UNION ALL SELECT family, 11, 'drawdown_limits', -max_dd <= 12 FROM gs""", "gs")
+_PG = "family n_days:i mean_r:5 n_positive_folds:i p_flip:5 ci_lower:5 worst_without_symbol:5 n_regimes:i max_symbol_share:5 sharpe_all:6 sharpe_without:6 max_dd:4 failed level"
+
+
+def gate_statistics(spark, sf):
+    return C.gate_statistics(records(spark, sf), "array(substr(symbol, 1, 1), substr(symbol, 2, 1))", _ROW_ID, GATE_REPS)
+
+
+@q("promotion_gates", _PG, "SELECT gs.*, failed, CASE WHEN failed = '' THEN 'L3' WHEN n_days > 0 THEN 'L2' ELSE 'L0' END AS level FROM gs JOIN (SELECT family, coalesce(string_agg(gate, ',' ORDER BY no) FILTER (WHERE NOT coalesce(ok, false)), '') AS failed FROM gp GROUP BY 1) USING (family)", "gs", "gp")
 def promotion_gates(spark, sf):
-    r = records(spark, sf)
-    s = S.agg(r, ["family"], {"n_days": "count(distinct date)", "span_days": "datediff(max(date), min(date))", "mean_r": "avg(taken_r)"})
-    g = S.agg(S.agg(r, ["family", "regime"], {"m": "avg(taken_r)"}), ["family"], {"n_regimes": "sum(CASE WHEN m > 0 THEN 1 ELSE 0 END)"})
-    x = S.agg(S.agg(r, ["family", "symbol"], {"v": "count(*)"}), ["family"], {"max_symbol_share": "max(v) / sum(v)"})
-    k = r.selectExpr("family", "explode(array(substr(symbol, 1, 1), substr(symbol, 2, 1))) AS cl")
-    k = S.agg(S.agg(k, ["family", "cl"], {"v": "count(*)"}), ["family"], {"max_cluster_share": "max(v) / (sum(v) / 2)"})
-    d = C.promotion(s.join(g, "family").join(x, "family").join(k, "family"))
-    return P.put(d, {"failed": "array_join(failed, ',')"})
+    """All eleven gates of every family with the statistics they read."""
+    return P.put(C.promotion(gate_statistics(spark, sf)), {"failed": "array_join(failed, ',')"})
+
+
+@q("gate_scoreboard", "gate_no:i gate n_pass:i n_fail:i n_unresolved:i status", """SELECT *, CASE WHEN n_fail > 0 THEN 'FAIL' WHEN n_unresolved > 0 THEN 'UNRESOLVED' ELSE 'PASS' END AS status FROM (
+    SELECT no AS gate_no, gate, count(*) FILTER (WHERE ok) AS n_pass, count(*) FILTER (WHERE NOT ok) AS n_fail, count(*) FILTER (WHERE ok IS NULL) AS n_unresolved FROM gp GROUP BY 1, 2)""", "gp")
+def gate_scoreboard(spark, sf):
+    return C.scoreboard(gate_statistics(spark, sf))
 
 
 # ---- resolution of recorded decisions --------------------------------------------------------------
