@@ -107,6 +107,26 @@ def test_op6_is_whole_and_tight(spark):
     assert check_packing(rows, texts, 4096) <= math.ceil(1.01 * sum(r.length for r in rows) / 4096)
 
 
+def test_the_bound_of_open_sequences_binds(spark):
+    """Online, in bounded space: few open sequences close early, cost some sequences, and many more would save little."""
+    found = packing.pieces(spark.read.parquet(f"{SF}/documents.parquet")).cache()
+    used = {}
+    for bins in (2, packing.BINS, 100_000):
+        used[bins] = packing.fill(packing.pack(found, bins=bins)).first()
+    assert used[2].tokens == used[packing.BINS].tokens and used[2].sequences > used[packing.BINS].sequences
+    assert used[packing.BINS].sequences <= 1.02 * used[100_000].sequences and used[packing.BINS].fill > 0.97
+    lengths = [r.length for r in found.collect()]
+    packer = packing.BestFit(4096, packing.BINS, iter(range(10**6)))
+    closed = 0
+    random.Random(1).shuffle(lengths)
+    for n in lengths:
+        full = packer.open == packer.bins
+        before = set(x for v in packer.at.values() for x in v)
+        number, offset = packer.place(n)
+        closed += full and offset == 0 and n < 4096 and len(before - set(x for v in packer.at.values() for x in v)) > 0
+    assert closed > 0
+
+
 def counts_by_hand(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
