@@ -174,6 +174,64 @@ def test_rules_reject_junk_and_keep_the_rest(spark):
     assert np.mean(good) > 0.97 and np.mean(bad) < 0.2
 
 
+def kept_by_hand(rows, weight=rules.WEIGHT):
+    """The verdict from the measures alone: medians and deviations of each class, averaged with the wider class's."""
+    sound = [r for r in rows if not r.base_failed]
+
+    def lower_median(xs):
+        return sorted(xs)[math.ceil(len(xs) / 2) - 1]
+
+    def of(group, wider, m, gap):
+        xs = [r[m] for r in group]
+        mid = lower_median(xs)
+        dev, n = lower_median([abs(x - mid) for x in xs]), len(xs)
+        if wider is None:
+            return mid, dev
+        return (n * mid + weight * wider[0]) / (n + weight), (n * dev + weight * (wider[1] + (abs(mid - wider[0]) if gap else 0))) / (n + weight)
+
+    size = lambda r: int(math.log2(max(r.n_tokens, 1)))
+    out = []
+    for r in rows:
+        fine = not r.base_failed
+        for m, (below, above, floor) in rules.BANDS.items() if fine else ():
+            language = [x for x in sound if x["class"] == r["class"]]
+            wide = of(language, of(sound, None, m, False), m, True)
+            mid, dev = of([x for x in language if size(x) == size(r)], wide, m, False)
+            dev = max(dev, floor)
+            fine &= mid - below * dev <= r[m] <= mid + above * dev
+        out.append((r.doc_id, bool(fine)))
+    return sorted(out)
+
+
+def test_verdict_against_brute_force(spark):
+    rows = rules.judge(spark.read.parquet(f"{SF}/documents.parquet")).collect()
+    assert sorted((r.doc_id, r.kept) for r in rows) == kept_by_hand(rows)
+    assert {r.kept for r in rows} == {True, False}
+
+
+def test_no_number_of_documents_switches_a_rule_on(spark):
+    """The same junk among few and many sound documents of its language."""
+    rng = random.Random(2)
+    words = ["river", "stone", "window", "paper", "garden", "morning", "letter", "mountain", "winter", "table", "music", "travel", "silver", "market", "bridge", "candle", "forest", "harbour"]
+    sound = [(i, " ".join(rng.choice(words) + rng.choice(["", "s", "ed", ","]) for _ in range(120)), "en", "s", 0) for i in range(100)]
+    junk = (1000, " ".join(rng.choice("#$%&|<>*") * rng.randrange(1, 4) + rng.choice("QXZ") for _ in range(120)), "en", "s", 0)
+    for n in (20, 48, 60, 100):
+        kept = {r.doc_id for r in rules.judge(spark.createDataFrame([*sound[:n], junk], DOC)).where("kept").collect()}
+        assert 1000 not in kept and len(kept) == n
+
+
+def test_byte_level_fertility_by_the_whole_text():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    for text in ("plain words and 😀🧿 ꙮ marks <|endoftext|> " * 20, "word " * 200_000, "x"):
+        ids = library.encode(" " + text, add_special_tokens=False).ids
+        n, raw, entropy = rules.byte_fertility(text, path)
+        share = np.array(list(Counter(ids).values())) / len(ids)
+        assert n == len(ids) and (raw > 0) == ("ꙮ" in text) and abs(entropy + (share * np.log2(share)).sum()) < 1e-6
+    assert rules.byte_fertility("", path) == (0, 0, 0.0)
+
+
 def test_rules_edges(spark):
     frame = spark.createDataFrame(EDGES, DOC).selectExpr("*", "1 AS n_words", "'k' AS key", "2 AS kept", "'c' AS class", "3 AS entropy")
     rows = rules.judge(frame).collect()
