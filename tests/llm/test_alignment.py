@@ -89,7 +89,7 @@ def test_stretches_and_forgotten_windows_change_nothing(monkeypatch):
     assert want[0][0] > 1000
     monkeypatch.setattr(alignment, "STRETCH", 300)
     monkeypatch.setattr(alignment, "REMEMBERED", 40)
-    monkeypatch.setattr(alignment, "LARGEST", 32)
+    monkeypatch.setattr(alignment, "LARGEST", 40)
     assert plain(alignment.aligned(whole, known, True)) == want
     known.forget()
 

@@ -34,6 +34,10 @@ REMEMBERED, LARGEST = 300_000, 512
 COLUMNS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
 
 
+#: Stands between the ids of the two vocabularies in the key of a window.
+BETWEEN = 0xFFFFFFFF
+
+
 class Side:
     """A vocabulary: the bytes of its tokens, which of them begin with a space, and the ids of a text that begins with a space."""
 
@@ -41,12 +45,13 @@ class Side:
         self.tokens, self.encode = tokens, encode
         self.size_of = np.array([len(t) for t in tokens], np.int64)
         self.spaced = np.array([t[:1] == b" " for t in tokens])
-        self.shown = np.array([str(i) for i in range(len(tokens))], object)
+        self.comma = np.array([f"{i}," for i in range(len(tokens))], object)
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.encode(text), np.uint32)
 
-    def ids(self, text: str) -> np.ndarray | None:
-        """The ids, or none if the tokens do not spell the text."""
-        found = np.asarray(self.encode(text), np.uint32)
-        return found if b"".join(map(self.tokens.__getitem__, found.tolist())) == text.encode() else None
+    def spelt(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids))
 
 
 def byte_level(path: str, pattern: str | None = None) -> Side:
@@ -76,35 +81,53 @@ def pieces(path: str) -> Side:
 
 
 class Windows:
-    """Alignments of windows, remembered by their two tuples of ids: number of groups, their text, and the pairs of tokens that overlap."""
+    """Alignments of windows, remembered by the ids of both vocabularies: number of groups, their text, the bytes, and the pairs of tokens that
+    overlap. A key holds the two tuples of ids as unsigned 32-bit bytes with BETWEEN between them."""
 
     def __init__(self, left: Side, right: Side):
         self.left, self.right = left, right
+        self.bar, self.semicolon = (np.array([x[:-1] + end for x in side.comma], object) for side, end in ((left, "|"), (right, ";")))
         self.forget()
 
     def forget(self):
-        self.number: dict[tuple[bytes, bytes], int] = {}
+        self.number: dict[bytes, int] = {}
         self.shown: list[str] = []
-        self.groups = self.first = self.pairs = np.zeros(0, np.int64)
-        self.sizes = self.groups
-
-    def learn(self, keys: list[tuple[bytes, bytes]]) -> None:
-        """Align windows that are not known yet, all at once: one after the other they are two texts of tokens with equal bytes."""
-        a, b = (np.frombuffer(b"".join(k[side] for k in keys), np.uint32) for side in (0, 1))
+        self.spelt: list[bytes | None] = []
+        self.groups = self.first = self.pairs = self.sizes = np.zeros(0, np.int64)
+
+    def learn(self, keys: list[bytes]) -> None:
+        """Align windows that are not known yet, all at once: one after the other they are two texts of tokens with equal sizes."""
+        ids = np.frombuffer(b"".join(keys), np.uint32)
+        ends = np.cumsum([len(k) // 4 for k in keys])
+        between = np.flatnonzero(ids == BETWEEN)
+        # ids after a window's BETWEEN belong to the second vocabulary
+        change = np.zeros(len(ids) + 1, np.int8)
+        change[between], change[ends] = 1, -1
+        second = np.cumsum(change[:-1]) > 0
+        a, b = ids[~second], np.delete(ids, between)[np.delete(second, between)]
+        n_a = between - np.concatenate([[0], ends[:-1]])
+        last_a, last_b = np.cumsum(n_a), np.cumsum(ends - between - 1)
         ends_a, ends_b = np.cumsum(self.left.size_of[a]), np.cumsum(self.right.size_of[b])
         # each stretch between neighbouring ends of either lies in one token of each: these are the links
-        ends = np.union1d(ends_a, ends_b)
-        i, j = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+        cuts = np.union1d(ends_a, ends_b)
+        i, j = np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts)
         pairs = a[i].astype(np.int64) << 32 | b[j].astype(np.int64)
-        shared = np.flatnonzero((ends_a[i] == ends) & (ends_b[j] == ends))
-        windows_end = ends_a[np.cumsum([len(k[0]) // 4 for k in keys]) - 1]
-        of_link, of_group = np.searchsorted(ends, windows_end) + 1, np.searchsorted(ends[shared], windows_end) + 1
-        shown_a, shown_b = self.left.shown[a].tolist(), self.right.shown[b].tolist()
-        to_a, to_b = (i[shared] + 1).tolist(), (j[shared] + 1).tolist()
-        groups = [f"{','.join(shown_a[p:q])}|{','.join(shown_b[r:s])}" for p, q, r, s in zip([0, *to_a], to_a, [0, *to_b], to_b, strict=False)]
-        borders = of_group.tolist()
+        shared = np.flatnonzero((ends_a[i] == cuts) & (ends_b[j] == cuts))
+        windows_end = ends_a[last_a - 1]
+        of_link, of_group = np.searchsorted(cuts, windows_end) + 1, np.searchsorted(cuts[shared], windows_end) + 1
+        # each group's ids of the first vocabulary, then those of the second, each with what follows it
+        to_a, to_b = i[shared] + 1, j[shared] + 1
+        shown_a, shown_b = self.left.comma[a], self.right.comma[b]
+        shown_a[to_a - 1], shown_b[to_b - 1] = self.bar[a[to_a - 1]], self.semicolon[b[to_b - 1]]
+        flat = np.empty(len(a) + len(b), object)
+        flat[np.arange(len(a)) + np.repeat(np.concatenate([[0], to_b[:-1]]), np.diff(to_a, prepend=0))] = shown_a
+        flat[np.arange(len(b)) + np.repeat(to_a, np.diff(to_b, prepend=0))] = shown_b
+        flat, borders = flat.tolist(), (last_a + last_b).tolist()
         self.number.update(zip(keys, range(len(self.shown), len(self.shown) + len(keys)), strict=True))
-        self.shown += [";".join(groups[p:q]) for p, q in zip([0, *borders], borders, strict=False)]
+        self.shown += ["".join(flat[p:q]) for p, q in zip([0, *borders], borders, strict=False)]
+        one, two, at = self.left.spelt(a.tolist()), self.right.spelt(b.tolist()), windows_end.tolist()
+        same = one == two
+        self.spelt += [one[p:q] if same or one[p:q] == two[p:q] else None for p, q in zip([0, *at], at, strict=False)]
         self.groups = np.concatenate([self.groups, np.diff(of_group, prepend=0)])
         self.first = np.concatenate([self.first, len(self.pairs) + np.concatenate([[0], of_link[:-1]])])
         self.sizes = np.concatenate([self.sizes, np.diff(of_link, prepend=0)])
@@ -136,28 +159,24 @@ def stretches(text: str) -> Iterator[str]:
     yield text[at:]
 
 
-def windows(a: np.ndarray, b: np.ndarray, left: Side, right: Side) -> list[tuple[bytes, bytes]]:
-    """The two tuples of ids, as unsigned 32-bit bytes, of each window of tokens that spell one text."""
+def windows(a: np.ndarray, b: np.ndarray, left: Side, right: Side) -> list[bytes] | None:
+    """The key of each window of the tokens of one text; none where the tokens of the two have not as many bytes."""
     size_b = right.size_of[b]
     ends_a, ends_b = np.cumsum(left.size_of[a]), np.cumsum(size_b)
+    if not len(a) or not len(b) or ends_a[-1] != ends_b[-1]:
+        return None
     begins = np.zeros(ends_b[-1] + 1, bool)
     begins[(ends_b - size_b)[right.spaced[b]]] = True
     # a token of each begins with a space at this byte, so one of each ends before it
     last = np.flatnonzero(left.spaced[a[1:]] & begins[ends_a[:-1]])
-    in_a, in_b = a.tobytes(), b.tobytes()
-    at_a = np.concatenate([[0], 4 * (last + 1), [len(in_a)]]).tolist()
-    at_b = np.concatenate([[0], 4 * (np.searchsorted(ends_b, ends_a[last]) + 1), [len(in_b)]]).tolist()
-    return [(in_a[p:q], in_b[r:s]) for p, q, r, s in zip(at_a, at_a[1:], at_b, at_b[1:], strict=False)]
-
-
-def tokens(text: str | None, left: Side, right: Side) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
-    """The tokens of the stretches of a text; a stretch that they do not spell is the last, as none."""
-    for part in stretches(" " + text) if text else ():
-        a, b = left.ids(part), right.ids(part)
-        if a is None or b is None:
-            yield None
-            return
-        yield a, b
+    to_a = np.append(last + 1, len(a))
+    to_b = np.append(np.searchsorted(ends_b, ends_a[last]) + 1, len(b))
+    keys = np.full(len(a) + len(b) + len(to_a), BETWEEN, np.uint32)
+    order = np.arange(len(to_a))
+    keys[np.arange(len(a)) + np.repeat(np.concatenate([[0], to_b[:-1]]) + order, np.diff(to_a, prepend=0))] = a
+    keys[np.arange(len(b)) + np.repeat(to_a + order + 1, np.diff(to_b, prepend=0))] = b
+    data, at = keys.tobytes(), (4 * (to_a + to_b + order + 1)).tolist()
+    return [data[p:q] for p, q in zip([0, *at], at, strict=False)]
 
 
 class Alignment:
@@ -168,14 +187,18 @@ class Alignment:
         self.digest, self.keep, self.kept, self.spelt = hashlib.sha256(), keep, [], True
         self.pairs = self.times = np.zeros(0, np.int64)
 
-    def add(self, a: np.ndarray, b: np.ndarray, keys: list, known: Windows) -> None:
-        numbers = np.fromiter(map(known.number.__getitem__, keys), np.int64, len(keys))
-        shown = ";".join(map(known.shown.__getitem__, numbers.tolist()))
+    def add(self, part: str, n_a: int, n_b: int, keys: list[bytes], known: Windows) -> None:
+        numbers = list(map(known.number.__getitem__, keys))
+        spelt = list(map(known.spelt.__getitem__, numbers))
+        if None in spelt or b"".join(spelt) != part.encode():
+            self.spelt = False
+            return
+        shown = "".join(map(known.shown.__getitem__, numbers))[:-1]
         self.digest.update((";" * (self.n_a > 0) + shown).encode())
         self.kept += [shown] * self.keep
-        distinct, times = np.unique(numbers, return_counts=True)
+        distinct, times = np.unique(np.array(numbers), return_counts=True)
         pairs, times_of = known.links(distinct, times)
-        self.n_a, self.n_b = self.n_a + len(a), self.n_b + len(b)
+        self.n_a, self.n_b = self.n_a + n_a, self.n_b + n_b
         self.n_groups += int(known.groups[distinct] @ times)
         self.n_links += int(times_of.sum())
         self.pairs, self.times = added(np.concatenate([self.pairs, pairs]), np.concatenate([self.times, times_of])) if len(self.pairs) else (pairs, times_of)
@@ -191,25 +214,28 @@ def aligned(texts: list[str | None], known: Windows, keep: bool = False) -> list
     found, waiting, held = [Alignment(keep) for _ in texts], [], 0
 
     def settle():
-        new = list(dict.fromkeys(k for *_, keys in waiting for k in keys if k not in known.number))
+        wanted = set().union(*(w[-1] for w in waiting))
+        new = list(wanted.difference(known.number))
         if len(known.number) + len(new) > REMEMBERED:
             known.forget()
-            new = list(dict.fromkeys(k for *_, keys in waiting for k in keys))
+            new = list(wanted)
         if new:
             known.learn(new)
-        for one, a, b, keys in waiting:
-            one.add(a, b, keys, known)
-        if any(len(k[0]) > LARGEST for k in new):
+        for one, *rest in waiting:
+            one.add(*rest, known)
+        if any(len(k) > LARGEST for k in new):
             known.forget()
         waiting.clear()
 
     for one, text in zip(found, texts, strict=True):
-        for part in tokens(text, known.left, known.right):
-            if part is None:
+        for part in stretches(" " + text) if text else ():
+            a, b = known.left.ids(part), known.right.ids(part)
+            keys = windows(a, b, known.left, known.right)
+            if keys is None:
                 one.spelt = False
                 break
-            waiting.append((one, *part, windows(*part, known.left, known.right)))
-            held += len(part[0])
+            waiting.append((one, part, len(a), len(b), keys))
+            held += len(a)
             if held > STRETCH:
                 settle()
                 held = 0
