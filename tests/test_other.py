@@ -97,4 +97,6 @@ def test_state_carries_over_micro_batches(spark, tmp_path):
 def test_missing_metric_fails_its_gate(spark):
     d = spark.createDataFrame([("F", 60, 100, None, 3, 0.1, 0.2)], "family string, n_days int, span_days int, mean_r double, n_regimes int, max_symbol_share double, max_cluster_share double")
     r = C.promotion(d).collect()[0]
-    assert r.failed == ["cost_robustness"] and r.level == "L2"
+    # statistics that are not there at all fail their gates too
+    assert "cost_robustness" in r.failed and {"walk_forward", "bootstrap_ci", "drawdown_limits"} <= set(r.failed) and r.level == "L2"
+    assert not {"min_effective_n", "independent_window", "regime_stability", "concentration_limits"} & set(r.failed)

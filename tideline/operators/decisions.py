@@ -240,8 +240,12 @@ def gate_statistics(records: DataFrame, clusters: str, row_id: str, reps: int =
     return out
 
 
+STATISTICS = ["n_days", "span_days", "n_positive_folds", "mean_r", "p_flip", "ci_lower", "n_symbols", "worst_without_symbol", "n_regimes", "max_symbol_share", "max_cluster_share", "sharpe_all", "sharpe_without", "max_dd"]
+
+
 def promotion(stats: DataFrame) -> DataFrame:
-    """``failed`` gates and the level of each family: all passed, some observations, or none."""
+    """``failed`` gates and the level of each family: all passed, some observations, or none. Statistics that ``stats`` lacks are missing."""
+    stats = add(stats, {c: "CAST(NULL AS DOUBLE)" for c in STATISTICS if c not in stats.columns})
     flags = ", ".join(f"CASE WHEN NOT coalesce({c}, false) THEN '{k}' END" for k, c in GATES.items())
     d = add(stats, {"failed": f"array_compact(array({flags}))"})
     return add(d, {"level": "CASE WHEN size(failed) = 0 THEN 'L3' WHEN n_days > 0 THEN 'L2' ELSE 'L0' END"})

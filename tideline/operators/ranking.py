@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import panel as P
+
 LEAST_BUCKETS = 64
 
 
@@ -72,6 +74,32 @@ def with_avg_rank(df: DataFrame, group: list[str], x: str, out: str) -> DataFram
     return df.join(r, [*group, x], "left")
 
 
+def expanding_percentile(rows: DataFrame, x: str, out: str = "percentile") -> DataFrame:
+    """symbol, ts, ``out``: per cent of a symbol's values up to and including each row that are not above the row's own; null values are left out.
+
+    Counting smaller earlier values is cut into blocks of ``panel.CHUNK`` rows by time and by rank. Whole blocks that lie earlier and
+    lower are added up from a table of counts; inside the row's time block its earlier values are compared, and inside its rank
+    block the counts of earlier time blocks. Neither holds more than a block, and no window covers a symbol.
+    """
+    size = P.CHUNK
+    d = P.index_panel(rows.where(f"{x} IS NOT NULL").selectExpr("symbol", "ts", f"{x} AS x")).withColumn("c", F.expr(f"int(rn div {size})"))
+    d = d.join(value_ranks(d, ["symbol"], "x").selectExpr("symbol", "x", "lt", f"int(lt div {size}) AS b"), ["symbol", "x"])
+    here = "size(filter(collect_list(x) OVER (PARTITION BY symbol, c ORDER BY rn), v -> v <= x)) AS _here"
+    d = d.selectExpr("symbol", "ts", "rn", "c", "b", "lt", here)
+    # equal values of a time block are one cell
+    cells = d.groupBy("symbol", "b", "c", "lt").agg(F.expr("count(*) AS n"))
+    seen = "collect_list(struct(c, n)) OVER (PARTITION BY symbol, b ORDER BY lt RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    near = cells.selectExpr("symbol", "b", "c", "lt", f"{seen} AS _s").selectExpr("symbol", "c", "lt", "aggregate(_s, 0L, (a, e) -> a + IF(e.c < c, e.n, 0L)) AS _near")
+    grid = cells.groupBy("symbol", "b", "c").agg(F.expr("sum(n) AS n"))
+    last = d.groupBy("symbol").agg(F.expr("max(c) AS last_c"))
+    every = grid.select("symbol", "b").distinct().join(last, "symbol").selectExpr("symbol", "b", "explode(sequence(0, last_c)) AS c")
+    before = "coalesce(sum(coalesce(n, 0)) OVER (PARTITION BY symbol, b ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _t"
+    grid = every.join(grid, ["symbol", "b", "c"], "left").selectExpr("symbol", "b", "c", before)
+    whole = grid.selectExpr("symbol", "b", "c", "coalesce(sum(_t) OVER (PARTITION BY symbol, c ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _whole")
+    j = d.join(near, ["symbol", "c", "lt"]).join(whole, ["symbol", "b", "c"])
+    return j.selectExpr("symbol", "ts", f"100.0D * (_here + _near + _whole) / (rn + 1) AS {out}")
+
+
 def quantiles(df: DataFrame, group: list[str], x: str, ps: dict[str, float]) -> DataFrame:
     """Exact linear-interpolated quantiles {name: p} per group."""
     r = value_ranks(df, group, x)

@@ -14,6 +14,8 @@ REGIMES = ["Bull Trend", "Bear Trend", "Range / Chop", "High Volatility"]
 REGIME = """CASE WHEN adx >= 25 AND close > sma_200 AND slope_20 > 0 THEN 'Bull Trend'
     WHEN adx >= 25 AND close < sma_200 AND slope_20 < 0 THEN 'Bear Trend'
     WHEN atr_ratio > 1.8 THEN 'High Volatility' ELSE 'Range / Chop' END"""
+#: Rows that the regime of one bar depends on, with some to spare.
+LOOKBACK = 330
 CONFIDENCE = "CASE WHEN adx > 40 THEN 0.85D WHEN adx > 25 THEN 0.70D ELSE 0.55D END"
 
 
@@ -52,8 +54,12 @@ def multi_timeframe(bars: DataFrame) -> DataFrame:
     for tf, b in (("D", bars), ("W", resample(bars, "week")), ("M", resample(bars, "month"))):
         p = b.selectExpr(f"concat(symbol, '|{tf}') AS symbol", "ts", "open", "high", "low", "close", "volume")
         all_tf = p if all_tf is None else all_tf.unionByName(p)
+    # bounded windows of the latest bar reach back fewer rows than this, so older bars are numbered but not computed
+    numbered = P.index_panel(all_tf)
+    newest = numbered.groupBy("symbol").agg(F.expr("max(rn) AS _n"))
+    recent = numbered.join(newest, "symbol").where(f"rn > _n - {LOOKBACK}").drop("_n")
     last = P.put(
-        P.latest(regimes(all_tf)), {"timeframe": "substring_index(symbol, '|', -1)", "symbol": "substring_index(symbol, '|', 1)"}
+        P.latest(regimes(recent)), {"timeframe": "substring_index(symbol, '|', -1)", "symbol": "substring_index(symbol, '|', 1)"}
     )
     order = "array_position(array({}), regime)".format(", ".join(f"'{r}'" for r in REGIMES))
     votes = last.groupBy("symbol", "regime").agg(F.expr("count(*) AS n"), F.expr(f"min({order}) AS o"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import hygiene as H
 from ..operators import joins as J
 from ..operators import panel as P
+from ..operators import ranking as K
 from ..operators import stats as S
 from ..sources import bars as SB
 from ..sources import derive as D
@@ -218,10 +219,9 @@ cte("cot", "SELECT symbol, ts, 100.0 * len(list_filter(list(volume) OVER (PARTIT
 
 
 def reports(spark, sf):
-    """Expanding percentile of weekly values: a symbol has one report a week, so its history is a short array."""
-    w = D.walk_d(spark, sf).where("weekday(ts) = 4").select("symbol", "ts", "volume")
-    past = w.selectExpr("symbol", "ts", "volume", "collect_list(volume) OVER (PARTITION BY symbol ORDER BY ts) AS _p")
-    return past.selectExpr("symbol", "ts", "100.0D * size(filter(_p, v -> v <= volume)) / size(_p) AS percentile")
+    """Expanding percentile of the Friday volumes, stored once per application."""
+    weekly = store.stored(spark, "weekly_volumes", sf, lambda: D.walk_d(spark, sf).where("weekday(ts) = 4").select("symbol", "ts", "volume"))
+    return store.stored(spark, "weekly_percentiles", sf, lambda: K.expanding_percentile(weekly, "volume"))
 
 
 q("expanding_percentile", "symbol ts:d percentile:4", "SELECT * FROM cot", "cot")(reports)

@@ -88,8 +88,8 @@ def stream_idempotent_sink(spark, sf):
     out = f"{store.root(spark)}/sink-{uuid.uuid4().hex[:8]}"
     for i in range(2):
         s = spark.readStream.schema("symbol string, ts timestamp, open double, high double, low double, close double, volume double").parquet(path)
-        s.writeStream.foreachBatch(J.append_new_keys(f"{out}/t", ["symbol", "ts"])).option("checkpointLocation", f"{out}/c{i}").trigger(availableNow=True).start().awaitTermination()
-    return S.agg(spark.read.parquet(f"{out}/t"), ["symbol"], {"n": "count(*)"})
+        s.writeStream.foreachBatch(J.keyed_sink(f"{out}/t", ["symbol", "ts"], "ts", f"run{i}")).option("checkpointLocation", f"{out}/c{i}").trigger(availableNow=True).start().awaitTermination()
+    return S.agg(spark.read.parquet(f"{out}/t/data"), ["symbol"], {"n": "count(*)"})
 
 
 # ---- models -------------------------------------------------------------------------------------

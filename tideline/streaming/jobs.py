@@ -6,6 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -204,16 +205,42 @@ def decision_resolution(decisions: DataFrame, bars_: DataFrame, horizon: int = 2
     return found.selectExpr("symbol", "timestamp_millis(ms) AS ts", "direction", "outcome", "r", "cf_long", "cf_short")
 
 
-def append_new_keys(path: str, keys: list[str]):
-    """foreachBatch sink: append only rows whose key is not in the table yet, so a replayed batch adds nothing."""
+def _table(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame | None:
+    try:
+        return spark.read.format(kind).load(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def keyed_sink(path: str, keys: list[str], ts: str, name: str = "stream"):
+    """foreachBatch sink of a table with each key once, in ``path``/data by day of ``ts``, which belongs to the key.
+
+    ``path``/ledger/<name>-<batch> is written after a batch's rows, with its days: a batch that stands there is not written again. A batch that
+    does not, because it is new or the writer was lost between rows and ledger, is compared with the table's keys of its own days
+    only, so a batch costs what it touches, however long the table is.
+    """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.dropDuplicates(keys)
+        spark = batch.sparkSession
+        mark = f"{path}/ledger/{name}-{batch_id}"
+        if _table(spark, mark, "text") is not None:
+            return
+        rows = batch.dropDuplicates(keys).withColumn("_day", F.to_date(ts)).persist()
         try:
-            fresh = fresh.join(batch.sparkSession.read.parquet(path).select(*keys), keys, "left_anti")
-        except Exception as e:  # first batch: the table does not exist yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        fresh.write.mode("append").parquet(path)
+            days = rows.groupBy("_day").count()
+            span = days.agg(F.min("_day"), F.max("_day"), F.count("*")).first()
+            there = _table(spark, f"{path}/data")
+            if there is not None:
+                # partitions are pruned by the span at once and by the days when they are known
+                there = there.where(F.col("_day").between(span[0], span[1])).join(F.broadcast(days.select("_day")), "_day", "left_semi")
+                rows_ = rows.join(there.select(*keys), keys, "left_anti")
+            else:
+                rows_ = rows
+            rows_.write.mode("append").partitionBy("_day").parquet(f"{path}/data")
+            days.coalesce(1).write.mode("overwrite").json(mark)
+        finally:
+            rows.unpersist()
 
     return sink
