@@ -41,27 +41,62 @@ def target_ladder(rows: DataFrame, n: int = 3, min_rr: float = 2.5) -> DataFrame
     return add(d, {"headline_rr": f"element_at(concat(filter(rrs, x -> x >= {min_rr}), array(array_max(rrs))), 1)"}).drop("_lv")
 
 
-def opportunity_book(sides: DataFrame, min_ev: float = 0.0, min_rr: float = 1.0) -> DataFrame:
-    """One verdict per (symbol, ts) from two priced sides; reasons list what each side failed.
+# fixed values: what research says of each family; all others are unvalidated
+FAMILY_STATUS = {"LONG_REVERSAL": "PROMISING-SHADOW-ONLY", "SHORT_REVERSAL": "FALSIFIED"}
+# fixed values: cost in R where none can be computed, and the share of an ATR within which an entry is at the market
+DEFAULT_COST, MARKET_ATR = 0.05, 0.25
 
-    ``sides``: symbol, ts, side, score, ev, rr.
+
+def price_sides(sides: DataFrame, probabilities: DataFrame, min_rr: float = 2.5) -> DataFrame:
+    """Both candidate sides of a bar priced from their ladders: entry type, cost, expected values and what blocks or weakens them.
+
+    ``sides``: symbol, ts, side, close, atr, family, prob, confirmed, engine_score, entry, stop, target, ladder (prices), gate, spread, slip.
+    ``probabilities``: side, family (null: all of the side), tp1, tp2, tp3, sl; a family's own table goes before its side's. An entry near the
+    close is a market order and is priced from the close. Without a probability, or without a payoff, there is no expected value.
     """
-    why = f"""array_compact(array(CASE WHEN ev IS NULL THEN 'no probability' END, CASE WHEN ev < {min_ev} THEN 'ev below floor' END,
-        CASE WHEN rr < {min_rr} THEN 'rr below floor' END, CASE WHEN score < 0.35 THEN 'weak evidence' END))"""
-    d = add(sides, {"reasons": why})
-    g = d.groupBy("symbol", "ts").agg(
-        F.expr("max(CASE WHEN side = 'long' AND size(reasons) = 0 THEN ev END) AS ev_long"),
-        F.expr("max(CASE WHEN side = 'short' AND size(reasons) = 0 THEN ev END) AS ev_short"),
-        F.expr("max(CASE WHEN side = 'long' THEN array_join(reasons, '; ') END) AS why_long"),
-        F.expr("max(CASE WHEN side = 'short' THEN array_join(reasons, '; ') END) AS why_short"),
-    )
-    return add(
-        g,
+    d = add(sides, {"entry_type": f"CASE WHEN atr > 0 AND abs(entry - close) <= {MARKET_ATR} * atr THEN 'market' ELSE 'limit' END"})
+    d = d.withColumn("entry", F.expr("CASE WHEN entry_type = 'market' AND close <> stop THEN close ELSE entry END"))
+    d = add(d, {"risk": "nullif(abs(entry - stop), 0)", "status": "CASE family " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in FAMILY_STATUS.items()) + " ELSE 'UNVALIDATED' END"})
+    d = add(d, {"rrs": "array_sort(filter(transform(ladder, p -> abs(p - entry) / risk), q -> q IS NOT NULL))", "rr": "abs(target - entry) / risk"})
+    d = add(d, {"best_rr": "coalesce(array_max(rrs), rr)", "cost_r": f"CASE WHEN spread + 2 * slip > 0 AND risk IS NOT NULL THEN (spread + 2 * slip) / risk ELSE {DEFAULT_COST}D END"})
+    own = probabilities.where("family IS NOT NULL").selectExpr("side", "family", "struct(tp1, tp2, tp3, sl) AS _own")
+    all_ = probabilities.where("family IS NULL").selectExpr("side", "struct(tp1, tp2, tp3, sl) AS _all")
+    # one row a family and one a side
+    d = d.join(F.broadcast(own), ["side", "family"], "left").join(F.broadcast(all_), "side", "left")
+    d = add(d, {"_p": "coalesce(_own, _all)", "_r": "transform(array(1, 2, 3), k -> coalesce(get(rrs, k - 1), 0.0D))"})
+    d = add(d, {"_fine": "prob IS NOT NULL AND _p.tp1 + _p.tp2 + _p.tp3 + _p.sl > 0 AND _p.tp1 + _p.tp2 + _p.tp3 + _p.sl <= 1.001"})
+    gross = "(_p.tp1 * _r[0] + _p.tp2 * (_r[0] + _r[1]) + _p.tp3 * (_r[0] + _r[1] + _r[2])) / 3 - _p.sl"
+    d = add(
+        d,
         {
-            "direction": """CASE WHEN ev_long IS NULL AND ev_short IS NULL THEN 'flat' WHEN ev_short IS NULL OR ev_long > ev_short THEN 'long'
-                WHEN ev_long IS NULL OR ev_short > ev_long THEN 'short' ELSE 'flat' END"""
+            "ev_target": "CASE WHEN _fine THEN _p.tp1 * _r[0] + _p.tp2 * _r[1] + _p.tp3 * _r[2] - _p.sl - cost_r END", "ev_alloc": f"CASE WHEN _fine THEN {gross} - cost_r END",
+            "cost_break_even": f"CASE WHEN _fine THEN {gross} END", "expected_r": "prob * CASE WHEN best_rr >= 1 THEN best_rr ELSE rr END - (1 - prob) - cost_r",
         },
     )
+    why = {
+        "family falsified": "status = 'FALSIFIED'", "rr floor": f"size(rrs) > 0 AND best_rr < {min_rr}", "macro gate": "NOT gate", "no family": "family IS NULL", "no probability": "prob IS NULL",
+        "no payoff": "prob IS NOT NULL AND rr IS NULL AND best_rr IS NULL", "ranking ev": "expected_r <= 0",
+    }
+    d = add(d, {"ev": "coalesce(ev_alloc, ev_target, expected_r)", "reasons": "array_compact(array(" + ", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c in why.items()) + "))"})
+    return add(d, {"blocked": "arrays_overlap(reasons, array('family falsified', 'rr floor', 'macro gate'))"}).drop("_own", "_all", "_p", "_r", "_fine")
+
+
+def opportunity_book(priced: DataFrame, min_ev: float = 0.2) -> DataFrame:
+    """One verdict per (symbol, ts) from two priced sides.
+
+    The side with the larger expected value above ``min_ev`` is taken, longs at a tie, unless a hard gate (family, reward floor, macro) blocks
+    it. Where neither side has an expected value the confirmed engine of the higher score decides, and only a falsified family blocks.
+    """
+    cols = "ev, blocked, confirmed, engine_score, status, reasons, entry_type, cost_r, best_rr"
+    g = priced.groupBy("symbol", "ts").agg(*[F.expr(f"any_value(CASE WHEN side = '{s}' THEN struct({cols}) END, true) AS {s}") for s in ("long", "short")])
+    rule = """CASE WHEN long.confirmed AND NOT (coalesce(short.confirmed, false) AND short.engine_score > long.engine_score) THEN CASE WHEN long.status = 'FALSIFIED' THEN 'flat' ELSE 'long' END
+        WHEN short.confirmed THEN CASE WHEN short.status = 'FALSIFIED' THEN 'flat' ELSE 'short' END ELSE 'flat' END"""
+    pick = f"CASE WHEN long.ev > {min_ev} AND (short.ev IS NULL OR long.ev >= short.ev) THEN 'long' WHEN short.ev > {min_ev} THEN 'short' ELSE 'flat' END"
+    d = add(g, {"path": "CASE WHEN long.ev IS NULL AND short.ev IS NULL THEN 'rule' ELSE 'ev' END", "_pick": pick})
+    d = add(d, {"direction": f"CASE WHEN path = 'rule' THEN {rule} WHEN (_pick = 'long' AND long.blocked) OR (_pick = 'short' AND short.blocked) THEN 'flat' ELSE _pick END"})
+    d = add(d, {"status": "CASE WHEN direction = 'flat' THEN 'FLAT' WHEN path = 'rule' THEN 'CONFIRMED' ELSE 'TRADE' END"})
+    out = [f"{s}.{c} AS {c}_{s}" for s in ("long", "short") for c in ("ev", "entry_type", "cost_r", "best_rr")] + [f"array_join({s}.reasons, '; ') AS why_{s}" for s in ("long", "short")]
+    return d.selectExpr("symbol", "ts", "path", "direction", "status", *out)
 
 
 def trade_plan(rows: DataFrame) -> DataFrame:

@@ -131,10 +131,3 @@ def allocation_ev(p1: str, p2: str, p3: str, ps: str, cost: str = "0.0") -> str:
     ok = " AND ".join(f"{p} BETWEEN 0 AND 1" for p in (p1, p2, p3, ps))
     return f"CASE WHEN {ok} THEN {p1} * (1.0 / 3) + {p2} * (3.0 / 3) + {p3} * (6.0 / 3) - {ps} - {cost} END"
 
-
-def entry_type(frac: float = 0.25) -> str:
-    return f"CASE WHEN abs(entry - close) <= {frac} * atr THEN 'market' ELSE 'limit' END"
-
-
-def round_trip_cost(spread: str, slip: str, risk: str) -> str:
-    return f"CASE WHEN {risk} > 0 AND {spread} IS NOT NULL THEN ({spread} + 2 * {slip}) / {risk} ELSE 0.05 END"

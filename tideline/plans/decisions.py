@@ -6,6 +6,7 @@ from ..operators import decisions as C
 from ..operators import panel as P
 from ..operators import resampling as B
 from ..operators import risk as K
+from ..operators import setups as U
 from ..operators import signals as G
 from ..operators import stats as S
 from ..sources import derive as D
@@ -46,29 +47,59 @@ def tp_probs(spark, sf):
 
 _EVQ = {"ev_ladder": K.target_level_ev("p_tp1", "p_tp2", "p_tp3", "p_sl", "0.05"), "ev_alloc": K.allocation_ev("p_tp1", "p_tp2", "p_tp3", "p_sl", "0.05")}
 q("target_probability_table", "side n:i p_tp1:5 p_tp2:5 p_tp3:5 p_sl:5 ev_ladder:5 ev_alloc:5", f"SELECT *, {', '.join(f'{v} AS {k}' for k, v in _EVQ.items())} FROM tpp", "tpp")(lambda spark, sf: P.add(tp_probs(spark, sf), _EVQ))
-_SIDES = "SELECT h.symbol, h.ts, v.side, CASE v.side WHEN 'long' THEN long_score ELSE short_score END AS score, "
-cte("sds", f"{_SIDES} CASE WHEN CASE v.side WHEN 'long' THEN long_score ELSE short_score END >= 0.2 THEN ev_alloc + CASE v.side WHEN 'long' THEN long_score ELSE short_score END - 0.5 END AS ev, 1 + 3 * CASE v.side WHEN 'long' THEN long_score ELSE short_score END - 0.6 AS rr FROM hist h, (VALUES ('long'), ('short')) v(side) JOIN (SELECT *, {_EVQ['ev_alloc']} AS ev_alloc FROM tpp) t ON t.side = v.side", "hist", "tpp")
-_WHY = "concat_ws('; ', CASE WHEN ev IS NULL THEN 'no probability' END, CASE WHEN ev < 0.0 THEN 'ev below floor' END, CASE WHEN rr < 1.0 THEN 'rr below floor' END, CASE WHEN score < 0.35 THEN 'weak evidence' END)"
+# the gate of the setup's side by the macro bias that was known the day before; without a bias there is none
+cte("gates", "SELECT symbol, ts, CASE WHEN bias IS NOT NULL THEN bias >= -0.5 END AS long_ok, CASE WHEN bias IS NOT NULL THEN bias <= 0.5 END AS short_ok FROM mbj", "mbj")
+# first-touch masses: of a family with thirty candidates or more, else of the side
+cte("tpx", """SELECT side, CAST(NULL AS VARCHAR) AS family, p_tp1 AS a, p_tp2 AS b, p_tp3 AS c, p_sl AS s FROM tpp
+    UNION ALL SELECT side, family, avg(CASE WHEN mb = 'tp1' THEN 1e0 ELSE 0 END), avg(CASE WHEN mb = 'tp2' THEN 1e0 ELSE 0 END), avg(CASE WHEN mb = 'tp3' THEN 1e0 ELSE 0 END), avg(CASE WHEN mb = 'sl' THEN 1e0 ELSE 0 END) FROM cand GROUP BY 1, 2 HAVING count(*) >= 30""", "tpp", "cand")
+cte("obk", """WITH z AS (
+      SELECT h.symbol, h.ts, 'long' AS side, h.close, h.atr_14 AS atr, h.best_long AS family, CASE WHEN h.long_score >= 0.35 THEN h.long_score END AS prob, d.confirmed, d.score AS es, d.entry_lo AS e0, d.invalidation AS stop, d.resistance AS tg, g.long_ok AS gate FROM hist h JOIN dip4 d ON d.symbol = h.symbol AND d.rn = h.rn LEFT JOIN gates g ON g.symbol = h.symbol AND g.ts = h.ts
+      UNION ALL SELECT h.symbol, h.ts, 'short', h.close, h.atr_14, h.best_short, CASE WHEN h.short_score >= 0.35 THEN h.short_score END, d.confirmed, d.score, d.entry_hi, d.invalidation, d.target, g.short_ok FROM hist h JOIN rally4 d ON d.symbol = h.symbol AND d.rn = h.rn LEFT JOIN gates g ON g.symbol = h.symbol AND g.ts = h.ts),
+    y AS (SELECT *, CASE WHEN market AND close <> stop THEN close ELSE e0 END AS entry FROM (SELECT *, coalesce(atr > 0 AND abs(e0 - close) <= 0.25 * atr, false) AS market FROM z)),
+    x AS (SELECT *, nullif(abs(entry - stop), 0) AS risk, e0 + 0.5 * (tg - e0) AS l1, tg AS l2, e0 + 1.5 * (tg - e0) AS l3 FROM y),
+    w AS (SELECT *, abs(tg - entry) / risk AS rr, list_sort(list_filter([abs(l1 - entry) / risk, abs(l2 - entry) / risk, abs(l3 - entry) / risk], lambda q: q IS NOT NULL)) AS rs, CASE WHEN 0.03 * atr > 0 AND risk IS NOT NULL THEN 0.03 * atr / risk ELSE 0.05 END AS cost FROM x),
+    v AS (SELECT w.*, coalesce(f.a, p.a) AS a, coalesce(f.b, p.b) AS b, coalesce(f.c, p.c) AS c, coalesce(f.s, p.s) AS s, coalesce(list_max(rs), rr) AS best, coalesce(rs[1], 0) AS r1, coalesce(rs[2], 0) AS r2, coalesce(rs[3], 0) AS r3
+      FROM w LEFT JOIN (SELECT * FROM tpx WHERE family IS NOT NULL) f ON f.side = w.side AND f.family = w.family LEFT JOIN (SELECT * FROM tpx WHERE family IS NULL) p ON p.side = w.side)
+    SELECT *, CASE WHEN prob IS NOT NULL AND a + b + c + s > 0 AND a + b + c + s <= 1.001 THEN a * r1 / 3 + b * (r1 + r2) / 3 + c * (r1 + r2 + r3) / 3 - s - cost END AS ev_alloc, prob * CASE WHEN best >= 1 THEN best ELSE rr END - (1 - prob) - cost AS ev_rank FROM v""", "hist", "dip4", "rally4", "gates", "tpx")
+cte("obv", """SELECT *, coalesce(ev_alloc, ev_rank) AS ev, coalesce(family = 'SHORT_REVERSAL', false) AS dead, coalesce(len(rs) > 0 AND best < 1.0, false) AS low, coalesce(NOT gate, false) AS shut,
+    concat_ws('; ', CASE WHEN family = 'SHORT_REVERSAL' THEN 'family falsified' END, CASE WHEN len(rs) > 0 AND best < 1.0 THEN 'rr floor' END, CASE WHEN NOT gate THEN 'macro gate' END, CASE WHEN family IS NULL THEN 'no family' END,
+      CASE WHEN prob IS NULL THEN 'no probability' END, CASE WHEN prob IS NOT NULL AND rr IS NULL AND best IS NULL THEN 'no payoff' END, CASE WHEN ev_rank <= 0 THEN 'ranking ev' END) AS why FROM obk""", "obk")
+
+
+def candidate_sides(spark, sf):
+    """Both sides of every classified bar: the engines' zone, stop and target, a ladder half way to the target, at it and half again beyond."""
+    h = U.classify_history(D.panel_d(spark, sf)).select("symbol", "rn", "ts", "close", "atr_14", "best_long", "best_short", "long_score", "short_score")
+    out = None
+    for side, entry, target in (("long", "entry_lo", "resistance"), ("short", "entry_hi", "target")):
+        e = signals4(spark, sf, side).selectExpr("symbol", "rn", "confirmed", "score AS engine_score", f"{entry} AS entry", "invalidation AS stop", f"{target} AS target")
+        d = h.selectExpr("symbol", "rn", "ts", "close", "atr_14 AS atr", f"best_{side} AS family", f"CASE WHEN {side}_score >= 0.35 THEN {side}_score END AS prob", f"'{side}' AS side").join(e, ["symbol", "rn"])
+        d = P.add(d, {"ladder": "array(entry + 0.5D * (target - entry), target, entry + 1.5D * (target - entry))", "spread": "0.02D * atr", "slip": "0.005D * atr"})
+        out = d if out is None else out.unionByName(d)
+    return gated(out, spark, sf)
+
+
+def tp_tables(spark, sf):
+    """First-touch masses of each side, and of each family with thirty candidates or more."""
+    side = tp_probs(spark, sf).selectExpr("side", "CAST(NULL AS STRING) AS family", "p_tp1 AS tp1", "p_tp2 AS tp2", "p_tp3 AS tp3", "p_sl AS sl")
+    own = S.agg(candidates(spark, sf), ["side", "family"], {k: f"avg(CASE WHEN mb = '{k}' THEN 1e0 ELSE 0 END)" for k in ("tp1", "tp2", "tp3", "sl")} | {"n": "count(*)"})
+    return side.unionByName(own.where("n >= 30").drop("n"))
 
 
 @q(
-    "opportunity_book", "symbol ts:d ev_long:5 ev_short:5 why_long why_short direction",
-    f"""SELECT *, CASE WHEN ev_long IS NULL AND ev_short IS NULL THEN 'flat' WHEN ev_short IS NULL OR ev_long > ev_short THEN 'long' WHEN ev_long IS NULL OR ev_short > ev_long THEN 'short' ELSE 'flat' END AS direction FROM (
-    SELECT symbol, ts, max(ev) FILTER (WHERE side = 'long' AND why = '') AS ev_long, max(ev) FILTER (WHERE side = 'short' AND why = '') AS ev_short, max(why) FILTER (WHERE side = 'long') AS why_long, max(why) FILTER (WHERE side = 'short') AS why_short FROM (SELECT *, {_WHY} AS why FROM sds) GROUP BY 1, 2)""", "sds",
+    "opportunity_book", "symbol ts:d path direction status ev_long:5 ev_short:5 entry_type_long entry_type_short cost_r_long:5 cost_r_short:5 best_rr_long:5 best_rr_short:5 why_long why_short",
+    """SELECT *, CASE WHEN direction = 'flat' THEN 'FLAT' WHEN path = 'rule' THEN 'CONFIRMED' ELSE 'TRADE' END AS status FROM (
+    SELECT l.symbol, l.ts, CASE WHEN l.ev IS NULL AND s.ev IS NULL THEN 'rule' ELSE 'ev' END AS path, l.ev AS ev_long, s.ev AS ev_short, CASE WHEN l.market THEN 'market' ELSE 'limit' END AS entry_type_long, CASE WHEN s.market THEN 'market' ELSE 'limit' END AS entry_type_short,
+      l.cost AS cost_r_long, s.cost AS cost_r_short, l.best AS best_rr_long, s.best AS best_rr_short, l.why AS why_long, s.why AS why_short,
+      CASE WHEN l.ev IS NULL AND s.ev IS NULL THEN CASE WHEN l.confirmed AND NOT (s.confirmed AND s.es > l.es) THEN CASE WHEN l.dead THEN 'flat' ELSE 'long' END WHEN s.confirmed THEN CASE WHEN s.dead THEN 'flat' ELSE 'short' END ELSE 'flat' END
+        WHEN l.ev > 0 AND (s.ev IS NULL OR l.ev >= s.ev) THEN CASE WHEN l.dead OR l.low OR l.shut THEN 'flat' ELSE 'long' END WHEN s.ev > 0 THEN CASE WHEN s.dead OR s.low OR s.shut THEN 'flat' ELSE 'short' END ELSE 'flat' END AS direction
+    FROM (SELECT * FROM obv WHERE side = 'long') l JOIN (SELECT * FROM obv WHERE side = 'short') s ON s.symbol = l.symbol AND s.ts = l.ts)""", "obv",
 )
 def opportunity_book(spark, sf):
-    """Evidence-tilted EV of both sides on every classified bar, verdict and rejection reasons."""
-    from .statistics import history
-
-    ev = P.add(tp_probs(spark, sf), {"ev_alloc": _EVQ["ev_alloc"]}).select("side", "ev_alloc")
-    d = history(spark, sf).selectExpr("symbol", "ts", "stack(2, 'long', long_score, 'short', short_score) AS (side, score)").join(F.broadcast(ev), "side")
-    d = d.selectExpr("symbol", "ts", "side", "score", "CASE WHEN score >= 0.2 THEN ev_alloc + score - 0.5 END AS ev", "1 + 3 * score - 0.6 AS rr")
-    return C.opportunity_book(d)
+    """Both sides of every classified bar priced from their ladders, the verdict, and what each side failed."""
+    return C.opportunity_book(C.price_sides(candidate_sides(spark, sf), tp_tables(spark, sf), 1.0), 0.0)
 
 
 _TP = "CASE WHEN stage = 'Confirmed' THEN 'CONFIRMED' WHEN stage IN ('In Pullback', 'In Rally') THEN 'WATCH' ELSE 'NO_SETUP' END AS status"
-# the gate of the setup's side by the macro bias that was known the day before; without a bias there is none
-cte("gates", "SELECT symbol, ts, CASE WHEN bias IS NOT NULL THEN bias >= -0.5 END AS long_ok, CASE WHEN bias IS NOT NULL THEN bias <= 0.5 END AS short_ok FROM mbj", "mbj")
 _PLAN = "SELECT s.*, CASE side WHEN 'long' THEN long_ok ELSE short_ok END AS gate FROM (SELECT symbol, ts, rn, stage, close, entry_lo, entry_hi, 'long' AS side FROM dip4 UNION ALL SELECT symbol, ts, rn, stage, close, entry_lo, entry_hi, 'short' FROM rally4) s LEFT JOIN gates g ON g.symbol = s.symbol AND g.ts = s.ts"
 
 
