@@ -341,7 +341,7 @@ def directional_win_probability(spark, sf):
     return P.add(history(spark, sf), {"p": "CASE direction WHEN 'long' THEN long_score WHEN 'short' THEN short_score END"})
 
 
-@query("frozen_parameters")
+@q("frozen_parameters", "protocol_id records:i", """SELECT sha256('{"horizon":20,"max_concurrent":6,"max_heat":0.04,"max_per_cluster":1,"min_ev":0.0,"stop_mult":1.25,"version":"v1"}') AS protocol_id, count(*) AS records FROM rec""", "rec")
 def frozen_parameters(spark, sf):
     """Parameter table joined to the records of its protocol version."""
     n = S.agg(records(spark, sf), [], {"records": "count(*)"})

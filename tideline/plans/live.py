@@ -71,12 +71,13 @@ def stream_decision_bars(spark, sf):
     return S.agg(J.run_available(J.pending_bars(d, b), "pending"), ["symbol"], {"n": "count(*)", "decisions": "count(distinct d_ts)"})
 
 
-@query("stream_staleness")
+@q("stream_staleness", "symbol last_ts:t", """WITH b AS (SELECT symbol, ts FROM bh WHERE symbol <> 'error' OR ts < TIMESTAMP '2024-01-20')
+    SELECT symbol, max(ts) AS last_ts FROM b GROUP BY 1 HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM b)""", "bh")
 def stream_staleness(spark, sf):
     """Symbols whose last bar lies more than six hours behind the watermark."""
     path = _dir(spark, sf, "bars_h", lambda: D.bars_h(spark, sf))
     s = spark.readStream.schema("symbol string, ts timestamp, open double, high double, low double, close double, volume double").parquet(path)
-    return show(J.run_available(J.stale_symbols(s.where("NOT (symbol = 'error' AND ts >= TIMESTAMP '2024-01-20')"), 6 * 3600), "stale"), "symbol last_ts:t")
+    return J.run_available(J.stale_symbols(s.where("NOT (symbol = 'error' AND ts >= TIMESTAMP '2024-01-20')"), 6 * 3600), "stale")
 
 
 @q("stream_idempotent_sink", "symbol n:i", "SELECT symbol, count(*) AS n FROM bh GROUP BY 1", "bh")
