@@ -35,6 +35,22 @@ q("score_ablation", f"side threshold:i {_SSP}", f"SELECT side, threshold, {_SSQ}
     lambda spark, sf: S.agg(trades(spark, sf).selectExpr("side", "r", "explode(filter(array(0, 4, 5, 6, 7), t -> score >= t)) AS threshold"), ["side", "threshold"], _SS)
 )
 q("tail_loss", "side p05:5", "SELECT side, quantile_cont(r, 0.05) AS p05 FROM trades GROUP BY 1", "trades")(lambda spark, sf: K.quantiles(trades(spark, sf), ["side"], "r", {"p05": 0.05}))
+
+
+@q(
+    "trade_ratios", "side total_r:5 years:4 max_dd:5 calmar:5 exposure:6",
+    """WITH e AS (SELECT side, signal_ts, symbol, sum(r) OVER (PARTITION BY side ORDER BY signal_ts, symbol) AS e FROM trades), d AS (SELECT side, min(e - p) AS max_dd FROM (SELECT side, e, greatest(max(e) OVER (PARTITION BY side ORDER BY signal_ts, symbol), 0) AS p FROM e) GROUP BY 1),
+    t AS (SELECT side, sum(r) AS total_r, date_diff('day', min(signal_ts), max(exit_ts)) / 365.25 AS years, sum(bars_held) AS held FROM trades GROUP BY 1)
+    SELECT side, total_r, years, max_dd, CASE WHEN max_dd < 0 THEN total_r / years / abs(max_dd) ELSE 0 END AS calmar, held / (SELECT count(*) FROM wb) AS exposure FROM t JOIN d USING (side)""", "trades", "wb",
+)
+def trade_ratios(spark, sf):
+    """R a year against the largest fall (Calmar), and the share of all bars spent in a position."""
+    t = trades(spark, sf)
+    d = S.agg(t, ["side"], {"total_r": "sum(r)", "years": "datediff(max(exit_ts), min(signal_ts)) / 365.25D", "held": "sum(bars_held)"})
+    d = d.join(S.drawdown(t, "side", "r", ["signal_ts", "symbol"]), "side").crossJoin(F.broadcast(D.walk_d(spark, sf).agg(F.count("*").alias("bars"))))
+    return P.add(d, {"calmar": "CASE WHEN max_dd < 0 THEN total_r / years / abs(max_dd) ELSE 0.0D END", "exposure": "held / bars"})
+
+
 # probabilistic Sharpe: kurtosis is raw (excess + 3), moments from population aggregates
 _SRD = {"n": "count(r)", "sr": "avg(r) / stddev_samp(r)", "sk": "skewness(r)", "ku": "kurtosis(r) + 3"}
 
@@ -185,9 +201,23 @@ q(
     "rolling_drawdown", "symbol worst_23:6 worst_250:6", "SELECT symbol, min(close / m23 - 1) AS worst_23, min(close / m250 - 1) AS worst_250 FROM (SELECT symbol, close, CASE WHEN rn >= 22 THEN max(close) OVER (PARTITION BY symbol ORDER BY rn ROWS BETWEEN 22 PRECEDING AND CURRENT ROW) END AS m23, CASE WHEN rn >= 249 THEN max(close) OVER (PARTITION BY symbol ORDER BY rn ROWS BETWEEN 249 PRECEDING AND CURRENT ROW) END AS m250 FROM wb) GROUP BY 1", "wb",
 )(lambda spark, sf: S.agg(P.own_rows(P.add(P.chunked(D.walk_d(spark, sf), 250), {"m23": P.rolling("max(close)", 23), "m250": P.rolling("max(close)", 250)})), ["symbol"], {"worst_23": "min(close / m23 - 1)", "worst_250": "min(close / m250 - 1)"}))
 _CR = "ts >= DATE '1998-03-01' AND ts < DATE '1998-07-01'"
-q("crisis_statistics", "symbol vol_mult:5 n:i", f"SELECT symbol, stddev_samp(ret) FILTER (WHERE {_CR}) / stddev_samp(ret) FILTER (WHERE ts >= DATE '1997-11-01' AND ts < DATE '1998-03-01') AS vol_mult, count(ret) FILTER (WHERE {_CR}) AS n FROM dret GROUP BY 1", "dret")(
-    lambda spark, sf: S.agg(R.daily_returns(D.walk_d(spark, sf)), ["symbol"], {"vol_mult": f"stddev_samp(CASE WHEN {_CR} THEN ret END) / stddev_samp(CASE WHEN ts >= DATE '1997-11-01' AND ts < DATE '1998-03-01' THEN ret END)", "n": f"count(CASE WHEN {_CR} THEN ret END)"})
+
+
+@q(
+    "crisis_statistics", "symbol vol_mult:5 n:i max_dd:6",
+    """WITH c AS (SELECT symbol, ts, close / max(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS fall FROM wb WHERE ts >= DATE '1998-03-01' AND ts < DATE '1998-07-01'), x AS (SELECT symbol, min(fall) AS max_dd FROM c GROUP BY 1)
+    SELECT symbol, stddev_samp(ret) FILTER (WHERE ts >= DATE '1998-03-01' AND ts < DATE '1998-07-01') / stddev_samp(ret) FILTER (WHERE ts >= DATE '1997-11-01' AND ts < DATE '1998-03-01') AS vol_mult,
+      count(ret) FILTER (WHERE ts >= DATE '1998-03-01' AND ts < DATE '1998-07-01') AS n, any_value(max_dd) AS max_dd FROM dret LEFT JOIN x USING (symbol) GROUP BY 1""", "dret", "wb",
 )
+def crisis_statistics(spark, sf):
+    """Volatility in a crisis against the months before it, and the largest fall from a high inside it."""
+    w = D.walk_d(spark, sf)
+    d = S.agg(R.daily_returns(w), ["symbol"], {"vol_mult": f"stddev_samp(CASE WHEN {_CR} THEN ret END) / stddev_samp(CASE WHEN ts >= DATE '1997-11-01' AND ts < DATE '1998-03-01' THEN ret END)", "n": f"count(CASE WHEN {_CR} THEN ret END)"})
+    # a crisis is a few months of a symbol
+    falls = P.add(w.where(_CR), {"fall": "close / max(close) OVER (PARTITION BY symbol ORDER BY ts) - 1"})
+    return d.join(S.agg(falls, ["symbol"], {"max_dd": "min(fall)"}), "symbol", "left")
+
+
 # ---- limits and selection --------------------------------------------------------------------------
 q(
     "loss_limits", "day:d n:i pnl:2 daily_halt:b weekly_halt:b",

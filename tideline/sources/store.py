@@ -18,10 +18,15 @@ def shared(spark: SparkSession) -> str | None:
 
 
 def root(spark: SparkSession) -> str:
-    """Folder for sinks: in the cluster's checkpoint folder, or else in its warehouse; all executors share either."""
+    """Folder for sinks: in the cluster's checkpoint folder, or else in its warehouse. A session beyond this machine must name one that is not
+    on this machine alone."""
     app = spark.sparkContext.applicationId
     if app not in _ROOT:
-        base = shared(spark) or spark.conf.get("spark.sql.warehouse.dir")
+        base = shared(spark)
+        if not base:
+            base = spark.conf.get("spark.sql.warehouse.dir")
+            if not spark.sparkContext.master.startswith("local") and (base.startswith("file:") or "://" not in base):
+                raise ValueError("set spark.checkpoint.dir or spark.sql.warehouse.dir to a folder that the driver and all executors share")
         _ROOT[app] = f"{base.rstrip('/')}/tideline-{app}-{uuid.uuid4().hex[:8]}"
     return _ROOT[app]
 
