@@ -129,3 +129,14 @@ def freshness(counts: DataFrame, expected: DataFrame, today: str) -> DataFrame:
     d = expected.join(counts.select("timeframe", "symbol", "n", "last_ts"), ["timeframe", "symbol"], "left")
     d = add(d, {"age": f"datediff(DATE '{today}', to_date(last_ts))"})
     return add(d, {"status": f"CASE WHEN n IS NULL THEN 'MISSING' WHEN age > {limit} THEN 'STALE' ELSE 'FRESH' END"})
+
+
+# fixed values: the members of the research buckets
+BUCKET_MAJORS = "EUR GBP USD CHF JPY AUD NZD CAD".split()
+BUCKETS = {"metal": "XAUUSD XAGUSD XPTUSD XPDUSD".split(), "crypto": "BTCUSD ETHUSD".split(), "index": "US500 US30 USTEC NAS100 US100".split()}
+
+
+def symbol_bucket(symbol: str = "symbol") -> str:
+    """Research bucket of a symbol: a listed member, else a cross of two majors, else exotic; null stays null."""
+    listed = " ".join(f"WHEN {_in(symbol, names)} THEN '{k}'" for k, names in BUCKETS.items())
+    return f"CASE WHEN {symbol} IS NULL THEN NULL {listed} WHEN {_in(f'substr({symbol}, 1, 3)', BUCKET_MAJORS)} AND {_in(f'substr({symbol}, 4)', BUCKET_MAJORS)} THEN 'fx_major_cross' ELSE 'fx_exotic' END"

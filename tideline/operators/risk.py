@@ -131,3 +131,19 @@ def allocation_ev(p1: str, p2: str, p3: str, ps: str, cost: str = "0.0") -> str:
     ok = " AND ".join(f"{p} BETWEEN 0 AND 1" for p in (p1, p2, p3, ps))
     return f"CASE WHEN {ok} THEN {p1} * (1.0 / 3) + {p2} * (3.0 / 3) + {p3} * (6.0 / 3) - {ps} - {cost} END"
 
+
+def order_portfolio(orders: DataFrame, by: list[str], notional: float = 100_000.0) -> DataFrame:
+    """Shared legs of sets of orders: per set and leg its orders, long and short notional, and whether they express one view more than once.
+
+    ``orders``: the columns of ``by``, symbol, side, entry, stop, base, quote. Every order with a risk has the same notional; a long is long its
+    base and short its quote. ``share`` is a leg's part of the gross notional of its set, ``concentration`` net against gross of the leg.
+    """
+    n = f"CASE WHEN entry <> stop THEN {notional}D ELSE 0.0D END"
+    sg = "CASE side WHEN 'long' THEN 1 ELSE -1 END"
+    legs = orders.selectExpr(*by, "symbol", f"inline(array(named_struct('leg', base, 'x', {sg} * {n}), named_struct('leg', quote, 'x', -({sg}) * {n})))")
+    g = legs.groupBy(*by, "leg").agg(
+        *[F.expr(f"{e} AS {k}") for k, e in {"n_orders": "count(*)", "n_symbols": "count(distinct symbol)", "long_notional": "sum(greatest(x, 0))", "short_notional": "sum(greatest(-x, 0))"}.items()]
+    )
+    total = g.groupBy(*by).agg(F.expr("sum(long_notional + short_notional) AS _gross"))
+    g = add(g.join(total, by), {"net": "long_notional - short_notional", "share": "(long_notional + short_notional) / nullif(_gross, 0)"})
+    return add(g, {"concentration": "abs(net) / nullif(long_notional + short_notional, 0)", "shared": "n_symbols > 1 AND abs(net) = long_notional + short_notional"}).drop("_gross")

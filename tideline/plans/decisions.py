@@ -329,6 +329,19 @@ def keyed_snapshot_sink(spark, sf):
     return S.agg(r, ["symbol", "ts"], {"family": "max_by(family, rn)", "n_seen": "count(*)"})
 
 
+@q(
+    "order_portfolio_view", "ts:d leg n_orders:i n_symbols:i long_notional:2 short_notional:2 net:2 share:6 concentration:6 shared:b",
+    """WITH o AS (SELECT ts, symbol, CASE side WHEN 'long' THEN 1 ELSE -1 END AS sg FROM cand), l AS (SELECT ts, symbol, substr(symbol, 1, 1) AS leg, 100000.0 * sg AS x FROM o UNION ALL SELECT ts, symbol, substr(symbol, 2, 1), -100000.0 * sg FROM o),
+    g AS (SELECT ts, leg, count(*) AS n_orders, count(DISTINCT symbol) AS n_symbols, coalesce(sum(x) FILTER (WHERE x > 0), 0) AS long_notional, coalesce(-sum(x) FILTER (WHERE x < 0), 0) AS short_notional FROM l GROUP BY 1, 2)
+    SELECT *, long_notional - short_notional AS net, (long_notional + short_notional) / sum(long_notional + short_notional) OVER (PARTITION BY ts) AS share, abs(long_notional - short_notional) / (long_notional + short_notional) AS concentration,
+      n_symbols > 1 AND (long_notional = 0 OR short_notional = 0) AS shared FROM g""", "cand",
+)
+def order_portfolio_view(spark, sf):
+    """Legs that the orders of a day share: several symbols on one side of a leg are one bet."""
+    o = candidates(spark, sf).selectExpr("ts", "symbol", "side", "1.0D AS entry", "0.0D AS stop", "substr(symbol, 1, 1) AS base", "substr(symbol, 2, 1) AS quote")
+    return K.order_portfolio(o, ["ts"])
+
+
 @q("order_distribution", "regime long:i short:i", "SELECT regime, count(*) FILTER (WHERE side = 'long') AS long, count(*) FILTER (WHERE side = 'short') AS short FROM cand GROUP BY 1", "cand")
 def order_distribution(spark, sf):
     return candidates(spark, sf).groupBy("regime").pivot("side", ["long", "short"]).count().na.fill(0)

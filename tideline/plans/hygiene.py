@@ -143,6 +143,10 @@ q("freshness_summary", "status datasets:i max_age:0", "SELECT status, count(*) A
 # symbol names spelled from the part table
 _NAMES = "EURUSD USDJPY EURGBP XAUUSD XAGEUR XBRUSD USOIL BTCUSD SOLUSDT ADAUSD PEPEUSD US500 GER30 AAPL MSFT NAS100 USDTRY DXY".split()
 _NM = "CASE p_partkey % 18 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(_NAMES)) + " END"
+q("symbol_bucket", "symbol bucket n:i", f"""SELECT symbol, CASE WHEN starts_with(symbol, 'XAU') AND symbol = 'XAUUSD' OR symbol IN ('XAGUSD', 'XPTUSD', 'XPDUSD') THEN 'metal' WHEN symbol = 'BTCUSD' OR symbol = 'ETHUSD' THEN 'crypto'
+    WHEN list_contains(['US500', 'US30', 'USTEC', 'NAS100', 'US100'], symbol) THEN 'index' WHEN regexp_full_match(symbol, '(EUR|GBP|USD|CHF|JPY|AUD|NZD|CAD){{2}}') THEN 'fx_major_cross' ELSE 'fx_exotic' END AS bucket, count(*) AS n FROM (SELECT {_NM} AS symbol FROM part) GROUP BY 1, 2""")(
+    lambda spark, sf: S.agg(D.table(spark, sf, "part").selectExpr(f"{_NM} AS symbol").selectExpr("symbol", f"{H.symbol_bucket()} AS bucket"), ["symbol", "bucket"], {"n": "count(*)"})
+)
 for _n, _fn in (("symbol_classification", H.classify_sql), ("macro_symbol_class", H.macro_class_sql)):
     q(_n, "symbol cls n:i", f"SELECT symbol, {_fn(chr(39).join(['regexp_matches(symbol, ', '[0-9]', ')']), *([chr(39).join(['symbol = ', 'MSFT', ''])] if _n == 'symbol_classification' else []))} AS cls, count(*) AS n FROM (SELECT {_NM} AS symbol FROM part) GROUP BY 1, 2")(
         lambda spark, sf, fn=_fn, n=_n: S.agg(
