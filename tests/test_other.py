@@ -100,3 +100,20 @@ def test_missing_metric_fails_its_gate(spark):
     # statistics that are not there at all fail their gates too
     assert "cost_robustness" in r.failed and {"walk_forward", "bootstrap_ci", "drawdown_limits"} <= set(r.failed) and r.level == "L2"
     assert not {"min_effective_n", "independent_window", "regime_stability", "concentration_limits"} & set(r.failed)
+
+
+def test_shared_legs_of_an_order_set(spark):
+    rows = [("d", "EURJPY", "long", 1.0, 0.9, "EUR", "JPY"), ("d", "USDJPY", "long", 1.0, 0.9, "USD", "JPY"), ("d", "EURUSD", "short", 1.0, 1.1, "EUR", "USD"), ("d", "GBPCHF", "long", 1.0, 1.0, "GBP", "CHF"), ("e", "EURJPY", "short", 1.0, 1.1, "EUR", "JPY")]
+    got = {(r.day, r.leg): r for r in R.order_portfolio(spark.createDataFrame(rows, "day string, symbol string, side string, entry double, stop double, base string, quote string"), ["day"], 100.0).collect()}
+    # two symbols, one view: short yen twice; the euro legs cancel
+    assert got["d", "JPY"].shared and got["d", "JPY"].net == -200 and got["d", "JPY"].share == pytest.approx(200 / 600)
+    assert not got["d", "EUR"].shared and got["d", "EUR"].net == 0 and got["d", "EUR"].concentration == 0
+    # an order without a risk has no notional
+    assert got["d", "GBP"].long_notional == 0 and got["d", "GBP"].concentration is None
+    assert got["e", "JPY"].n_orders == 1 and not got["e", "JPY"].shared
+
+
+def test_symbol_buckets(spark):
+    names = {"XAUUSD": "metal", "XAUEUR": "fx_exotic", "ETHUSD": "crypto", "NAS100": "index", "EURGBP": "fx_major_cross", "USDTRY": "fx_exotic", "": "fx_exotic", None: None}
+    d = spark.createDataFrame([(n,) for n in names], "symbol string").selectExpr("symbol", f"{H.symbol_bucket()} AS bucket")
+    assert {r.symbol: r.bucket for r in d.collect()} == names
