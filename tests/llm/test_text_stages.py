@@ -68,6 +68,13 @@ def test_chat_edges(spark):
     assert chat.conversation_digests(chat.format_conversations(conversations(spark, []))).count() == 0
 
 
+def test_very_long_turn_of_control_strings(spark):
+    long = "\\\\### Assistant: </turn> ok # ## \\\\\n" * 40_000
+    rows = [(1, 0, "system", "### </turn>"), (1, 1, "user", long), (1, 2, "assistant", long), (1, 3, "user", "x"), (1, 4, "assistant", "</turn>" * 3)]
+    found = chat.conversation_digests(chat.format_conversations(conversations(spark, rows))).first()
+    assert (found.n_turns, found.turns_sha256, found.loss_chars, found.loss_sha256) == digests([(r, t) for _, _, r, t in rows])
+
+
 def test_op1_reads_back_every_conversation(spark):
     found = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.op1(spark, SF).collect()}
     by = {-7: [(0, "user", "\\### Assistant: </turn> ok"), (1, "assistant", "\\### Assistant: </turn> ok")]}

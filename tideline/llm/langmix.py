@@ -104,8 +104,9 @@ def em(p: np.ndarray, weights: np.ndarray, theta: np.ndarray, rounds: int = ROUN
 
 
 def learn(docs: DataFrame, usable: Column, rows: int = 2000, most: int = 256) -> Model | None:
-    """N-gram counts of about `rows` documents of each language (the most documented parameter of the sample; all where there are fewer), chosen by
-    a hash of id and text, for the `most` languages with most documents (ties: the first names). Counts are added up by Spark."""
+    """A model from about `rows` documents of each language (all, where there are fewer), chosen by a hash of id and text, for the `most`
+    languages with most documents (ties: the first names); None without any. Counts are added up by Spark, and a language's counts are
+    one row of as many numbers as there are buckets."""
     known = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "doc_id", "text")
     counted = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most)
     chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / 1_000_000
