@@ -120,3 +120,19 @@ def test_timer_closes_a_decision_without_enough_bars(spark, tmp_path):
     stream = J.decision_resolution(spark.readStream.schema(DECISION).parquet(f"{tmp_path}/d"), spark.readStream.schema(BAR).parquet(f"{tmp_path}/b"), horizon_days=60)
     got = {r.symbol: (r.outcome, round(r.r, 4)) for r in J.run_available(stream, "timer").collect()}
     assert got == {"s0": ("time", -0.01), "s1": ("non_fill", 0.0)}
+
+
+@pytest.mark.parametrize("after", [(105.0, 103.0), (104.0, 98.0)])
+def test_a_side_with_all_rungs_waits_for_its_horizon(spark, tmp_path, after):
+    # the short side is stopped at once and the long side has all rungs on the third bar; a later bar changes its best, or its outcome
+    bars = [("s0", i, START + dt.timedelta(days=i), h, lo) for i, (h, lo) in enumerate([(100.0, 100.0), *CASES[0][0], *[(103.0, 102.0)] * 4, after, *[(103.0, 102.0)] * 15])]
+    d = spark.createDataFrame([("s0", 0, START, "long", LONG, SHORT)], DECISION)
+    want = C.resolve_decisions(d, spark.createDataFrame(bars, BAR)).first()
+    assert want.cf_long.outcome == ("tp" if after[1] > 99 else "sl") and want.cf_long.n_hit == 3
+    d.coalesce(1).write.parquet(f"{tmp_path}/d")
+    # between the parts the watermark passes the third bar only
+    for part in (bars[:7], bars[7:] + [("Z", 0, START + dt.timedelta(days=40), 1.0, 1.0)]):
+        spark.createDataFrame(part, BAR).coalesce(1).write.mode("append").parquet(f"{tmp_path}/b")
+    read = lambda name, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}")
+    got = J.run_available(J.decision_resolution(read("d", DECISION), read("b", BAR)), "rungs").collect()
+    assert [(r.outcome, r.cf_long, r.cf_short) for r in got] == [(want.outcome, want.cf_long, want.cf_short)]

@@ -119,7 +119,8 @@ def pending_bars(decisions: DataFrame, bars_: DataFrame, horizon_days: int = 30,
 
 
 def resolve_side(side: str, o: dict | None, path: list[list[float]]) -> tuple[dict | None, bool]:
-    """One side of a decision on its bars [high, low], and whether later bars can change nothing."""
+    """One side of a decision on its bars [high, low], and whether later bars can change nothing: a side that has met all its rungs still gains
+    its best and worst, and a later stop."""
     if not o or o.get("entry") is None or o.get("stop") is None or o["entry"] == o["stop"]:
         return None, True
     sg, entry, risk = (1 if side == "long" else -1), o["entry"], abs(o["entry"] - o["stop"])
@@ -142,7 +143,7 @@ def resolve_side(side: str, o: dict | None, path: list[list[float]]) -> tuple[di
     paid = sum(q for h, (_, q) in zip(hit, rungs) if h) / len(rungs) - (1 - sum(hit) / len(rungs) if stopped else 0) - (o.get("cost_r") or 0.0)
     outcome = "non_fill" if not filled else "sl" if stopped else "tp" if any(hit) else "time"
     found = {"outcome": outcome, "realized_r": paid if filled else 0.0, "n_hit": sum(hit), "mfe_r": mfe, "mae_r": mae, "time_exit": filled and not stopped and not all(hit)}
-    return found, stopped or all(hit)
+    return found, stopped
 
 
 _LEG = "outcome string, realized_r double, n_hit int, mfe_r double, mae_r double, time_exit boolean"
@@ -155,7 +156,7 @@ def decision_resolution(decisions: DataFrame, bars_: DataFrame, horizon: int = 2
     State is kept per (symbol, month of decision), and a bar goes to each month whose decisions may still be open, so a hot symbol is
     many keys and each holds a month's decisions and the bars that they can see. Only bars that the watermark has passed count:
     nothing can come before them any more, so any order or repetition of input gives the same rows. A decision closes when both of its
-    sides have met their stop or all rungs, after ``horizon`` bars, or when its timer fires ``horizon_days`` after it.
+    sides have met their stop, after ``horizon`` bars, or when its timer fires ``horizon_days`` after it.
 
     ``decisions``: symbol, ts, direction, long, short; one for each symbol and time. ``bars_``: symbol, ts, high, low.
     """
