@@ -4,6 +4,7 @@ import array
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -344,3 +345,16 @@ def test_licences(spark):
     digest = {r.doc_id: r.digest for r in got}
     assert digest[1] is digest[2] is digest[3] is None and len({digest[i] for i in (21, 22, 23, 24, 25, 4, None)}) == 7
     assert licenses.scan(frame.limit(0)).count() == 0
+
+
+def test_lists_cost_far_less_than_an_update_for_each_pair_and_dimension():
+    # 0.4 s where each entry is added for all queries at once, 5 s where it is scattered for each query
+    rng = np.random.default_rng(8)
+    x = np.unique(np.floor(rng.normal(size=(4096, 64)) * 32).astype(np.int64), axis=0)
+    start, reads = time.process_time(), []
+    found = search.aggregate_lists(x[:128], x, np.arange(len(x)), 6, reads)
+    assert time.process_time() - start < 2.5
+    assert len(reads) == 128 and max(reads) <= x.size
+    for one, (places, scores) in zip(x[:128], found, strict=True):
+        want = np.lexsort((np.arange(len(x)), -(x @ one)))[:6]
+        assert (places == want).all() and (scores == (x @ one)[want]).all()

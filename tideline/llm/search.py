@@ -2,8 +2,8 @@
 
 Candidates are dealt into blocks of a bounded size; a block is indexed by one sorted list for each dimension. A query
 reads each list from the end where its contributions are largest, a stretch of all lists at a time. Every entry that is read is added
-to its candidate's lower bound (unread contributions at their list's least) and upper bound (unread ones at the last value
-read); nothing else of a candidate is touched. When few enough candidates still reach the k-th best lower bound, no outsider can
+to its candidate's lower bound (unread contributions at their list's least), for all queries that read together; the upper bound has the unread
+contributions at the last value read. No candidate is scored from its whole vector before. When few enough candidates still reach the k-th best lower bound, no outsider can
 qualify, and the scores of those that remain are resolved. Queries and candidates meet block by block; the best of each block are
 ranked at the end. Every row is a candidate of its own, also where rows share an id; a query leaves out its own row only.
 """
@@ -33,45 +33,49 @@ def aggregate_lists(queries: np.ndarray, vectors: np.ndarray, first_ids: np.ndar
     n, dims = vectors.shape
     kind = _number_type(queries, vectors)
     order = np.argsort(vectors, axis=0, kind="stable")
-    lists = np.take_along_axis(vectors, order, axis=0).astype(kind)
+    lists = np.ascontiguousarray(np.take_along_axis(vectors, order, axis=0).astype(kind).T)
+    order = np.ascontiguousarray(order.T)
+    bottom, top = lists[:, :1], lists[:, -1:]
     out: list = [None] * len(queries)
     entries = np.zeros(len(queries), np.int64)
     enough = max(4 * k, 32)
     for start in range(0, len(queries), TOGETHER):
         names = np.arange(start, min(start + TOGETHER, len(queries)))
-        q = queries[names].astype(kind)
-        up = q > 0
-        least = q * np.where(up, lists[0], lists[-1])
-        front = q * np.where(up, lists[-1], lists[0])
-        lower = np.repeat(least.sum(axis=1)[:, None], n, axis=1)
-        upper = np.repeat(front.sum(axis=1)[:, None], n, axis=1)
+        q = np.ascontiguousarray(queries[names].T.astype(kind))
+        # a row for each candidate, a column for each query: lists are read from the top for the positive, from the bottom for the negative components
+        plus, minus = np.maximum(q, 0), np.minimum(q, 0)
+        lower = np.repeat((plus * bottom + minus * top).sum(axis=0)[None, :], n, axis=0)
         read = 0
         for share in STEPS if n > enough else (1.0,):
             to = min(n, int(np.ceil(n * share)))
-            reached = q * np.where(up, lists[n - to], lists[to - 1])
-            fallen = reached - front
-            # all unread contributions are at most what was reached; those of entries read before are known and do not fall
-            upper += fallen.sum(axis=1)[:, None]
             for j in range(dims):
-                ends = (np.flatnonzero(q[:, j] > 0), slice(n - read, n), slice(n - to, n - read)), (np.flatnonzero(q[:, j] < 0), slice(0, read), slice(read, to))
-                for rows, before, new in ends:
-                    if len(rows):
-                        at, here = rows[:, None], order[new, j]
-                        upper[at, order[before, j]] -= fallen[rows, j, None]
-                        given = q[rows, j, None] * lists[new, j]
-                        upper[at, here] += given - reached[rows, j, None]
-                        lower[at, here] += given - least[rows, j, None]
-            entries[names] += (to - read) * (q != 0).sum(axis=1)
-            front, read = reached, to
-            best = np.partition(lower, n - min(k, n), axis=1)[:, n - min(k, n)]
-            alive = upper >= best[:, None]
-            done = (alive.sum(axis=1) <= enough) | (read == n)
+                for new, end, part in (slice(n - to, n - read), bottom, plus), (slice(read, to), top, minus):
+                    lower[order[j, new]] += (lists[j, new] - end[j])[:, None] * part[j]
+            entries[names] += (to - read) * (q != 0).sum(axis=0)
+            read = to
+            best = np.partition(lower.T, n - min(k, n), axis=1)[:, n - min(k, n)]
+            upper = lower
+            if read < n:
+                # an unread contribution is at most what was reached; of read and unread entries the fewer are gone through
+                over, under = plus * (lists[:, n - to : n - to + 1] - bottom), minus * (lists[:, to - 1 : to] - top)
+                few = 2 * to <= n
+                upper = lower + (over + under).sum(axis=0) if few else lower.copy()
+                for j in range(dims):
+                    if few:
+                        upper[order[j, n - to :]] -= over[j]
+                        upper[order[j, :to]] -= under[j]
+                    else:
+                        upper[order[j, : n - to]] += over[j]
+                        upper[order[j, to:]] += under[j]
+            alive = upper >= best
+            done = (alive.sum(axis=0) <= enough) | (read == n)
             for row in np.flatnonzero(done):
-                left = np.flatnonzero(alive[row])
+                left = np.flatnonzero(alive[:, row])
                 scores = vectors[left] @ queries[names[row]]
-                top = np.lexsort((first_ids[left], -scores))[:k]
-                out[names[row]] = (left[top], scores[top])
-            names, q, up, least, front, lower, upper = (x[~done] for x in (names, q, up, least, front, lower, upper))
+                first = np.lexsort((first_ids[left], -scores))[:k]
+                out[names[row]] = (left[first], scores[first])
+            if done.any():
+                names, q, plus, minus, lower = names[~done], *(np.ascontiguousarray(x[:, ~done]) for x in (q, plus, minus, lower))
             if not len(names):
                 break
     if reads is not None:
