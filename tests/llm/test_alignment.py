@@ -111,3 +111,19 @@ def test_long_text_and_empty_table(spark, tmp_path):
     assert order(map(tuple, got)) == order(by_hand(rows))
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/b/documents.parquet")
     assert alignment.op13(spark, f"{tmp_path}/b").collect() == []
+
+
+def test_words_met_before_are_not_encoded_again():
+    known = alignment.Windows(alignment.byte_level(vocabulary("byte_bpe_50k.json")), alignment.pieces(vocabulary("piece_bpe_32k.model")))
+    seen = []
+    for side in (known.left, known.right):
+        side.encode = lambda text, whole=side.encode: seen.append(len(text)) or whole(text)
+    text = "Überraschung of the straße, 12 co-op " * 200
+    first = alignment.aligned([text.strip()], known, True)
+    again = alignment.aligned(["the straße, of 12 co-op"], known, True)
+    assert sum(seen) < 200 and first[0][0] > 1000 and again[0][0] > 5
+    # odd words beside known ones: spaces in a row, a piece mark, a long word
+    for odd in ("of  the", " of", "of ", "a▁b of", "▁▁", "of " + "thtion" * 40 + " the", "x" * 65, "x\n\ny of"):
+        fresh = alignment.Windows(known.left, known.right)
+        assert [r[:5] for r in alignment.aligned([odd, "of the"], known)] == [r[:5] for r in alignment.aligned([odd], fresh) + alignment.aligned(["of the"], fresh)]
+    assert alignment.aligned(["a▁b of", "of▁ the"], known)[0][0] == 0

@@ -1,8 +1,9 @@
 """Alignment of the tokens of two vocabularies by white-space anchors.
 
-Both vocabularies encode the whole text. Where a token of each ends at one byte and the next token of each begins with a space, the
-text is cut into windows of token ids. Windows are short and repeat, so their alignments are remembered by their two tuples of ids:
-the groups between shared ends, and the pairs of tokens whose bytes overlap.
+Both vocabularies encode the whole text, word by word where neither joins over a single space, so a word that was met before is not encoded
+again. Where a token of each ends at one byte and the next token of each begins with a space, the text is cut into windows of token ids.
+Windows are short and repeat, so their alignments are remembered by their two tuples of ids: the groups between shared ends, and the pairs of
+tokens whose bytes overlap.
 
 How often two ids are linked is counted over all documents. Each document's links then meet the counts: pairs that hold more than
 one in `FEW` of the rows are at most `FEW` and are broadcast, all others are joined by a shuffle, in which no pair is frequent.
@@ -15,6 +16,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,8 +31,10 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 CUT = re.compile(f"(?<=[^{WHITE}]) (?=[^{WHITE}])")
 #: Code points of a text that are held as tokens at a time, and documents that are aligned together.
 STRETCH, TOGETHER = 1 << 18, 128
-#: Windows that a task remembers, and the most bytes of the ids of a remembered one.
+#: Windows that a task remembers, and the most code points of a word whose windows are remembered.
 REMEMBERED, LARGEST = 300_000, 512
+#: The most code points of a word that is remembered as one window.
+WORD = 64
 COLUMNS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
 
 
@@ -82,7 +86,8 @@ def pieces(path: str) -> Side:
 
 class Windows:
     """Alignments of windows, remembered by the ids of both vocabularies: number of groups, their text, the bytes, and the pairs of tokens that
-    overlap. A key holds the two tuples of ids as unsigned 32-bit bytes with BETWEEN between them."""
+    overlap. A key holds the two tuples of ids as unsigned 32-bit bytes with BETWEEN between them. A word that follows a single space is one
+    window under its own name, with the number -1 where its tokens do not spell it."""
 
     def __init__(self, left: Side, right: Side):
         self.left, self.right = left, right
@@ -90,13 +95,38 @@ class Windows:
         self.forget()
 
     def forget(self):
-        self.number: dict[bytes, int] = {}
+        self.number: dict[bytes | str, int] = {}
         self.shown: list[str] = []
         self.spelt: list[bytes | None] = []
-        self.groups = self.first = self.pairs = self.sizes = np.zeros(0, np.int64)
-
-    def learn(self, keys: list[bytes]) -> None:
-        """Align windows that are not known yet, all at once: one after the other they are two texts of tokens with equal sizes."""
+        self.groups = self.first = self.pairs = self.sizes = self.n_a = self.n_b = np.zeros(0, np.int64)
+
+    def meet(self, words: set[str]) -> dict[str, list[int] | None]:
+        """Remember the words, and give the numbers of the windows of those that are too long or odd for that; none where one is not spelt. New words
+        are encoded as one text, in which neither vocabulary joins them either."""
+        new = words.difference(self.number)
+        if len(self.number) + len(new) > REMEMBERED:
+            self.forget()
+            new = words
+        plain = [w for w in new if 0 < len(w) <= WORD and not w[0].isspace() and not w[-1].isspace() and "\u2581" not in w]
+        if plain:
+            text = " " + " ".join(plain)
+            a, b, ends = self.left.ids(text), self.right.ids(text), np.cumsum([1 + len(w.encode()) for w in plain])
+            ends_a, ends_b = np.cumsum(self.left.size_of[a]), np.cumsum(self.right.size_of[b])
+            at_a, at_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+            if (np.take(ends_a, at_a, mode="clip") == ends).all() and (np.take(ends_b, at_b, mode="clip") == ends).all():
+                start = len(self.shown)
+                self.learn(keys_between(a, b, at_a + 1, at_b + 1), plain)
+                self.number.update((w, -1) for w, spelt in zip(plain, self.spelt[start:], strict=True) if spelt != b" " + w.encode())
+        odd = {w: windows(self.left.ids(" " + w), self.right.ids(" " + w), self.left, self.right) for w in new if w not in self.number}
+        unknown = list(set().union(*filter(None, odd.values())).difference(self.number))
+        if unknown:
+            self.learn(unknown, unknown)
+        found = {w: keys and list(map(self.number.__getitem__, keys)) for w, keys in odd.items()}
+        spelt = lambda w: found[w] and None not in (parts := [self.spelt[i] for i in found[w]]) and b"".join(parts) == b" " + w.encode()
+        return {w: found[w] if spelt(w) else None for w in found}
+
+    def learn(self, keys: list[bytes], names: list) -> None:
+        """Align windows that are not known yet, all at once, and remember them by these names: one after the other they are two texts of tokens with equal sizes."""
         ids = np.frombuffer(b"".join(keys), np.uint32)
         ends = np.cumsum([len(k) // 4 for k in keys])
         between = np.flatnonzero(ids == BETWEEN)
@@ -123,7 +153,7 @@ class Windows:
         flat[np.arange(len(a)) + np.repeat(np.concatenate([[0], to_b[:-1]]), np.diff(to_a, prepend=0))] = shown_a
         flat[np.arange(len(b)) + np.repeat(to_a, np.diff(to_b, prepend=0))] = shown_b
         flat, borders = flat.tolist(), (last_a + last_b).tolist()
-        self.number.update(zip(keys, range(len(self.shown), len(self.shown) + len(keys)), strict=True))
+        self.number.update(zip(names, range(len(self.shown), len(self.shown) + len(keys)), strict=True))
         self.shown += ["".join(flat[p:q]) for p, q in zip([0, *borders], borders, strict=False)]
         one, two, at = self.left.spelt(a.tolist()), self.right.spelt(b.tolist()), windows_end.tolist()
         same = one == two
@@ -132,6 +162,7 @@ class Windows:
         self.first = np.concatenate([self.first, len(self.pairs) + np.concatenate([[0], of_link[:-1]])])
         self.sizes = np.concatenate([self.sizes, np.diff(of_link, prepend=0)])
         self.pairs = np.concatenate([self.pairs, pairs])
+        self.n_a, self.n_b = np.concatenate([self.n_a, n_a]), np.concatenate([self.n_b, ends - between - 1])
 
     def links(self, numbers: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The pairs of some windows, each met so many times, and how often each pair is linked."""
@@ -171,6 +202,11 @@ def windows(a: np.ndarray, b: np.ndarray, left: Side, right: Side) -> list[bytes
     last = np.flatnonzero(left.spaced[a[1:]] & begins[ends_a[:-1]])
     to_a = np.append(last + 1, len(a))
     to_b = np.append(np.searchsorted(ends_b, ends_a[last]) + 1, len(b))
+    return keys_between(a, b, to_a, to_b)
+
+
+def keys_between(a: np.ndarray, b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray) -> list[bytes]:
+    """The keys of windows that end at these numbers of tokens."""
     keys = np.full(len(a) + len(b) + len(to_a), BETWEEN, np.uint32)
     order = np.arange(len(to_a))
     keys[np.arange(len(a)) + np.repeat(np.concatenate([[0], to_b[:-1]]) + order, np.diff(to_a, prepend=0))] = a
@@ -187,18 +223,22 @@ class Alignment:
         self.digest, self.keep, self.kept, self.spelt = hashlib.sha256(), keep, [], True
         self.pairs = self.times = np.zeros(0, np.int64)
 
-    def add(self, part: str, n_a: int, n_b: int, keys: list[bytes], known: Windows) -> None:
-        numbers = list(map(known.number.__getitem__, keys))
-        spelt = list(map(known.spelt.__getitem__, numbers))
-        if None in spelt or b"".join(spelt) != part.encode():
+    def add(self, words: list[str], odd: dict[str, list[int] | None], known: Windows) -> None:
+        if odd.keys().isdisjoint(words):
+            numbers = list(map(known.number.__getitem__, words))
+        elif any(odd.get(w, ()) is None for w in words):
+            numbers = [-1]
+        else:
+            numbers = list(chain.from_iterable(odd[w] if w in odd else (known.number[w],) for w in words))
+        distinct, times = np.unique(np.array(numbers), return_counts=True)
+        if distinct[0] < 0:
             self.spelt = False
             return
         shown = "".join(map(known.shown.__getitem__, numbers))[:-1]
         self.digest.update((";" * (self.n_a > 0) + shown).encode())
         self.kept += [shown] * self.keep
-        distinct, times = np.unique(np.array(numbers), return_counts=True)
         pairs, times_of = known.links(distinct, times)
-        self.n_a, self.n_b = self.n_a + n_a, self.n_b + n_b
+        self.n_a, self.n_b = self.n_a + int(known.n_a[distinct] @ times), self.n_b + int(known.n_b[distinct] @ times)
         self.n_groups += int(known.groups[distinct] @ times)
         self.n_links += int(times_of.sum())
         self.pairs, self.times = added(np.concatenate([self.pairs, pairs]), np.concatenate([self.times, times_of])) if len(self.pairs) else (pairs, times_of)
@@ -214,28 +254,17 @@ def aligned(texts: list[str | None], known: Windows, keep: bool = False) -> list
     found, waiting, held = [Alignment(keep) for _ in texts], [], 0
 
     def settle():
-        wanted = set().union(*(w[-1] for w in waiting))
-        new = list(wanted.difference(known.number))
-        if len(known.number) + len(new) > REMEMBERED:
-            known.forget()
-            new = list(wanted)
-        if new:
-            known.learn(new)
-        for one, *rest in waiting:
-            one.add(*rest, known)
-        if any(len(k) > LARGEST for k in new):
+        odd = known.meet(set().union(*(words for _, words in waiting)))
+        for one, words in waiting:
+            one.add(words, odd, known)
+        if any(len(w) > LARGEST for w in odd):
             known.forget()
         waiting.clear()
 
     for one, text in zip(found, texts, strict=True):
         for part in stretches(" " + text) if text else ():
-            a, b = known.left.ids(part), known.right.ids(part)
-            keys = windows(a, b, known.left, known.right)
-            if keys is None:
-                one.spelt = False
-                break
-            waiting.append((one, part, len(a), len(b), keys))
-            held += len(a)
+            waiting.append((one, CUT.split(part[1:])))
+            held += len(part) // 4
             if held > STRETCH:
                 settle()
                 held = 0
