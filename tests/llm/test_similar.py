@@ -109,3 +109,16 @@ def test_shingles_of_long_texts(monkeypatch):
     assert len(whole) == len(shingles(text))
     monkeypatch.setattr(neardup, "CHUNK", 50)
     assert (neardup._shingle_set(text, 5) == whole).all()
+
+
+def test_sets_with_close_fingerprints_are_linked_without_a_common_band(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "band_shape", lambda similarity: (1, 3000))
+    rng, rows = random.Random(11), []
+    of = lambda text: neardup._fingerprint([neardup._shingle_set(text, 5)])
+    while len(rows) < 8:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        one, two = " ".join(words), " ".join([*words[:-1], "other"])
+        if ((of(one) ^ of(two)) & (1 << 64) - 1).bit_count() <= 2:
+            rows += [(len(rows), one), (len(rows) + 1, two)]
+    frame = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], DOC)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, "").collect()) == [0, 2, 4, 6]

@@ -8,7 +8,8 @@ share such a point, and each is linked with the smallest of the point's (at most
 Components of the links are found by alternating large-star and small-star steps.
 
 `similar_documents` links by the exact Jaccard similarity of shingle sets, which no small number of differing bits can stand for: sets
-that are similar to 0.8 differ in up to a dozen bits. Sets are filed under bands of their least hashes instead. Each is compared first
+that are similar to 0.8 differ in up to a dozen bits. The SimHashes of the sets at two or fewer differing bits are candidates first, through the
+same blocks; then sets are filed under bands of their least hashes. Each that is not connected yet is compared first
 with the smallest set of its bands, then with the smallest of its other bands if it is not connected with that yet, and
 then with what shares a band and is still in another component. Texts travel to the comparison, not shingles.
 """
@@ -55,10 +56,9 @@ def _shingle_hashes(text: bytes, size: int, seed: int):
         yield np.array([digest(b" ".join(carry))], np.uint64)
 
 
-def simhash(text: str | None, size: int = 3, seed: int = 42) -> int:
-    """Fingerprint as a signed 64-bit integer; no words: 0."""
+def _fingerprint(parts) -> int:
     ones, n = np.zeros(64, np.int64), 0
-    for hashes in _shingle_hashes((text or "").encode().lower(), size, seed):  # bytes.lower() changes A-Z only
+    for hashes in parts:
         n += len(hashes)
         for i in range(0, len(hashes), 1 << 15):
             part = hashes[i : i + (1 << 15)]
@@ -66,6 +66,11 @@ def simhash(text: str | None, size: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
+def simhash(text: str | None, size: int = 3, seed: int = 42) -> int:
+    """Fingerprint as a signed 64-bit integer; no words: 0."""
+    return _fingerprint(_shingle_hashes((text or "").encode().lower(), size, seed))  # bytes.lower() changes A-Z only
+
+
 def _simhashes(text: pd.Series) -> pd.Series:
     return pd.Series([simhash(x) for x in text], dtype="int64")
 
@@ -172,22 +177,23 @@ def _bands(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _set_columns(size: int, similarity: float):
-    """UDF of a text: node (64-bit digest of its shingle set), n shingles, its bands, and the parity sketch."""
+    """UDF of a text: node (64-bit digest of its shingle set), n shingles, the SimHash of the set, its bands, and the parity sketch."""
     fields, shape = ", ".join(f"s{i} long" for i in range(SKETCH)), band_shape(similarity)
 
-    @F.pandas_udf(f"node long, n long, bands array<long>, {fields}")
+    @F.pandas_udf(f"node long, n long, fp long, bands array<long>, {fields}")
     def columns(text: pd.Series) -> pd.DataFrame:
         from xxhash import xxh64_intdigest
 
-        nodes, counts, bands, sketches = [], [], [], []
+        nodes, counts, prints, bands, sketches = [], [], [], [], []
         for x in text:
             h = _shingle_set(x, size)
             nodes.append(xxh64_intdigest(h.tobytes()))
             counts.append(len(h))
+            prints.append(_fingerprint([h]))
             bands.append(_bands(h, *shape))
             sketches.append(_parities(h))
         table = np.array(sketches, np.int64).reshape(-1, SKETCH)
-        out = {"node": np.array(nodes, np.uint64).view(np.int64), "n": np.array(counts, np.int64), "bands": bands}
+        out = {"node": np.array(nodes, np.uint64).view(np.int64), "n": np.array(counts, np.int64), "fp": np.array(prints, np.int64), "bands": bands}
         return pd.DataFrame(out | {f"s{i}": table[:, i] for i in range(SKETCH)})
 
     return columns
@@ -230,7 +236,7 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8) -
     """One row per row of `docs` (doc_id, text; other columns are not read): doc_id, key, node, root, component_id.
 
     Documents are linked when the Jaccard similarity of their sets of `size`-word shingles (A-Z in lower case) is at least `similarity`,
-    which is above 0. Pairs that share a band are found: of pairs at 0.8, 0.04 % share none, of those at 0.9 1 in 10 million (see band_shape). No
+    which is above 0. Pairs whose SimHashes are within two bits are candidates, and pairs that share a band are found: of pairs at 0.8, 0.04 % share none, of those at 0.9 1 in 10 million (see band_shape). No
     pair that is less similar is linked. A text of fewer words is one shingle; null and blank texts have none and link with each
     other only. Shingles and sets are told apart by 64-bit hashes. component_id is as in near_duplicates. Repeated rows stay. An empty
     table gives no rows.
@@ -238,17 +244,21 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8) -
     base = docs.select("doc_id", text_key(F.col("doc_id"), F.col("text")), _set_columns(size, similarity)("text").alias("set"))
     made = stored(base.select("doc_id", "key", "set.*"))
     sketch = [f"s{i}" for i in range(SKETCH)]
-    least = made.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), *(F.min(c).alias(c) for c in ("n", *sketch)))
+    least = made.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), *(F.min(c).alias(c) for c in ("n", "fp", *sketch)))
     keys = stored(least)
     places, sides = keys.select("node", "key"), keys.select("node", "n", *sketch)
     filed = made.select("node", F.explode("bands").alias("band")).distinct()
     first = filed.groupBy("band").agg(F.min("node").alias("u"), F.max("node").alias("last")).where("u < last").drop("last")
     filed = stored(filed.join(first, "band"))
     near = _may_be_similar(similarity)
-    # the smallest sets of each set's bands
-    stars = filed.where("u <> node").select("u", F.col("node").alias("v")).distinct()
-    stars = checkpointed(stars.join(sides.alias("a"), F.expr("u = a.node")).join(sides.alias("b"), F.expr(f"v = b.node AND {near}")).select("u", "v"))
-    found = _verified(stars.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), places, docs, size, similarity)
+    sized = lambda pairs: checkpointed(pairs.join(sides.alias("a"), F.expr("u = a.node")).join(sides.alias("b"), F.expr(f"v = b.node AND {near}")).select("u", "v"))
+    # fingerprints at two or fewer differing bits, each through its smallest set
+    prints = checkpointed(keys.groupBy("fp").agg(F.min("node").alias("u"), F.count("*").alias("n")))
+    place = lambda c: prints.select(F.col("fp").alias(f"{c}_fp"), F.col("u").alias(c))
+    close = links(prints.select("fp")).toDF("u_fp", "v_fp").join(place("u"), "u_fp").join(place("v"), "v_fp").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    equal = keys.select("fp", F.col("node").alias("v")).join(prints.where("n > 1"), "fp").where("u < v").select("u", "v")
+    alike = sized(close.union(equal).distinct())
+    found = _verified(alike, places, docs, size, similarity)
     roots = components(found)
 
     def apart(pairs: DataFrame) -> DataFrame:
@@ -257,6 +267,10 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8) -
         placed = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left")
         return placed.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
 
+    # the smallest sets of each set's bands
+    stars = sized(filed.where("u <> node").select("u", F.col("node").alias("v")).distinct())
+    found = checkpointed(found.union(_verified(apart(stars).groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), places, docs, size, similarity)))
+    roots = components(found)
     found = checkpointed(found.union(_verified(apart(stars), places, docs, size, similarity)))
     roots = components(found)
     # bands that still hold several components
