@@ -48,6 +48,32 @@ def test_cache_forgets_when_full():
     assert [cache["a" * i] for i in range(9)] == list(range(9)) and len(cache) <= 3
 
 
+def test_a_worker_holds_few_words_and_not_those_of_the_stage_before():
+    rules.fertility("words of another vocabulary", public_tokenizers.path("piece_bpe_32k.model"))
+    before = rules.piece_cache(public_tokenizers.path("piece_bpe_32k.model"))[0]
+    assert before
+    wordcache.id_cache.cache_clear()
+    cache = wordcache.id_cache(VOCABULARY)
+    assert not before
+    most = 0
+    for i in range(0, 700_000, 1000):
+        text = " ".join(f"a{n}" for n in range(i, i + 1000)) + " \u03c3\u03c2!"
+        got = b"".join(wordcache.ids_of(text, cache))
+        most = max(most, len(cache))
+    assert array.array("I", got).tolist() == ORDINARY.encode(text, add_special_tokens=False).ids
+    assert 100_000 < most <= 200_000
+
+
+def test_pieces_of_many_texts_are_the_library_s(spark):
+    """Ids, null ids and texts, and long texts, in batches of Arrow with and without the ids."""
+    rows = packing.pieces(spark.createDataFrame(EDGES, DOC), size=1000, keep_ids=True).collect()
+    got = Counter((r.doc_id, r.start, tuple(r.ids)) for r in rows)
+    want = Counter((d, at, tuple(ids[at : at + 1000])) for d, text, *_ in EDGES for ids in [tokens(text)] for at in range(0, len(ids), 1000))
+    assert got == want
+    small = spark.createDataFrame([(1, "one"), (None, None)], "doc_id int, text string")
+    assert {(r.doc_id, r.length) for r in packing.pieces(small).collect()} == {(1, 2), (None, 1)}
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 40), max_size=80), st.integers(1, 6))
 def test_best_fit_against_a_list_of_bins(lengths, bins):

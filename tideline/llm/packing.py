@@ -1,6 +1,6 @@
 """Best-fit packing of documents into sequences of a fixed number of tokens, in bounded space.
 
-Documents are tokenised where they are read; only (document, piece, length) rows travel further. Each packing task takes
+Documents are tokenised where they are read, one text at a time; only (document, piece, length) rows travel further. Each packing task takes
 a fixed number of pieces as they arrive, in an order of hashes that says nothing of their lengths and is the same after a retry, and holds a
 fixed number of open sequences in a bitset keyed by free space: a piece goes to the open sequence with the least sufficient space, and
 when a new one is needed and all are open, the fullest closes. A task emits each piece as it places it, so it holds the open
@@ -16,6 +16,7 @@ from itertools import count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,17 +42,21 @@ def cut(text: str | None, path: str, size: int) -> Iterator[bytes]:
 def pieces(docs: DataFrame, size: int = 4096, path: str | None = None, keep_ids: bool = False) -> DataFrame:
     """Pieces of at most `size` tokens: doc_id, piece, start, length, ids_crc32, and with keep_ids the ids."""
     place = path or vocabulary("word_bpe_49k.json")
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.list_(pa.int32())] if keep_ids else [])]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(kinds)]
 
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for doc_id, text in zip(pdf.doc_id, pdf.text, strict=True):
-                for n, data in enumerate(cut(text, place, size)):
-                    rows.append((doc_id, n, n * size, len(data) // 4, zlib.crc32(data), *([np.frombuffer(data, "<u4").astype("i4")] if keep_ids else [])))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])])
-            yield out.astype({"doc_id": "Int64", "piece": "int32", "start": "int64", "length": "int64", "ids_crc32": "int64"})
-
-    return docs.select("doc_id", "text").mapInPandas(run, PIECE + ", ids array<int>" * keep_ids)
+        for batch in batches:
+            columns = [[] for _ in kinds]
+            # a batch's texts stay in Arrow's memory; one at a time becomes a string
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                for n, data in enumerate(cut(text.as_py(), place, size)):
+                    row = doc_id, n, n * size, len(data) // 4, zlib.crc32(data), np.frombuffer(data, "<u4").astype("i4")
+                    for column, value in zip(columns, row, strict=False):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, PIECE + ", ids array<int>" * keep_ids)
 
 
 class BestFit:
