@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tideline.llm import neardup
+from tideline.llm import common, neardup
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -122,3 +122,36 @@ def test_sets_with_close_fingerprints_are_linked_without_a_common_band(spark, mo
             rows += [(len(rows), one), (len(rows) + 1, two)]
     frame = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], DOC)
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, "").collect()) == [0, 2, 4, 6]
+
+
+def chains():
+    """Links of 40 chains of 30 nodes, and the smallest node of each node's chain."""
+    nodes = [[100 * c + i for i in random.Random(c).sample(range(100), 30)] for c in range(40)]
+    return [(a, b) for chain in nodes for a, b in zip(chain, chain[1:], strict=False)], {n: min(chain) for chain in nodes for n in chain}
+
+
+@pytest.mark.parametrize("full", [7, 20_000])
+def test_components_over_one_and_many_partitions(spark, monkeypatch, full):
+    monkeypatch.setattr(common, "FULL", full)
+    links, want = chains()
+    got = neardup.components(spark.createDataFrame(links, "u long, v long"))
+    assert sorted((r.node, r.root) for r in got.collect()) == sorted(want.items())
+
+
+def test_few_links_take_few_tasks(spark):
+    """A round over a few links does not take a task for each of the session's shuffle partitions, and its shuffles no file for each."""
+    context, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+    links, want = chains()
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("few links", "")
+        assert neardup.components(spark.createDataFrame(links, "u long, v long")).count() == len(want)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    stages = {s for j in tracker.getJobIdsForGroup("few links") for s in tracker.getJobInfo(j).stageIds}
+    assert sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s))) < 500

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import checkpointed, if_few, load, stored, text_key
+from tideline.llm.common import checkpointed, filled, if_few, load, narrow, stored, text_key
 
 CHUNK = 1 << 20
 WIDTHS = (13, 13, 13, 13, 12)
@@ -95,7 +95,8 @@ def links(prints: DataFrame, crowded: int = 48) -> DataFrame:
     keys = F.array(*(F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, (m, _) in enumerate(masks)))
     filed = prints.select("fp", F.explode(keys).alias("k")).select("fp", "k.c", "k.key")
     shared = filed.groupBy("c", "key").agg(F.count("*").alias("n")).where("n > 1")
-    filed = checkpointed(filed.join(shared, ["c", "key"]))
+    # each of these rows becomes up to 27 points, or is paired with up to 47
+    filed = narrow(filed.join(shared, ["c", "key"]), 2_000)
     few, many = filed.where(F.col("n") <= crowded), filed.where(F.col("n") > crowded)
     pairs = few.alias("a").join(
         few.alias("b"),
@@ -114,17 +115,19 @@ def components(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+        # there are never more links than before
+        edges = filled(edges, mark[0])
         if mark == seen:
-            return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(edges.select("lo", "lo").distinct())
+            return filled(edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(edges.select("lo", "lo").distinct()), 2 * mark[0])
         seen = mark
         # large star: neighbours above a node go to its smallest neighbour
-        both = edges.select(F.col("hi").alias("n"), F.col("lo").alias("m")).union(edges.select("lo", "hi"))
+        both = filled(edges.select(F.col("hi").alias("n"), F.col("lo").alias("m")).union(edges.select("lo", "hi")), 2 * mark[0])
         least = both.groupBy("n").agg(F.min("m").alias("least")).select("n", F.least("n", "least").alias("least"))
-        large = both.join(least, "n").where("m > n").select(F.col("m").alias("hi"), F.col("least").alias("lo")).distinct()
+        large = both.join(if_few(least, rows=2 * mark[0]), "n").where("m > n").select(F.col("m").alias("hi"), F.col("least").alias("lo")).distinct()
         # small star: a node and its neighbours below it go to the smallest of them
         low = large.groupBy("hi").agg(F.min("lo").alias("least"))
-        moved = large.join(low, "hi").where("lo <> least").select(F.col("lo").alias("hi"), F.col("least").alias("lo"))
-        edges = checkpointed(low.select("hi", F.col("least").alias("lo")).union(moved).distinct())
+        moved = large.join(if_few(low, rows=mark[0]), "hi").where("lo <> least").select(F.col("lo").alias("hi"), F.col("least").alias("lo"))
+        edges = checkpointed(filled(low.select("hi", F.col("least").alias("lo")).union(moved), mark[0]).distinct())
 
 
 def near_duplicates(docs: DataFrame, crowded: int = 48) -> DataFrame:
@@ -207,11 +210,11 @@ def _may_be_similar(similarity: float) -> str:
 
 def _verified(pairs: DataFrame, keys: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
     """The pairs (u, v) whose shingle sets are similar; `keys` has the key of one text of each node. Each v's text goes to its u's."""
-    pairs = checkpointed(pairs.distinct())
+    pairs = narrow(pairs.distinct())
     texts = docs.select(text_key(F.col("doc_id"), F.col("text")), "text")
     place = lambda node: keys.withColumnRenamed("node", node)
-    lesser = checkpointed(pairs.join(place("v"), "v").select("key", "u", "v"))
-    first = checkpointed(pairs.select("u").distinct().join(place("u"), "u").select("key", "u"))
+    lesser = narrow(if_few(pairs).join(place("v"), "v").select("key", "u", "v"))
+    first = narrow(if_few(pairs.select("u").distinct()).join(place("u"), "u").select("key", "u"))
     moved = texts.join(if_few(lesser), "key").select("u", "v", F.col("text").alias("text_v"))
     # of repeated rows one is enough on this side
     both = moved.join(texts.join(if_few(first), "key").groupBy("u").agg(F.first("text").alias("text_u")), "u")
@@ -229,7 +232,7 @@ def _verified(pairs: DataFrame, keys: DataFrame, docs: DataFrame, size: int, sim
         return pd.Series(out, dtype=bool)
 
     # rows of one u stand together after the join by u
-    return checkpointed(both.where(similar("u", "text_u", "text_v")).select("u", "v").distinct())
+    return narrow(both.where(similar("u", "text_u", "text_v")).select("u", "v").distinct())
 
 
 def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -251,35 +254,42 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8) -
     first = filed.groupBy("band").agg(F.min("node").alias("u"), F.max("node").alias("last")).where("u < last").drop("last")
     filed = stored(filed.join(first, "band"))
     near = _may_be_similar(similarity)
-    sized = lambda pairs: checkpointed(pairs.join(sides.alias("a"), F.expr("u = a.node")).join(sides.alias("b"), F.expr(f"v = b.node AND {near}")).select("u", "v"))
+
+    def sized(pairs: DataFrame) -> DataFrame:
+        """The pairs (u, v) that may be similar."""
+        pairs = narrow(narrow(pairs.distinct()).transform(if_few).join(sides, F.expr("u = node")).drop("node"))
+        return narrow(if_few(pairs).alias("a").join(sides.alias("b"), F.expr(f"v = b.node AND {near}")).select("u", "v"))
+
     # fingerprints at two or fewer differing bits, each through its smallest set
     prints = checkpointed(keys.groupBy("fp").agg(F.min("node").alias("u"), F.count("*").alias("n")))
     place = lambda c: prints.select(F.col("fp").alias(f"{c}_fp"), F.col("u").alias(c))
-    close = links(prints.select("fp")).toDF("u_fp", "v_fp").join(place("u"), "u_fp").join(place("v"), "v_fp").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    equal = keys.select("fp", F.col("node").alias("v")).join(prints.where("n > 1"), "fp").where("u < v").select("u", "v")
-    alike = sized(close.union(equal).distinct())
+    close = narrow(if_few(narrow(links(prints.select("fp")).toDF("u_fp", "v_fp"))).join(place("u"), "u_fp"))
+    close = if_few(close).join(place("v"), "v_fp").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    equal = keys.select("fp", F.col("node").alias("v")).join(if_few(narrow(prints.where("n > 1"))), "fp").where("u < v").select("u", "v")
+    alike = sized(close.union(equal))
     found = _verified(alike, places, docs, size, similarity)
     roots = components(found)
 
     def apart(pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) that are in different components."""
-        of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+        few = if_few(roots)
+        of = lambda c: few.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
         placed = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left")
         return placed.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
 
     # the smallest sets of each set's bands
-    stars = sized(filed.where("u <> node").select("u", F.col("node").alias("v")).distinct())
-    found = checkpointed(found.union(_verified(apart(stars).groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), places, docs, size, similarity)))
+    stars = sized(filed.where("u <> node").select("u", F.col("node").alias("v")))
+    found = narrow(found.union(_verified(apart(stars).groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), places, docs, size, similarity)))
     roots = components(found)
-    found = checkpointed(found.union(_verified(apart(stars), places, docs, size, similarity)))
+    found = narrow(found.union(_verified(apart(stars), places, docs, size, similarity)))
     roots = components(found)
     # bands that still hold several components
-    placed = checkpointed(filed.select("band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("band")
-    placed = checkpointed(placed.join(mixed, "band").join(sides, "node"))
+    placed = checkpointed(filed.select("band", "node").join(if_few(roots), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    mixed = narrow(placed.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("band"))
+    placed = checkpointed(placed.join(if_few(mixed), "band").join(sides, "node"))
     rest = placed.alias("a").join(placed.alias("b"), F.expr(f"a.band = b.band AND a.node < b.node AND a.root <> b.root AND {near}")).selectExpr("a.node AS u", "b.node AS v")
-    found = found.union(_verified(rest.join(stars, ["u", "v"], "left_anti"), places, docs, size, similarity))
-    label = keys.select("node", "least").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    found = found.union(_verified(rest.join(if_few(stars), ["u", "v"], "left_anti"), places, docs, size, similarity))
+    label = keys.select("node", "least").join(if_few(components(found)), "node", "left").withColumn("root", F.coalesce("root", "node"))
     of = label.groupBy("root").agg(F.min("least").alias("component_id"))
     return made.select("doc_id", "key", "node").join(label.join(of, "root").select("node", "root", "component_id"), "node").select("doc_id", "key", "node", "root", "component_id")
 
